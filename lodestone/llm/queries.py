@@ -5,17 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_folder, table
+from .packing import pack
 from .simhash import simhash_groups
+from .token_files import checksums, read_tokens, starts, write_tokens
+from .tokens import count_tokens
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_folder(spark, "token-files")
+    write_tokens(table(spark, sf_dir, "documents"), out, tokenizer("byte_bpe_50k.json"), end_id=0)
+    rows = starts(checksums(read_tokens(spark, out)))
+    return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op5_token_counts": op5_token_counts,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {}
