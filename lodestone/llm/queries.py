@@ -12,6 +12,7 @@ from .packing import pack
 from .simhash import simhash_groups
 from .token_files import checksums, read_tokens, starts, write_tokens
 from .tokens import count_tokens
+from .winnow import contamination
 
 
 def tokenizer(name: str) -> str:
@@ -33,6 +34,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), out, tokenizer("byte_bpe_50k.json"), end_id=0)
@@ -44,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_token_counts": op5_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
 
