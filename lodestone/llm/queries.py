@@ -13,6 +13,7 @@ from .packing import pack
 from .simhash import simhash_groups
 from .token_files import checksums, read_tokens, starts, write_tokens
 from .tokens import count_tokens
+from .urlfilter import judge_urls
 from .winnow import contamination
 
 
@@ -36,6 +37,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -55,7 +60,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), out, tokenizer("byte_bpe_50k.json"), end_id=0)
-    rows = starts(checksums(read_tokens(spark, out)))
+    back = read_tokens(spark, out)
+    rows = starts(checksums(back), back)
     return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_url_filter": op6_url_filter,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
