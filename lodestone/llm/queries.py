@@ -14,6 +14,7 @@ from .simhash import simhash_groups
 from .token_files import checksums, read_tokens, starts, write_tokens
 from .tokens import count_tokens
 from .urlfilter import judge_urls
+from .warc import read_warc, write_warc
 from .winnow import contamination
 
 
@@ -24,6 +25,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_folder(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), out)
+    return read_warc(spark, out, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -66,6 +73,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_counts": op5_token_counts,
