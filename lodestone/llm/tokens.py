@@ -7,6 +7,7 @@ huge text in overlapping chunks and splices them where both chunks provably agre
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import os
@@ -23,7 +24,9 @@ from .common import batch, picked, small_batches
 #: Characters of a chunk, and of the overlap that is tried first.
 CHUNK, OVERLAP = 32_768, 256
 #: Distinct pieces that a worker keeps at most; then those of more than SHORT characters go.
-PIECES, SHORT = 600_000, 7
+PIECES, SHORT = 690_000, 8
+#: Pieces that are given to the library as one text.
+TOGETHER = 512
 
 
 @functools.cache
@@ -73,16 +76,28 @@ class PieceEncoder:
         self.tokenizer, spec = load(path), _spec(path)
         self.byte_level, self.dropping = _is_byte_level(spec), _drops_spaces(spec)
         self.known: dict[str, bytes] = {}
-        self.run, self.piece = re.compile(r"\s\s"), re.compile(r"\s*\S+|\s+")
+        self.piece, self.marks = re.compile(r"\s*\S+|\s+"), re.compile("[\u0130\u0300-\U0010ffff]")
+        self.letter = re.compile("[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]").match
+        # pieces that can stand in one text: no marks, no white space inside, and a cut before each
+        self.plain = re.compile("[!-;=-~\xa1-\xac\xae-\u02ff]+" if self.dropping else "[ \n][!-;=-~\xa1-\xac\xae-\u02ff]+").fullmatch
 
     def pieces(self, text: str) -> list[str]:
         if self.dropping:
+            if self.marks.search(text) is None and "<|" not in text:  # lower case of these letters is letter by letter
+                text = text.lower()
             return text.replace("\n", " ").split(" ")
         if not self.byte_level:
             return [text]
-        if "\0" in text or self.run.search(text):
+        lines = text.split("\n")
+        if not all(map(self.even, lines)):
             return self.piece.findall(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        lines = [x.replace(" ", "\0 ") for x in lines]
+        return "\0\n".join(lines).split("\0")
+
+    @staticmethod
+    def even(line: str) -> bool:
+        """Whether the only white space is single spaces between other characters (and there is no other control character)."""
+        return line.isprintable() and line != "" and "  " not in line and line[0] != " " != line[-1]
 
     def __call__(self, text: str) -> bytes:
         pieces = self.pieces(text)
@@ -98,10 +113,43 @@ class PieceEncoder:
         return out
 
     def _learn(self, pieces: list[str]) -> None:
-        new = [*set(pieces).difference(self.known)]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = e.ids
-            self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
+        new, known = set(pieces).difference(self.known), self.known
+        if not (self.byte_level or self.dropping):
+            known |= zip(new, map(_packed, self.tokenizer.encode_batch_fast([*new], add_special_tokens=False)))
+            return
+        stems, tails = [], []
+        for p in new:
+            stem = p.rstrip(".,!?;:")
+            cut = stem if stem and len(stem) < len(p) and self.letter(stem[-1]) else p  # a pattern ends letters there
+            stems.append(cut)
+            tails.append(p[len(cut) :])
+        need = {*stems, *tails}.difference(known)
+        plain = [p for p in need if self.plain(p)]
+        apart = [*need.difference(plain)]
+        known |= zip(apart, map(_packed, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)))
+        for k in range(0, len(plain), TOGETHER):
+            part = plain[k : k + TOGETHER]
+            known |= zip(part, self._together(part))
+        known |= ((p, known[a] + known[b]) for p, a, b in zip(new, stems, tails) if b)
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that each start at a cut, from one text."""
+        gap = " " if self.dropping else ""
+        e = self.tokenizer.encode(gap.join(pieces), add_special_tokens=False)
+        raw = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        starts = [a for a, _ in e.offsets]
+        out, at, k = [], 0, 0
+        for p in pieces:
+            at += len(p) + len(gap)
+            z = bisect.bisect_left(starts, at, k)
+            out.append(raw[4 * k : 4 * z])
+            k = z
+        return out
+
+
+def _packed(encoding) -> bytes:
+    ids = encoding.ids
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @functools.cache
