@@ -65,7 +65,7 @@ def test_token_files_round_trip(spark):
     token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), out, BYTES)
     back = token_files.read_tokens(spark, out)
     assert {r.id: list(r.tokens) for r in back.collect()} == {i: [*ids(BYTES, t), 0] for i, t in rows}
-    got = {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.starts(token_files.checksums(back)).collect()}
+    got = {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.starts(token_files.checksums(back), back).collect()}
     at = 0
     for i, t in sorted(rows):
         x = [*ids(BYTES, t), 0]
@@ -73,13 +73,15 @@ def test_token_files_round_trip(spark):
         at += len(x)
     empty = new_folder(spark, "tokens")
     token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), empty, BYTES)
-    assert token_files.starts(token_files.checksums(token_files.read_tokens(spark, empty))).count() == 0
+    back = token_files.read_tokens(spark, empty)
+    assert token_files.starts(token_files.checksums(back), back).count() == 0
 
 
 def test_token_files_keep_repeats_and_null_ids(spark):
     out = new_folder(spark, "tokens")
     token_files.write_tokens(spark.createDataFrame([(None, "a"), (2, "b b"), (2, "b b"), (2, None)], "doc_id long, text string"), out, BYTES)
-    rows = token_files.starts(token_files.checksums(token_files.read_tokens(spark, out))).orderBy("start").collect()
+    back = token_files.read_tokens(spark, out)
+    rows = token_files.starts(token_files.checksums(back), back).orderBy("start").collect()
     assert [(r.id, r.start, r.n_tokens) for r in rows] == [(None, 0, 2), (2, 2, 1), (2, 3, 3), (2, 6, 3)]
 
 
