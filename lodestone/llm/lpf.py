@@ -28,14 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, pack_ints, small_batches, stage, unpack_ints, utf8
+from .common import batch, pack_ints, release, small_batches, stage, unpack_ints, unstage, utf8
 
 #: Bytes of the shortest string that counts, and of a k-gram.
 MIN, GRAM = 50, 20
 #: Bytes of text in a chunk (a longer text is one), and behind a bucket.
-CHUNK, BUCKET = 2 << 20, 48 << 20
-#: Places scanned at a time.
-BLOCK = 1 << 17
+CHUNK, BUCKET = 4 << 20, 16 << 20
+#: Places scanned, contexts compared, and suffixes sorted at a time.
+BLOCK, CONTEXTS, SUFFIXES = 1 << 17, 100_000, 1 << 19
+
+#: Groups over which the runs that chunks settle themselves are spread.
+SETTLED = 4096
 
 _rng = np.random.default_rng(50)
 _CODE = _rng.integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -97,7 +100,7 @@ def anchors(data: np.ndarray, valid: np.ndarray, least: int = MIN, k: int = GRAM
     new = np.ones(len(p), bool)  # runs that go on in the next block
     new[1:] = (p[1:] != p[:-1]) | (start[1:] != start[:-1] + many[:-1])
     first = np.flatnonzero(new)
-    return h[first], start[first], np.add.reduceat(many, first)
+    return _mix(h[first] * _ODD[3]), start[first], np.add.reduceat(many, first)  # spread evenly again: minima are small
 
 
 def _lesser(value: np.ndarray, place: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +133,7 @@ _CHUNKS = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("ids", pa.lis
 def _chunk_batches(batches):
     """Packs rows id, text, others... into chunks; the other columns travel as they are."""
     task, seq = TaskContext.get().partitionId(), 0
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -235,9 +238,12 @@ _CONTEXTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("blob", p
 
 def _rows_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """The bytes of each context in a row of `width` bytes, with zeros after them."""
-    at = start[:, None] + np.arange(width)
-    inside = np.arange(width) < size[:, None]
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+    out, column = np.zeros((len(start), width), np.uint8), np.arange(width)
+    for k in range(0, len(start), 1 << 14):
+        at = start[k : k + (1 << 14), None] + column
+        inside = column < size[k : k + (1 << 14), None]
+        out[k : k + (1 << 14)] = np.where(inside, data[np.minimum(at, len(data) - 1)], 0)
+    return out
 
 
 def _row_hash(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -298,7 +304,7 @@ def _context_batches(least: int, k: int, buckets: int):
                 leader, _ = _same_contexts(rows, size, doc)
                 later = doc > doc[leader]
                 if later.any():
-                    out.append((-1, _runs_blob(start[later], (start + size)[later])))
+                    out.append((-1 - chunk % SETTLED, _runs_blob(start[later], (start + size)[later])))
                 send = np.flatnonzero(~later)
                 order = send[np.argsort(h[send], kind="stable")]
                 cut = _cut(h[order], buckets)
@@ -313,16 +319,23 @@ def _context_batches(least: int, k: int, buckets: int):
     return run
 
 
-def _unfolded(blob: bytes, least: int, width: int) -> tuple[np.ndarray, ...]:
-    fields, at = [], 0
-    while at < len(blob):
-        n = int.from_bytes(blob[at : at + 4], "little")
-        fields.append(blob[at + 4 : at + 4 + n])
-        at += 4 + n
-    h, doc, start, many = map(unpack_ints, fields[:4])
-    size = many.astype(np.int64) + least - 1
-    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(fields[4], max_output_size=max(1, int(size.sum()))), np.uint8)
-    return h, doc, start, size, _rows_of(body, np.cumsum(size) - size, size, width)
+class Part:
+    """The contexts that one chunk sent to a bucket, sorted by anchor."""
+
+    def __init__(self, blob: bytes, least: int, width: int):
+        fields, at = [], 0
+        while at < len(blob):
+            n = int.from_bytes(blob[at : at + 4], "little")
+            fields.append(blob[at + 4 : at + 4 + n])
+            at += 4 + n
+        self.h, self.doc, self.start, many = map(unpack_ints, fields[:4])
+        self.size, self.width = many.astype(np.int64) + least - 1, width
+        self.at = np.cumsum(self.size) - self.size
+        self.body = np.frombuffer(zstandard.ZstdDecompressor().decompress(fields[4], max_output_size=max(1, int(self.size.sum()))), np.uint8)
+
+    def between(self, low: int, high: int) -> tuple[np.ndarray, ...]:
+        a, b = np.searchsorted(self.h, np.array([low, high], np.uint64), "left") if high < 1 << 64 else (np.searchsorted(self.h, np.uint64(low)), len(self.h))
+        return self.h[a:b], self.doc[a:b], self.start[a:b], self.size[a:b], _rows_of(self.body, self.at[a:b], self.size[a:b], self.width)
 
 
 def nearest_smaller(value: np.ndarray, run: np.ndarray, step: int) -> np.ndarray:
@@ -378,53 +391,74 @@ def earlier_factors(rows: np.ndarray, size: np.ndarray, doc: np.ndarray, least:
     return owner[hit], offset[hit]
 
 
+def _slices(order: np.ndarray, h: np.ndarray, many: np.ndarray) -> list[np.ndarray]:
+    """Cuts contexts, sorted by anchor, between anchors into parts of about SUFFIXES suffixes: equal strings stay together."""
+    at = np.flatnonzero(h[1:] != h[:-1]) + 1
+    at = at[np.append(True, np.diff(np.cumsum(many)[at - 1] // SUFFIXES) > 0)] if len(at) else at
+    return np.split(order, at)
+
+
 _RUNS = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())])
 
 
+def _settled(h, doc, start, size, rows, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, from, to): runs of places to remove, of all contexts of some anchors."""
+    leader, _ = _same_contexts(rows, size, doc)
+    later = doc > doc[leader]
+    gone = [(np.flatnonzero(later), start[later], (start + size)[later])]
+    heads = np.unique(leader)
+    order = heads[np.argsort(h[heads], kind="stable")]
+    same = h[order][1:] == h[order][:-1]
+    contested = np.zeros(len(order), bool)
+    contested[1:] |= same
+    contested[:-1] |= same
+    order = order[contested]
+    if len(order):
+        slices = _slices(order, h[order], size[order] - least + 1)
+        found = [earlier_factors(rows[o], size[o], doc[o], least) for o in slices]
+        base = np.repeat(np.cumsum([0, *map(len, slices[:-1])]), [len(w) for w, _ in found])
+        which, offset = np.concatenate([w for w, _ in found]) + base, np.concatenate([x for _, x in found])
+        number = np.full(len(h), -1)
+        number[order] = np.arange(len(order))
+        by = np.lexsort((offset, which))
+        which, offset = which[by], offset[by]
+        new = np.ones(len(which), bool)
+        new[1:] = (which[1:] != which[:-1]) | (offset[1:] > offset[:-1] + least)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(which))[: len(first)] - 1
+        run_of, a, z = which[first], offset[first], offset[last] + least
+        mine = np.flatnonzero(~later & (number[leader] >= 0))  # all copies in the earliest document
+        lo, hi = np.searchsorted(run_of, number[leader[mine]], "left"), np.searchsorted(run_of, number[leader[mine]], "right")
+        n = hi - lo
+        inst = np.repeat(mine, n)
+        r = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        gone.append((inst, start[inst] + a[r], start[inst] + z[r]))
+    return tuple(np.concatenate(x) for x in zip(*gone))
+
+
 def _lpf_groups(least: int, k: int):
     width = -(-(2 * least - k) // 8) * 8
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [_unfolded(x, least, width) for x in t.column("blob").to_pylist()]
-        of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        h, doc, start, size, rows = (np.concatenate(x) for x in zip(*parts))
-        leader, _ = _same_contexts(rows, size, doc)
-        later = doc > doc[leader]
-        gone = [(of[later], start[later], (start + size)[later])]
-        heads = np.unique(leader)
-        order = heads[np.argsort(h[heads], kind="stable")]
-        s = h[order]
-        same = s[1:] == s[:-1]
-        contested = np.zeros(len(order), bool)
-        contested[1:] |= same
-        contested[:-1] |= same
-        order = order[contested]
-        if len(order):
-            which, offset = earlier_factors(rows[order], size[order], doc[order], least)
-            number = np.full(len(h), -1)
-            number[order] = np.arange(len(order))
-            by = np.lexsort((offset, which))
-            which, offset = which[by], offset[by]
-            new = np.ones(len(which), bool)
-            new[1:] = (which[1:] != which[:-1]) | (offset[1:] > offset[:-1] + least)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(which)) - 1
-            run_of, a, z = which[first], offset[first], offset[last[: len(first)]] + least
-            mine = np.flatnonzero(~later & (number[leader] >= 0))  # all copies in the earliest document
-            lo, hi = np.searchsorted(run_of, number[leader[mine]], "left"), np.searchsorted(run_of, number[leader[mine]], "right")
-            n = hi - lo
-            inst = np.repeat(mine, n)
-            r = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            gone.append((of[inst], start[inst] + a[r], start[inst] + z[r]))
-        who, a, z = (np.concatenate(x) for x in zip(*gone))
-        chunks, out = t.column("chunk").to_pylist(), []
+        chunks, blobs = t.column("chunk").to_pylist(), t.column("blob").to_pylist()
+        if t.column("bucket")[0].as_py() < 0:  # settled within their chunk
+            return t.select(["chunk", "blob"])
+        parts = [Part(x, least, width) for x in blobs]
+        total, low, high = sum(len(p.h) for p in parts), min(int(p.h[0]) for p in parts), max(int(p.h[-1]) for p in parts) + 1
+        number = -(-total // CONTEXTS)
+        edges = [low + (high - low) * i // number for i in range(number + 1)]
+        gone = []
+        for a, b in zip(edges, edges[1:]):  # equal strings have equal anchors, so ranges of anchors stand alone
+            cut = [p.between(a, b) for p in parts]
+            of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in cut])
+            which, x, y = _settled(*(np.concatenate(c) for c in zip(*cut)), least)
+            gone.append((of[which], x, y))
+        who, x, y = (np.concatenate(g) for g in zip(*gone))
         by = np.argsort(who, kind="stable")
-        who, a, z = who[by], a[by], z[by]
-        cut = np.searchsorted(who, np.arange(len(parts) + 1))
-        for p, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-            if y > x:
-                out.append((chunks[p], _runs_blob(a[x:y], z[x:y])))
-        return pa.Table.from_batches([batch(_RUNS, [c for c, _ in out], [x for _, x in out])], _RUNS)
+        who, x, y = who[by], x[by].astype(np.int64), y[by].astype(np.int64)
+        at = np.searchsorted(who, np.arange(len(parts) + 1)).tolist()
+        out = [(chunks[p], _runs_blob(x[i:j], y[i:j])) for p, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+        return pa.Table.from_batches([batch(_RUNS, [c for c, _ in out], [z for _, z in out])], _RUNS)
 
     return run
 
@@ -476,10 +510,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = texts.mapInArrow(_anchor_batches(least, gram, buckets), "bucket int, chunk long, blob binary, flags binary")
     bits = lists.groupBy("bucket").applyInArrow(_shared_groups, "chunk long, bucket int, bits binary")
     bits = bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
+    bits = stage(spark, bits, "shared")
+    del lists
+    release(spark)
     found = texts.join(bits, "chunk").mapInArrow(_context_batches(least, gram, buckets), "bucket int, chunk long, blob binary")
-    found = stage(spark, found, "contexts")
-    runs = found.where("bucket >= 0").groupBy("bucket").applyInArrow(_lpf_groups(least, gram), "chunk long, blob binary")
-    runs = runs.union(found.where("bucket < 0").select("chunk", "blob")).groupBy("chunk").agg(F.collect_list("blob").alias("runs"))
+    runs = found.groupBy("bucket").applyInArrow(_lpf_groups(least, gram), "chunk long, blob binary").groupBy("chunk").agg(F.collect_list("blob").alias("runs"))
+    runs = stage(spark, runs, "runs")
+    del found
+    unstage(spark, bits)
+    release(spark)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

@@ -48,6 +48,8 @@ def corpus(seed, n=80):
 def test_removal_equals_a_dictionary_of_all_strings(spark, monkeypatch, seed, chunk, block):
     monkeypatch.setattr(lpf, "CHUNK", chunk)
     monkeypatch.setattr(lpf, "BLOCK", block)
+    monkeypatch.setattr(lpf, "SUFFIXES", block)
+    monkeypatch.setattr(lpf, "CONTEXTS", block)
     rows = corpus(seed)
     df = spark.createDataFrame([(*x, f"s{k}", None) for k, x in enumerate(rows)], "doc_id long, text string, kept string, chunk int").repartition(3)
     got = lpf.remove_repeats(df, carry=["chunk"]).collect()
