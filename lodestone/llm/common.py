@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of one Arrow batch: with texts of a few KB a batch is a few MB.
 ARROW_ROWS = 1000
@@ -77,6 +78,18 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[name].alias(new) for new, name in columns.items()])
 
 
+def carried(df: DataFrame, names: list[str] | None) -> tuple[list[Column], pa.Schema, str]:
+    """Columns that travel with the rows through Python, as c0, c1, ...: to select, and their Arrow and DDL schemas."""
+    names = names or []
+    kinds = [df.schema[n].dataType for n in names]
+    columns = [df[n].alias(f"c{k}") for k, n in enumerate(names)]
+    return columns, pa.schema([(f"c{k}", to_arrow_type(t)) for k, t in enumerate(kinds)]), "".join(f", c{k} {t.simpleString()}" for k, t in enumerate(kinds))
+
+
+def renamed(df: DataFrame, names: list[str] | None, **others: str) -> DataFrame:
+    return df.withColumnsRenamed(others | {f"c{k}": n for k, n in enumerate(names or [])})
+
+
 def utf8(column: pa.Array) -> tuple[memoryview, list[int]]:
     """The bytes of a string or binary column (null: empty), and the offsets of its values."""
     if column.null_count:

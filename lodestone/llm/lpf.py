@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, pack_ints, release, small_batches, stage, unpack_ints, unstage, utf8
+from .common import batch, carried, pack_ints, release, renamed, small_batches, stage, unpack_ints, unstage, utf8
 
 #: Bytes of the shortest string that counts, and of a k-gram.
 MIN, GRAM = 50, 20
@@ -463,13 +463,23 @@ def _lpf_groups(least: int, k: int):
     return run
 
 
-def _apply_batches(schema: pa.Schema, least: int):
+def _whole_characters(data: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs without the characters (UTF-8) that they hold only in part."""
+    for _ in range(3):
+        a = a + ((data[np.minimum(a, len(data) - 1)] & 0xC0) == 0x80)
+        z = z - ((z < len(data)) & ((data[np.minimum(z, len(data) - 1)] & 0xC0) == 0x80))
+    return a[a < z], z[a < z]
+
+
+def _apply_batches(schema: pa.Schema, least: int, whole: bool):
     def run(batches):
         for b in batches:
             for row, c in _opened(b, least):
                 blobs = [unpack_ints(x) for x in (b.column(6)[row].as_py() or [])]
                 halves = [(x[: len(x) // 2], x[len(x) // 2 :]) for x in blobs]
                 a, z = _merged(*(np.concatenate([h[i] for h in halves]).astype(np.int64) if halves else np.empty(0, np.int64) for i in (0, 1)))
+                if whole and len(a):
+                    a, z = _whole_characters(c.data, a, z)
                 kept = np.ones(len(c.data) + 1, bool)
                 for x, y in zip(a.tolist(), z.tolist()):
                     kept[x:y] = False
@@ -490,18 +500,18 @@ def _apply_batches(schema: pa.Schema, least: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN, gram: int = GRAM, carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
     """Removes each byte of a text that a string of `least` bytes covers which also starts in a document of smaller id.
 
     Gives id, n_bytes, n_removed, spans (removed runs of bytes: from, to, from, to, ...) and kept (the other bytes)
     for each row, and the columns named in carry. Texts are taken as UTF-8 bytes (null: empty) and judged as they
-    came in; overlaps count; no string crosses two texts. Rows with equal ids don't remove from each other. A row
+    came in (with whole_characters, a character of which only a part would go stays); overlaps count; no string crosses two texts. Rows with equal ids don't remove from each other. A row
     with a null id has no place in the order: it stays whole and removes nothing. Empty tables give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *[docs[c].alias(f"c{k}") for k, c in enumerate(carry or [])])
-    others = rows.schema.fields[2:]
+    columns, others, kinds = carried(docs, carry)
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *columns)
     chunks = stage(spark, rows.mapInArrow(_chunk_batches, "chunk long, size long, ids array<long>, lengths array<long>, data binary, rest binary"), "chunks")
     total = chunks.agg(F.sum("size")).first()[0] or 0
     buckets = max(6, -(-total // BUCKET))
@@ -519,11 +529,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     del found
     unstage(spark, bits)
     release(spark)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    kind = StructType.fromDDL("id long, n_bytes long, n_removed long, spans array<long>, kept binary")
-    for f in others:
-        kind = kind.add(f)
-    cut = chunks.join(runs, "chunk", "left").mapInArrow(_apply_batches(to_arrow_schema(kind), least), kind)
-    return cut.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept", *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry or [])])
+    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary()), *others])
+    kind = "id long, n_bytes long, n_removed long, spans array<long>, kept binary" + kinds
+    cut = chunks.join(runs, "chunk", "left").mapInArrow(_apply_batches(schema, least, whole_characters), kind)
+    return renamed(cut, carry, id=id_col)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, picked, small_batches, utf8
+from .common import batch, carried, picked, renamed, small_batches, utf8
 
 SPAN, K = 13, 7
 #: Bytes of benchmark texts that are sent to all workers at once; a larger benchmark is taken in several passes.
@@ -185,8 +185,8 @@ def find(index: Index, w: Words) -> tuple[list[list[tuple[int, int]]], list[set[
     return runs, names
 
 
-_ROWS = pa.schema([("id", pa.int64()), ("text", pa.string()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-_COUNTS = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+_ROWS = [("id", pa.int64()), ("text", pa.string()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
+_COUNTS = [("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
 
 
 def _words(column: pa.Array) -> Words:
@@ -204,7 +204,9 @@ def union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass_batches(items: list[tuple[str, bytes]], span: int, k: int, last: bool):
+def _pass_batches(items: list[tuple[str, bytes]], span: int, k: int, last: bool, others: pa.Schema):
+    schema = pa.schema([*(_COUNTS if last else _ROWS), *others])
+
     def run(batches):
         index = Index(items, span, k)
         for b in batches:
@@ -215,15 +217,15 @@ def _pass_batches(items: list[tuple[str, bytes]], span: int, k: int, last: bool)
                 names[d].update(kept)
             flat, lists = [[x for r in rs for x in r] for rs in runs], [sorted(x) for x in names]
             if last:
-                yield batch(_COUNTS, b.column(0), np.diff(w.first), [sum(y - x for x, y in rs) for rs in runs], flat, lists)
+                yield batch(schema, b.column(0), np.diff(w.first), [sum(y - x for x, y in rs) for rs in runs], flat, lists, *b.columns[4:])
             else:
-                yield batch(_ROWS, b.column(0), b.column(1), flat, lists)
+                yield batch(schema, b.column(0), b.column(1), flat, lists, *b.columns[4:])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
-    """id, n_words, n_hit, runs and items of each row of docs.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, carry: list[str] | None = None) -> DataFrame:
+    """id, n_words, n_hit, runs and items of each row of docs, and the columns named in carry.
 
     runs holds the covered runs of words (from, to, from, to, ...), items the ids (as strings, sorted) of the items
     with occurring windows. Null or empty texts have no words; items without words or with a null id have no window;
@@ -232,8 +234,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     small_batches(docs.sparkSession)
     items = picked(benchmark, id=item_col, text=item_text_col).where("id is not null and length(text) > 0").select(F.col("id").cast("string").alias("id"), "text").distinct()
-    rows = picked(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    rows = rows.withColumns({"runs": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
+    columns, others, kinds = carried(docs, carry)
+    none = [F.array().cast("array<long>").alias("runs"), F.array().cast("array<string>").alias("items")]
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *none, *columns)
     part, size, parts = [], 0, []
     for r in items.toLocalIterator():
         part.append((r["id"], r["text"].encode()))
@@ -245,5 +248,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for number, part in enumerate(parts):
         last = number == len(parts) - 1
         kind = "id long, n_words long, n_hit long, runs array<long>, items array<string>" if last else "id long, text string, runs array<long>, items array<string>"
-        rows = rows.mapInArrow(_pass_batches(part, span, k, last), kind)
-    return rows.withColumnRenamed("id", id_col)
+        rows = rows.mapInArrow(_pass_batches(part, span, k, last, others), kind + kinds)
+    return renamed(rows, carry, id=id_col)
