@@ -24,9 +24,10 @@ from .common import batch, picked, small_batches
 #: Characters of a chunk, and of the overlap that is tried first.
 CHUNK, OVERLAP = 32_768, 256
 #: Distinct pieces that a worker keeps at most; then those of more than SHORT characters go.
-PIECES, SHORT = 690_000, 8
+PIECES, SHORT = 1_000_000, 8
 #: Pieces that are given to the library as one text.
-TOGETHER = 512
+TOGETHER = 96
+MARKS = frozenset(".,!?;:")
 
 
 @functools.cache
@@ -76,10 +77,14 @@ class PieceEncoder:
         self.tokenizer, spec = load(path), _spec(path)
         self.byte_level, self.dropping = _is_byte_level(spec), _drops_spaces(spec)
         self.known: dict[str, bytes] = {}
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.byte_level:
+            self.opens[[k for w, k in self.tokenizer.get_vocab().items() if w[0] in "\u0120\u010a"]] = True
         self.piece, self.marks = re.compile(r"\s*\S+|\s+"), re.compile("[\u0130\u0300-\U0010ffff]")
         self.letter = re.compile("[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]").match
-        # pieces that can stand in one text: no marks, no white space inside, and a cut before each
-        self.plain = re.compile("[!-;=-~\xa1-\xac\xae-\u02ff]+" if self.dropping else "[ \n][!-;=-~\xa1-\xac\xae-\u02ff]+").fullmatch
+        # pieces that can stand in one text, with a cut before each
+        dropping = re.compile("[!-;=-~\xa1-\xac\xae-\u02ff]+").fullmatch
+        self.plain = dropping if self.dropping else lambda p: p[0] in " \n" and not p[-1].isspace()
 
     def pieces(self, text: str) -> list[str]:
         if self.dropping:
@@ -100,41 +105,51 @@ class PieceEncoder:
         return line.isprintable() and line != "" and "  " not in line and line[0] != " " != line[-1]
 
     def __call__(self, text: str) -> bytes:
-        pieces = self.pieces(text)
+        pieces, known = self.pieces(text), self.known
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
+            out = b"".join(map(known.__getitem__, pieces))
         except KeyError:
-            self._learn(pieces)
-        out = b"".join(map(self.known.__getitem__, pieces))
-        if len(self.known) > PIECES or not (self.byte_level or self.dropping):
-            self.known = {k: v for k, v in self.known.items() if len(k) <= SHORT}
+            self._learn(set(pieces).difference(known))
+            out = b"".join(map(known.__getitem__, pieces))
+        if len(known) > PIECES or not (self.byte_level or self.dropping):
+            self.known = {k: v for k, v in known.items() if len(k) <= SHORT}
             if len(self.known) > PIECES // 2:
                 self.known = {}
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        new, known = set(pieces).difference(self.known), self.known
+    def _learn(self, new: set[str]) -> None:
+        known = self.known
         if not (self.byte_level or self.dropping):
             known |= zip(new, map(_packed, self.tokenizer.encode_batch_fast([*new], add_special_tokens=False)))
             return
-        stems, tails = [], []
+        whole, ends = {}, {}  # pieces that end in marks, by stem and tail: a pattern ends letters there
         for p in new:
-            stem = p.rstrip(".,!?;:")
-            cut = stem if stem and len(stem) < len(p) and self.letter(stem[-1]) else p  # a pattern ends letters there
-            stems.append(cut)
-            tails.append(p[len(cut) :])
-        need = {*stems, *tails}.difference(known)
+            if p[-1:] in MARKS and (stem := p.rstrip(".,!?;:")) and self.letter(stem[-1]):
+                ends[p] = stem, p[len(stem) :]
+            elif p:
+                whole[p] = None
+            else:
+                known[p] = b""
+        need = whole.keys() | {x for pair in ends.values() for x in pair if x not in known}
         plain = [p for p in need if self.plain(p)]
         apart = [*need.difference(plain)]
         known |= zip(apart, map(_packed, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)))
         for k in range(0, len(plain), TOGETHER):
             part = plain[k : k + TOGETHER]
             known |= zip(part, self._together(part))
-        known |= ((p, known[a] + known[b]) for p, a, b in zip(new, stems, tails) if b)
+        known |= ((p, known[a] + known[b]) for p, (a, b) in ends.items())
 
     def _together(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that each start at a cut, from one text."""
         gap = " " if self.dropping else ""
+        if self.byte_level:  # a piece starts with white space, which opens a token, and should open no other
+            text = "".join(pieces)
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            cut = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
+            if len(cut) != len(pieces) + 1 or "<|" in text:
+                return [*map(_packed, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))]
+            raw = struct.pack(f"<{len(ids)}I", *ids)
+            return [raw[4 * a : 4 * z] for a, z in zip(cut, cut[1:])]
         e = self.tokenizer.encode(gap.join(pieces), add_special_tokens=False)
         raw = struct.pack(f"<{len(e.ids)}I", *e.ids)
         starts = [a for a, _ in e.offsets]

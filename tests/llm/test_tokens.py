@@ -152,3 +152,15 @@ def test_cache_bound_changes_no_ids(monkeypatch):
     for text in texts(50, 9)[1:]:
         assert len(encode(text)) // 4 == len(ids(BYTES, text))
     assert encoder(BYTES) is encoder(BYTES)
+
+
+def test_encoding_and_page_indexes(spark):
+    import pyarrow.parquet as pq
+
+    out = new_folder(spark, "tokens")
+    token_files.write_tokens(spark.createDataFrame(list(enumerate(texts(400, 6)))[1:], "doc_id long, text string"), out, BYTES)
+    files = [r.path.removeprefix("file:") for r in spark.read.format("binaryFile").load(out).select("path").collect() if r.path.endswith(".parquet")]
+    columns = [m.row_group(0).column(m.num_columns - 1) for m in (pq.ParquetFile(f).metadata for f in files) if m.num_row_groups]
+    assert columns and all("DELTA_BINARY_PACKED" in c.encodings for c in columns)
+    ids = [m.row_group(0).column(0) for m in (pq.ParquetFile(f).metadata for f in files) if m.num_row_groups]
+    assert all(c.has_column_index and c.has_offset_index for c in ids)
