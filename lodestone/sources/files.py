@@ -24,12 +24,25 @@ def ignored(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED)))
 
 
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Files of no bytes under root, which Spark's readers pass over; a package may well start with one."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, out = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return out
+
+
 def scan(spark: SparkSession, root: str, include: DataFrame | None = None) -> DataFrame:
     """path (from root), ext, language, text, size, mtime of the supported files under root.
 
     include: (path); only those. Bytes that are not UTF-8 are replaced.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    none = spark.createDataFrame([(p,) for p in empty_files(spark, root)], "path string")
+    raw = raw.unionByName(none.withColumns({"length": F.lit(0).cast("long"), "content": F.lit(b"")}), allowMissingColumns=True)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
     path = F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.length(base) + 2, F.lit(10_000))
     files = raw.withColumn("path", path).where(extension(F.col("path")).isin(*LANGUAGES) & ~ignored(F.col("path")))
