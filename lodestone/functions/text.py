@@ -170,3 +170,13 @@ def python_class(reads_sql: Column, reads_file: Column, writes_table: Column, wr
         .when(reads_sql & writes_file, "python_export").when(reads & writes, "python_etl").when(writes_table, "python_table_write").when(writes_file, "python_file_write")
         .when(reads_sql, "python_sql_read").when(reads_file, "python_file_read").otherwise("python_other")
     )
+
+
+def notebook_class(reads: Column, writes: Column) -> Column:
+    return F.when(reads & writes, "notebook_etl").when(reads, "notebook_ingestion").when(writes, "notebook_export").otherwise("notebook_analysis")
+
+
+def line_range(start: Column, end: Column) -> Column:
+    """A range of lines: what is missing or negative is 0, an end before the start is the start."""
+    a, b = (F.greatest(F.lit(0), F.coalesce(x.cast("int"), F.lit(0))) for x in (start, end))
+    return F.struct(a.alias("start"), F.greatest(a, b).alias("end"))

@@ -161,6 +161,34 @@ def signal_agreement(q: Column, methods: Column, verified_none: Column, entrypoi
     return F.when((q == "q2_critical_outputs") & verified_none, F.lit(0.95)).when((q == "q3_blast_radius") & gap, F.lit(0.25)).when(F.size(said) == 0, F.lit(0.20)).otherwise(clamp01(base))
 
 
+def graph_coverage(q: Column, stats: dict[str, Column], entrypoint: Column, verified_none: Column, scan_complete: Column, has_module: Column, gap: Column, focus: Column, strong: Column, active_ratio: Column, status: Column, git_only: Column, low_signal: Column) -> Column:
+    """How much of the code the graphs cover, seen from a question. stats: counts of nodes and edges by name."""
+    s = {k: v.cast("double") for k, v in stats.items()}
+    one = lambda x: F.greatest(F.lit(1.0), x)
+    lineage = F.least(F.lit(1.0), s["lineage_edges"] / one(s["datasets"] + s["transformations"]))
+    module = F.least(F.lit(1.0), s["module_edges"] / one(s["module_nodes"]))
+    some = s["module_nodes"] > 0
+    q1 = F.when(entrypoint, F.when(some, 0.55).otherwise(0.35)).when(s["datasets"] > 0, 0.55 + 0.45 * lineage).when(s["lineage_nodes"] > 0, 0.65).when(some, 0.50).otherwise(0.20)
+    q2 = F.when(verified_none, 0.95).when(s["datasets"] > 0, 0.40 + 0.35 * s["sinks"] / one(s["datasets"]) + 0.25 * lineage).when(s["lineage_nodes"] > 0, 0.60).when(scan_complete, 0.75).otherwise(0.25)
+    q3 = 0.25 + 0.45 * module + F.when(has_module, 0.30).otherwise(0.10)
+    q3 = F.when(~some, 0.20).when(gap, F.least(q3, F.lit(0.30))).otherwise(q3)
+    q4 = 0.45 + 0.35 * F.least(F.lit(1.0), focus / 5.0) + 0.20 * module
+    q4 = F.when(strong, F.greatest(q4, F.lit(0.82))).otherwise(q4)
+    q5 = 0.45 + 0.35 * active_ratio + 0.20 * module
+    q5 = F.when(status == "shallow", F.least(q5, F.lit(0.44))).when(git_only, F.least(q5, F.lit(0.70))).otherwise(q5)
+    q5 = F.when(status.isin("missing", "unavailable"), 0.22).when(low_signal | (status == "shallow"), F.least(q5, F.lit(0.58))).otherwise(q5)
+    out = F.when(q == "q1_primary_ingestion", q1).when(q == "q2_critical_outputs", q2).when(q == "q3_blast_radius", q3).when(q == "q4_logic_concentration", q4).when(q == "q5_change_velocity", q5).otherwise(0.50)
+    return clamp01(out)
+
+
+def reason(label: Column, factors: dict[str, Column]) -> Column:
+    """A sentence on a confidence: its strongest and its weakest factor (ties: the first by name)."""
+    ranked = F.array_sort(F.array(*[F.struct(v.alias("v"), F.lit(k.replace("_", " ")).alias("k")) for k, v in sorted(factors.items())]))
+    strongest = F.array_max(F.transform(ranked, lambda x: F.struct(x["v"].alias("v"), F.negative(F.length(x["k"])).alias("n"), x["k"].alias("k"))))
+    say = lambda x: F.concat(x["k"], F.lit(" ("), F.format_number(x["v"], 2), F.lit(")"))
+    return F.concat(F.initcap(label), F.lit(" confidence: strongest is "), say(strongest), F.lit(", weakest is "), say(ranked[0]), F.lit("."))
+
+
 def repo_fit(q: Column, repo_profile: Column, files: Column, entrypoint: Column, verified_none: Column, operational: Column) -> Column:
     low = F.transform(files, F.lower)
     share = lambda ext: F.size(F.filter(low, lambda f: F.endswith(f, F.lit(ext)))) / F.greatest(F.lit(1), F.size(low))

@@ -67,19 +67,21 @@ def answers(tables: dict[str, DataFrame], status: str = "complete") -> list[dict
         ("q5_change_velocity", ", ".join(q5) or "no changes known", files(q5, "git_log_frequency")),
     ]
     rows = spark.createDataFrame([(q, a, [e["analysis_method"] for e in ev], [e["source_file"] for e in ev]) for q, a, ev in raw], "q string, answer string, methods array<string>, files array<string>")
+    kinds = {r["node_type"]: r["count"] for r in nodes.groupBy("node_type").count().collect()}
+    stats = {"module_nodes": m.count(), "module_edges": tables["module_edges"].where("edge_type = 'IMPORTS'").count(), "lineage_nodes": sum(kinds.values()), "lineage_edges": edges.count(), "datasets": kinds.get("dataset", 0), "transformations": kinds.get("transformation", 0), "sinks": d.where("out_degree = 0 AND in_degree > 0").count(), "active": m.where("commit_count > 0").count()}
     no, q, me = F.lit(False), F.col("q"), F.col("methods")
     git = q == "q5_change_velocity"
     verified = (q == "q2_critical_outputs") & F.lit(not q2)
     factors = {
         "evidence_count": S.evidence_count(q, me, verified, no, no, no, git), "evidence_diversity": S.evidence_diversity(q, me, verified, no, no, git),
-        "graph_coverage": F.lit(0.6), "heuristic_reliability": S.heuristic_reliability(q, me, verified, no, no, no),
+        "graph_coverage": S.graph_coverage(q, {k: F.lit(v) for k, v in stats.items()}, no, verified, F.lit(True), F.lit(bool(q3)), no, F.lit(len(q4)), no, F.lit(stats["active"] / max(1, stats["module_nodes"])), F.lit(status), git, no), "heuristic_reliability": S.heuristic_reliability(q, me, verified, no, no, no),
         "signal_agreement": S.signal_agreement(q, me, verified, no, no), "repo_type_fit": S.repo_fit(q, F.lit(S.profile(m).first()["profile"]), F.col("files"), no, verified, S.mentions_operations(F.col("answer"))),
     }
     score = S.confidence(**factors)
     score = F.when(git, S.git_only_cap(score, F.lit(status), no, F.size(me) > 0)).otherwise(score)
-    made = rows.select("q", F.round(T.clamp01(score), 4).alias("score"), S.label(score).alias("label"), *[F.round(v, 4).alias(k) for k, v in factors.items()]).collect()
+    made = rows.select("q", F.round(T.clamp01(score), 4).alias("score"), S.label(score).alias("label"), S.reason(S.label(score), factors).alias("reason"), *[F.round(v, 4).alias(k) for k, v in factors.items()]).collect()
     by = {r["q"]: r.asDict() for r in made}
-    return [{"question_id": k, "answer": a, "evidence": ev, "confidence_label": by[k]["label"], "confidence_score": by[k]["score"], "confidence_factors": {f: by[k][f] for f in factors}} for k, a, ev in raw]
+    return [{"question_id": k, "answer": a, "evidence": ev, "confidence_label": by[k]["label"], "confidence_score": by[k]["score"], "confidence_reason": by[k]["reason"], "confidence_factors": {f: by[k][f] for f in factors}} for k, a, ev in raw]
 
 
 def brief(found: list[dict]) -> str:
@@ -88,7 +90,7 @@ def brief(found: list[dict]) -> str:
     for k, title in QUESTIONS.items():
         a = by.get(k, {"answer": "", "evidence": [], "confidence_label": "low", "confidence_score": 0.0, "confidence_factors": {}})
         factors = "; ".join(f"{f}={v:.2f}" for f, v in a["confidence_factors"].items())
-        out.append(f"## {title}\n\nQuestion: {k}\n\n{a['answer']}\n\nConfidence: {a['confidence_label']} ({a['confidence_score']:.4f})\n\nFactors: {factors}\n\nEvidence:\n" + "\n".join(f"- {json.dumps(e, sort_keys=True)}" for e in a["evidence"]))
+        out.append(f"## {title}\n\nQuestion: {k}\n\n{a['answer']}\n\nConfidence: {a['confidence_label']} ({a['confidence_score']:.4f})\n\nReason: {a.get('confidence_reason', '')}\n\nFactors: {factors}\n\nEvidence:\n" + "\n".join(f"- {json.dumps(e, sort_keys=True)}" for e in a["evidence"]))
     return "\n\n".join(out) + "\n"
 
 

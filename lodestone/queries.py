@@ -411,7 +411,7 @@ def a11_distinct_evidence(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
 
 
-@query("a12_token_spend", "SELECT role, sum(greatest(1, length(text) // 4)) AS tokens, round(sum(greatest(1, length(text) // 4)) / 1000.0 * 0.5, 6) AS cost FROM conversations GROUP BY role")
+@query("a12_token_spend", "SELECT role, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, round(sum(greatest(1, length(text) // 4)) / 1000.0 * 0.5, 6) AS cost FROM conversations GROUP BY role")
 def a12_token_spend(spark, d):
     t = table(spark, d, "conversations").groupBy("role").agg(F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
     return t.withColumn("cost", F.round(F.col("tokens") / 1000.0 * 0.5, 6))
@@ -589,6 +589,18 @@ def r18_agreement(spark, d):
     return answers(spark, d).select("id", F.round(S.signal_agreement(F.col("q"), F.col("methods"), F.col("a"), F.col("b"), F.col("b")), 6).alias("factor"))
 
 
+@query("r16_graph_coverage", f"""WITH s AS (SELECT id, q, a, b, id % 9 AS mn, id % 14 AS me, id % 12 AS ln, id % 16 AS le, id % 5 AS dn, id % 4 AS tn, least(id % 5, id % 3) AS sk FROM {ANSWERS}), d AS (SELECT *, least(1.0, le / greatest(1.0, dn + tn)) AS dl, least(1.0, me / greatest(1.0, mn)) AS dm FROM s)
+    SELECT id, round(CASE q WHEN 'q1_primary_ingestion' THEN CASE WHEN b THEN CASE WHEN mn > 0 THEN 0.55 ELSE 0.35 END WHEN dn > 0 THEN least(1, 0.55 + 0.45 * dl) WHEN ln > 0 THEN 0.65 WHEN mn > 0 THEN 0.5 ELSE 0.2 END
+    WHEN 'q2_critical_outputs' THEN CASE WHEN a THEN 0.95 WHEN dn > 0 THEN least(1, 0.4 + 0.35 * sk / greatest(1.0, dn) + 0.25 * dl) WHEN ln > 0 THEN 0.6 ELSE 0.25 END
+    WHEN 'q3_blast_radius' THEN CASE WHEN mn <= 0 THEN 0.2 WHEN b THEN least(0.3, 0.25 + 0.45 * dm + 0.3) ELSE least(1, 0.25 + 0.45 * dm + 0.3) END
+    ELSE CASE WHEN a THEN greatest(0.82, least(1, 0.45 + 0.35 * 0.6 + 0.2 * dm)) ELSE least(1, 0.45 + 0.35 * 0.6 + 0.2 * dm) END END, 6) AS factor FROM d""")
+def r16_graph_coverage(spark, d):
+    k, no = F.col("id"), F.lit(False)
+    stats = {"module_nodes": k % 9, "module_edges": k % 14, "lineage_nodes": k % 12, "lineage_edges": k % 16, "datasets": k % 5, "transformations": k % 4, "sinks": F.least(k % 5, k % 3)}
+    f = S.graph_coverage(F.col("q"), stats, entrypoint=F.col("b"), verified_none=F.col("a"), scan_complete=no, has_module=F.lit(True), gap=F.col("b"), focus=F.lit(3), strong=F.col("a"), active_ratio=F.lit(0.5), status=F.lit("complete"), git_only=no, low_signal=no)
+    return answers(spark, d).select("id", F.round(f, 6).alias("factor"))
+
+
 @query("r13_confidence", """SELECT doc_id AS id, CAST(round(s, 4) AS DOUBLE) AS score, CASE WHEN round(s, 6) >= 0.75 THEN 'high' WHEN round(s, 6) >= 0.45 THEN 'medium' ELSE 'low' END AS label
     FROM (SELECT doc_id, CAST(0.25 AS DOUBLE) * (doc_id % 11) / 10.0 + 0.2 * (doc_id % 7) / 6.0 + 0.2 * (doc_id % 5) / 4.0 + 0.15 * quality + 0.1 * toxic + 0.1 * (doc_id % 3) / 2.0 AS s FROM labels)""")
 def r13_confidence(spark, d):

@@ -150,3 +150,37 @@ def test_repositories_and_files(spark, tmp_path):
     with pytest.raises(ValueError):
         graph_files.artifact(spark, str(tmp_path), "../x")
     assert graph_files.read_lines(spark, str(tmp_path / "none.jsonl"), "a int").count() == 0
+
+
+def test_read_models_and_sessions(tables, tmp_path):
+    from lodestone.plans import readmodels as R
+
+    s = R.summary(tables).first()
+    assert s.modules == 11 and s.datasets >= 5 and s.transformations == 3
+    assert R.hubs(tables).first().path == "helpers.py" and R.module_graph(tables).count() == 11
+    by = {r.id: (r.upstream, r.downstream) for r in R.lineage_graph(tables).collect()}
+    assert by["dataset::orders_raw"] == (0, 4) and by["dataset::mart.daily"][1] == 0
+    assert {r.domain: r.n for r in R.domains(tables).collect()}["sub"] == 3
+    assert [r.path for r in R.find_text(tables, "helpers").collect()] == ["helpers.py"] and R.find_text(tables, "").count() == 11
+    assert {(r.direction, r.id) for r in R.node_details(tables, "helpers.py").collect()} >= {("upstream", "pipeline.py"), ("downstream", "helpers.py::clean")}
+    assert R.drift_flags(tables).count() >= 1 and "public_functions" in R.semantic_index(tables).columns
+    store = R.Sessions(tmp_path / "s.json")
+    (tmp_path / "a").mkdir()
+    first = store.register(tmp_path / "a", tmp_path, 1.0)
+    store.register(tmp_path, tmp_path, 2.0)
+    assert [x["last_analysis_epoch"] for x in store.list()] == [2.0, 1.0] and store.select(first["repo_id"])["path"].endswith("a") and store.active()["repo_id"] == first["repo_id"]
+    with pytest.raises(ValueError):
+        store.select("none")
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    from lodestone import cli
+
+    out = str(tmp_path / "out")
+    assert cli.main(["analyze", tree, "--output", out]) == 0 and cli.main(["visualize", str(tmp_path)]) == 1
+    capsys.readouterr()
+    assert cli.main(["query", out, "trace_lineage", "mart.daily"]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert shown[0]["ok"] and {"dataset::orders_raw"} <= {r["node"] for r in shown[0]["result"]}
+    assert cli.main(["query", out, "explain_module", "nope"]) == 2 and cli.main(["visualize", out]) == 0
+    assert "<table>" in (tmp_path / "out/lineage.html").read_text() and (tmp_path / "out/CODEBASE.md").exists()
