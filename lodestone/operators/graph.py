@@ -58,7 +58,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
         new = cut(new.select("start", "node", F.lit(depth).alias("depth"), "parent", (F.col("last") + F.col("nth")).alias("position")))
         if new.isEmpty():
             break
-        seen, frontier = cut(seen.unionByName(new)), new
+        seen, frontier = seen.unionByName(new), new  # a union of levels that are each cut
     return seen.where("depth > 0")
 
 
@@ -90,15 +90,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
     total = weights.groupBy("src").agg(F.sum("weight").alias("total"))
     share = cut(weights.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     rank = cut(nodes.select("id").join(total.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    lost = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")
+    dangling = rank.agg(lost).first()["lost"]
     for _ in range(rounds):
-        lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         given = rank.join(share, rank["id"] == share["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        base = (1 - alpha) / n + alpha * lost / n
+        base = (1 - alpha) / n + alpha * dangling / n
         after = rank.join(given, rank["id"] == given["dst"], "left").select("id", "dangling", (F.lit(base) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
         after = cut(after)
-        change = after.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        rank = after.drop("old")
-        if change < n * tolerance:
+        now = after.agg(lost, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change")).first()
+        rank, dangling = after.drop("old"), now["lost"]
+        if now["change"] < n * tolerance:
             break
     return rank.select("id", "rank")
 
@@ -151,7 +152,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most: int = 250) -> DataFram
         new = cut(met.join(seen.select("s", "t"), ["s", "t"], "left_anti").select("s", "t", F.lit(d).alias("d"), "paths"))
         if new.isEmpty():
             break
-        seen, frontier = cut(seen.unionByName(new)), new
+        seen, frontier = seen.unionByName(new), new  # a union of levels that are each cut
     a = seen.where("d > 0").select("s", F.col("t").alias("v"), F.col("d").alias("d1"), F.col("paths").alias("p1"))
     b = seen.where("d > 0").select(F.col("s").alias("v"), "t", F.col("d").alias("d2"), F.col("paths").alias("p2"))
     st = seen.where("d > 0")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: English words that no index keeps.
 ENGLISH = "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your".split()
 
@@ -25,10 +27,11 @@ def tfidf(docs: DataFrame, grams: int = 2, features: int | None = 2048) -> tuple
     """
     n = docs.count()
     tf = docs.select("id", F.explode(terms(F.col("text"), grams)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tf = cut(tf)  # read three times below
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     if features:
         df = df.orderBy(F.desc("total"), "term").limit(features)
-    idf = df.select("term", (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = cut(df.select("term", (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1).alias("idf")))
     raw = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight")), idf
