@@ -220,17 +220,10 @@ def _count_batches(path: str, chunk: int, overlap: int):
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        t = load(path)
-        splices = _is_byte_level(_spec(path))
+        encode, splices = encoder(path), _is_byte_level(_spec(path))
         for b in batches:
             texts = b.column(1).fill_null("").to_pylist()
-            short = [k for k, x in enumerate(texts) if len(x) <= chunk or not splices]
-            n = np.zeros(len(texts), np.int64)
-            for k in range(0, len(short), 64):
-                part = short[k : k + 64]
-                n[part] = [len(e.ids) for e in t.encode_batch_fast([texts[j] for j in part], add_special_tokens=False)]
-            for k in set(range(len(texts))).difference(short):
-                n[k] = count_by_chunks(t, texts[k], chunk, overlap)
+            n = [count_by_chunks(encode.tokenizer, x, chunk, overlap) if splices and len(x) > chunk else len(encode(x)) // 4 for x in texts]
             yield batch(schema, b.column(0), [len(x.encode()) for x in texts], n)
 
     return run

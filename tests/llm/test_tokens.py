@@ -164,3 +164,12 @@ def test_encoding_and_page_indexes(spark):
     assert columns and all("DELTA_BINARY_PACKED" in c.encodings for c in columns)
     ids = [m.row_group(0).column(0) for m in (pq.ParquetFile(f).metadata for f in files) if m.num_row_groups]
     assert all(c.has_column_index and c.has_offset_index for c in ids)
+
+
+def test_packing_keeps_repeats_null_ids_and_one_huge_text(spark):
+    rows = [(None, "a b", 1), (3, "a b", 2), (3, "a b", 3), (4, "word " * 5000, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length int")
+    got = packing.pack(df, WORDS, capacity=4096).collect()
+    n = len(ids(WORDS, "word " * 5000)) + 1
+    assert sorted(((r.doc_id, r.piece, r.length) for r in got), key=str) == sorted([(None, 0, 3), (3, 0, 3), (3, 0, 3), (4, 0, 4096), (4, 1, n - 4096)], key=str)
+    check_packing(got, 4096, 2)
