@@ -515,7 +515,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = stage(spark, rows.mapInArrow(_chunk_batches, "chunk long, size long, ids array<long>, lengths array<long>, data binary, rest binary"), "chunks")
     total = chunks.agg(F.sum("size")).first()[0] or 0
     buckets = max(6, -(-total // BUCKET))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     texts = chunks.select("chunk", "size", "ids", "lengths", "data")
     lists = texts.mapInArrow(_anchor_batches(least, gram, buckets), "bucket int, chunk long, blob binary, flags binary")
     bits = lists.groupBy("bucket").applyInArrow(_shared_groups, "chunk long, bucket int, bits binary")
