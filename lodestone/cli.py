@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
     o = p.parse_args(argv)
     spark = session()
     if o.command == "analyze":
-        out = o.output or f"{o.path}/.cartography"
+        out = o.output or f"{o.path}/.lodestone"
         Path(out).mkdir(parents=True, exist_ok=True)
         status, log = gitlog.capture(o.path, o.days)
         save(analyze.analyze(spark, o.path, log), out)

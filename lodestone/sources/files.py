@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Extensions that are read, and folders that are not.
 LANGUAGES = {"py": "python", "sql": "sql", "yaml": "yaml", "yml": "yaml", "js": "javascript", "ts": "typescript", "ipynb": "notebook"}
-IGNORED = (".git", "__pycache__", ".venv", "venv", "node_modules", ".cartography", "dist", "build")
+IGNORED = (".git", "__pycache__", ".venv", "venv", "node_modules", ".cartography", ".lodestone", "dist", "build")
 
 
 def extension(path: Column) -> Column:

@@ -7,7 +7,7 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HEADER = "__BC_COMMIT__"
+HEADER = "__COMMIT__"
 
 
 def capture(repo: str, days: int = 90) -> tuple[str, str]:

@@ -49,7 +49,7 @@ def metadata(repo: str | Path) -> dict[str, str]:
     return {"owner": owner, "repo_name": name, "branch": git(repo, "rev-parse", "--abbrev-ref", "HEAD") or "unknown", "url": url, "display_name": f"{owner}/{name}"}
 
 
-def mirror(source: str, workspace: str | Path, keep: str = ".cartography") -> Path:
+def mirror(source: str, workspace: str | Path, keep: str = ".lodestone") -> Path:
     """A copy of a local folder, or a shallow clone of a remote repository, in the workspace.
 
     What the folder `keep` of an earlier copy holds stays. A clone of another origin is replaced.

@@ -140,9 +140,9 @@ def test_repositories_and_files(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.py").write_text("x")
     to = repositories.mirror(str(tmp_path / "src"), tmp_path / "w")
-    (to / ".cartography").mkdir()
+    (to / ".lodestone").mkdir()
     repositories.mirror(str(tmp_path / "src"), tmp_path / "w")
-    assert sorted(p.name for p in to.iterdir()) == [".cartography", "a.py"] and repositories.metadata(to)["owner"] == "local"
+    assert sorted(p.name for p in to.iterdir()) == [".lodestone", "a.py"] and repositories.metadata(to)["owner"] == "local"
     old = tmp_path / "old.json"
     old.write_text(json.dumps({"nodes": [{"id": "dataset::a"}, {"id": "m.py"}], "links": [{"source": "m.py", "target": "dataset::a", "edge_type": "PRODUCES", "weight": -1}]}))
     nodes, edges = graph_files.read_graph(spark, str(old))
