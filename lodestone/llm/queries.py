@@ -95,7 +95,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), k AS (
+            SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < keeper THEN keeper END AS refers_to
+        FROM p LEFT JOIN k ON k.payload_digest = p.payload_digest AND payload_bytes >= 1000
+    """,
+    "op9_decontamination": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents
+        ), b AS (
+            SELECT item_id, w, least(13, len(w)) AS m FROM (SELECT item_id, coalesce({_WORDS}, []) AS w FROM benchmark) WHERE len(w) > 0
+        ), bw AS (
+            SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS k FROM b)
+        ), dw AS (
+            SELECT doc_id, k, m, array_to_string(w[k:k + m - 1], ' ') AS x
+            FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)
+        ), h AS (
+            SELECT doc_id, k, dw.m, item_id FROM dw JOIN bw ON bw.m = dw.m AND bw.x = dw.x
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS p FROM h) GROUP BY doc_id
+        ), it AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+    """,
     "op8_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
