@@ -28,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, carried, pack_ints, release, renamed, small_batches, stage, unpack_ints, unstage, utf8
+from .common import batch, carried, pack_ints, release, renamed, small_batches, stage, trim, unpack_ints, unstage, utf8
 
 #: Bytes of the shortest string that counts, and of a k-gram.
 MIN, GRAM = 50, 20
 #: Bytes of text in a chunk (a longer text is one), and behind a bucket.
 CHUNK, BUCKET = 4 << 20, 16 << 20
+#: Bytes of chunks that a worker gets at once.
+BATCH = 4 << 20
 #: Places scanned, contexts compared, and suffixes sorted at a time.
 BLOCK, CONTEXTS, SUFFIXES = 1 << 17, 100_000, 1 << 19
 
@@ -315,6 +317,7 @@ def _context_batches(least: int, k: int, buckets: int):
                         fields = [pack_ints(h[o]), pack_ints(doc[o]), pack_ints(start[o]), pack_ints(many[o].astype(np.uint8)), body]
                         out.append((n, b"".join(len(f).to_bytes(4, "little") + f for f in fields)))
                 yield batch(_CONTEXTS, [n for n, _ in out], [chunk] * len(out), [x for _, x in out])
+        trim()
 
     return run
 
@@ -457,6 +460,7 @@ def _lpf_groups(least: int, k: int):
         by = np.argsort(who, kind="stable")
         who, x, y = who[by], x[by].astype(np.int64), y[by].astype(np.int64)
         at = np.searchsorted(who, np.arange(len(parts) + 1)).tolist()
+        trim()
         out = [(chunks[p], _runs_blob(x[i:j], y[i:j])) for p, (i, j) in enumerate(zip(at, at[1:])) if j > i]
         return pa.Table.from_batches([batch(_RUNS, [c for c, _ in out], [z for _, z in out])], _RUNS)
 
@@ -515,6 +519,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = stage(spark, rows.mapInArrow(_chunk_batches, "chunk long, size long, ids array<long>, lengths array<long>, data binary, rest binary"), "chunks")
     total = chunks.agg(F.sum("size")).first()[0] or 0
     buckets = max(6, -(-total // BUCKET))
+    small_batches(spark, size=BATCH)
     texts = chunks.select("chunk", "size", "ids", "lengths", "data")
     lists = texts.mapInArrow(_anchor_batches(least, gram, buckets), "bucket int, chunk long, blob binary, flags binary")
     bits = lists.groupBy("bucket").applyInArrow(_shared_groups, "chunk long, bucket int, bits binary")

@@ -24,13 +24,15 @@ from .common import batch, picked, small_batches, stage
 from .tokens import encoder
 
 CAPACITY, END_ID = 4096, 1
+#: Distinct pieces of text that a worker keeps: it may have other work to do besides.
+PIECES = 600_000
 
 
 def _piece_batches(path: str, capacity: int, end_id: int):
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
 
     def run(batches):
-        encode, end, task = encoder(path), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        encode, end, task = encoder(path, PIECES), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for b in batches:
             rows = []

@@ -73,7 +73,8 @@ class PieceEncoder:
     other runs of white space is cut only where such a run starts. Other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
+        self.most = most or PIECES
         self.tokenizer, spec = load(path), _spec(path)
         self.byte_level, self.dropping = _is_byte_level(spec), _drops_spaces(spec)
         self.known: dict[str, bytes] = {}
@@ -111,9 +112,9 @@ class PieceEncoder:
         except KeyError:
             self._learn(set(pieces).difference(known))
             out = b"".join(map(known.__getitem__, pieces))
-        if len(known) > PIECES or not (self.byte_level or self.dropping):
+        if len(known) > self.most or not (self.byte_level or self.dropping):
             self.known = {k: v for k, v in known.items() if len(k) <= SHORT}
-            if len(self.known) > PIECES // 2:
+            if len(self.known) > self.most // 2:
                 self.known = {}
         return out
 
@@ -168,8 +169,8 @@ def _packed(encoding) -> bytes:
 
 
 @functools.cache
-def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def encoder(path: str, most: int | None = None) -> PieceEncoder:
+    return PieceEncoder(path, most)
 
 
 def _words(encoding) -> tuple[list[int], list[int]]:
