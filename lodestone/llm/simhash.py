@@ -30,12 +30,16 @@ from .components import components
 WORDS, RADIUS, SEED = 4, 4, 42
 #: A shard with more rows is cut into pieces of about this size.
 SHARD_ROWS = 8192
+#: Bytes of shingle sets in such a piece.
+SHARD_BYTES = 16 << 20
 #: Rows that a task holds at once, besides one shard.
 HELD_ROWS = 100_000
 #: (query, node) pairs that a search holds at once.
 FRONTIER = 1 << 20
 #: For the pipeline's rule: bits for the trees' radius, minima in a shard key, shard keys, bins of the sketch.
 NEAR_RADIUS, BAND_ROWS, BANDS, BINS = 20, 2, 6, 128
+#: Similarity that sketches must show for a pair to be compared in full: six standard errors below the rule's 0.8.
+LOOSE = 0.6
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1).astype(np.int64)
@@ -231,8 +235,14 @@ def _forest_batches(radius: int, sketched: bool):
 
 
 def cells(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """rows(shard, ...) -> rows(cell, ...): a shard is a cell, a large one a cell for each pair of its pieces."""
-    large = rows.groupBy("shard").count().where(F.col("count") > SHARD_ROWS).select("shard", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("pieces"))
+    """rows(shard, ...) -> rows(cell, ...): a shard is a cell, a large one a cell for each pair of its pieces.
+
+    Where rows have a size in bytes, a shard of more than SHARD_BYTES is large too.
+    """
+    share = F.count("*") / SHARD_ROWS
+    if "size" in rows.columns:
+        share = F.greatest(share, F.sum(F.col("size").cast("long")) / SHARD_BYTES)
+    large = rows.groupBy("shard").agg(F.ceil(share).cast("int").alias("pieces")).where("pieces > 1")
     rest = [c for c in rows.columns if c != "shard"]
     if large.isEmpty():
         return rows.select(F.col("shard").alias("cell"), *rest)
@@ -291,7 +301,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # The pipeline's rule: Jaccard similarity of the sets of shingles at or above a threshold. Two texts as
 # similar as 0.8 differ in about 10 of 64 bits, sometimes 16, more than whole pieces can shard. There the
 # shard keys are minima of the shingle hashes under several hash functions (two at a time, six times: a pair
-# at 0.8 shares one with probability 0.998), and the trees' hits are tested on a sketch of 128 bins.
+# at 0.8 shares one with probability 0.998), and the trees' hits are tested loosely on a sketch of 128 bins.
+# Texts that loose links connect are then compared by their full sets of shingles, and only that makes a link.
 
 _A = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(1, BAND_ROWS * BANDS + 1)], np.uint64) | np.uint64(1)
 
@@ -322,7 +333,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def similar(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, least: float = 0.8) -> np.ndarray:
+def similar(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, least: float = LOOSE) -> np.ndarray:
     """Whether the similarity that two sketches show, less chance hits of a byte, is `least` or more."""
     out = np.empty(len(a), bool)
     for k in range(0, len(a), 1 << 16):
@@ -334,16 +345,56 @@ def similar(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, least: float = 0.8
     return out
 
 
+def exact_labels(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of hashes the least position that links of similarity 0.8 or more reach."""
+    label, size = np.arange(len(sets)), np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sets = np.split(codes, np.cumsum(size)[:-1])
+    mark = np.zeros(len(codes), bool)
+    for x in range(len(sets) - 1):
+        if label.max() == label.min():
+            break
+        rest = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+        rest = rest[5 * np.minimum(size[rest], size[x]) >= 4 * np.maximum(size[rest], size[x])]
+        if not rest.size:
+            continue
+        mark[sets[x]] = True
+        both = np.array([np.count_nonzero(mark[sets[y]]) for y in rest])
+        mark[sets[x]] = False
+        near = rest[5 * both >= 4 * (size[x] + size[rest] - both)]
+        label = merged(label, np.full(len(near), x), near)
+    return label
+
+
+def _exact_batches(batches):
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    for b in grouped(batches, 0, 1):
+        cell, rep = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        sets = [np.frombuffer(x, np.uint64) for x in values(b.column(2))]
+        edge = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        label = np.concatenate([lo + exact_labels(sets[lo:hi]) for lo, hi in zip(edge, edge[1:])])
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        yield batch(schema, rep[linked], rep[label[linked]])
+
+
+def exact_links(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows(shard, fp, rep, size, shingles) -> links (u, v) that span each shard's pairs at 0.8 or more."""
+    dealt = cells(spark, rows).select("cell", "rep", "shingles").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(_exact_batches, "u long, v long").distinct()
+
+
 def _near_batches(words: int):
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("text_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("text_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("size", pa.int32()), ("shingles", pa.binary())])
 
     def run(batches):
         for b in batches:
             digests = [shingle_digests(t, words) for t in values(b.column(1))]
+            sets = [np.unique(np.frombuffer(d, ">u8").astype(np.uint64)).tobytes() for d in digests]
             keys, sketch = sketches(digests)
             texts = np.array([xxhash.xxh64_intdigest(d, 7) for d in digests], np.uint64).view(np.int64) if digests else np.empty(0, np.int64)
             offsets = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
-            yield batch(schema, b.column(0), fingerprints(digests).view(np.int64) if digests else [], texts, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), [x.tobytes() for x in sketch])
+            prints = fingerprints(digests).view(np.int64) if digests else []
+            yield batch(schema, b.column(0), prints, texts, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), [x.tobytes() for x in sketch], [len(x) for x in sets], sets)
 
     return run
 
@@ -357,9 +408,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     made = picked(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).where("id is not null")
-    made = stage(spark, made.mapInArrow(_near_batches(words), "id long, fp long, text_key long, keys array<long>, sketch binary"), "sketches")
+    made = stage(spark, made.mapInArrow(_near_batches(words), "id long, fp long, text_key long, keys array<long>, sketch binary, size int, shingles binary"), "sketches")
     reps = stage(spark, made.groupBy("text_key").agg(F.min("id").alias("rep")), "distinct")
-    full = made.join(reps, made["id"] == reps["rep"], "left_semi").select(F.col("id").alias("rep"), "fp", "keys", "sketch").dropDuplicates(["rep"])
-    links = forest_links(spark, full.select(F.explode("keys").alias("shard"), "fp", "rep", "sketch"), NEAR_RADIUS, sketched=True)
+    first = made.withColumnRenamed("id", "rep")
+    full = first.join(reps, ["rep", "text_key"], "left_semi").select("rep", "text_key", "fp", "keys", "sketch").dropDuplicates(["rep", "text_key"])
+    loose = components(spark, forest_links(spark, full.select(F.explode("keys").alias("shard"), "fp", "rep", "sketch"), NEAR_RADIUS, sketched=True))
+    loose = stage(spark, reps.join(loose, reps["rep"] == loose["id"]).select("rep", "text_key", F.col("component_id").alias("shard")), "loose")
+    alike = first.select("rep", "text_key", "size", "shingles").join(loose, ["rep", "text_key"])
+    alike = stage(spark, alike.select("shard", F.col("text_key").alias("fp"), "rep", "size", "shingles").dropDuplicates(["rep", "fp"]), "alike")
+    links = exact_links(spark, alike)
     found = reps.join(components(spark, links), reps["rep"] == F.col("id"), "left").select("text_key", F.coalesce("component_id", "rep").alias("component_id"))
     return made.select("id", "text_key").join(found, "text_key").select(F.col("id").alias(id_col), "component_id")

@@ -106,6 +106,51 @@ def test_near_groups_follow_the_similarity_of_shingle_sets(spark):
     assert got == want
 
 
+def shingle_set(text, words=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def test_near_groups_decide_borderline_pairs_by_whole_sets(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    rows, want = [], {}
+
+    def pair(w, v):
+        k = 10 * len(rows)
+        a, b = shingle_set(" ".join(w)), shingle_set(" ".join(v))
+        rows.extend([(k, " ".join(w)), (k + 1, " ".join(v))])
+        want.update({k: k, k + 1: k if 5 * len(a & b) >= 4 * len(a | b) else k + 1})
+
+    for changed in (6, 7, 8, 9, 10, 11):  # similarities from 0.86 to 0.75
+        for _ in range(25):
+            w = [word() for _ in range(404)]
+            v = list(w)
+            for j in range(changed):
+                v[20 + 30 * j] = word()
+            pair(w, v)
+    for _ in range(40):  # short ones: exactly 0.8, and 0.8 less a shingle
+        w = [word() for _ in range(13)]
+        pair(w, [*w[:-1], word()])
+        w = [word() for _ in range(13)]
+        pair(w, [*w, word(), word()])
+    assert len(set(want.values())) < len(want)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [i for i in want if got[i] > want[i]]
+    assert not [i for i in want if got[i] < want[i]]
+    assert len(lost) <= 3  # the shard keys miss 0.2 % of the pairs at 0.8
+
+
+@pytest.mark.parametrize("most", [8192, 5])
+def test_exact_links_of_a_cut_shard(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", most)
+    sets = [np.arange(k, k + 30, dtype=np.uint64) for k in (0, 1, 2, 3, 20, 40, 41, 60, 4, 5, 6, 7)]
+    rows = [(1, i, i, 240, s.tobytes()) for i, s in enumerate(sets)]
+    links = simhash.exact_links(spark, spark.createDataFrame(rows, "shard long, fp long, rep long, size int, shingles binary"))
+    got = {r.id: r.component_id for r in components(spark, links).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 8: 0, 9: 0, 10: 0, 11: 0, 5: 5, 6: 5}
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(7, 7)]
     got = {r.id: r.component_id for r in components(spark, spark.createDataFrame(links, "u long, v long")).collect()}
