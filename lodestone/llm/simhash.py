@@ -36,8 +36,8 @@ SHARD_BYTES = 16 << 20
 HELD_ROWS = 100_000
 #: (query, node) pairs that a search holds at once.
 FRONTIER = 1 << 20
-#: For the pipeline's rule: bits for the trees' radius, minima in a shard key, shard keys, bins of the sketch.
-NEAR_RADIUS, BAND_ROWS, BANDS, BINS = 20, 2, 6, 128
+#: For the pipeline's rule: minima in a shard key, shard keys, bins of the sketch.
+BAND_ROWS, BANDS, BINS = 2, 6, 128
 #: Similarity that sketches must show for a pair to be compared in full: six standard errors below the rule's 0.8.
 LOOSE = 0.6
 
@@ -299,7 +299,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 # The pipeline's rule: Jaccard similarity of the sets of shingles at or above a threshold. Two texts as
-# similar as 0.8 differ in about 10 of 64 bits, sometimes 16, more than whole pieces can shard. There the
+# similar as 0.8 differ in about 10 of 64 bits, more than whole pieces can shard, and no number of bits bounds
+# them: the trees are searched with a radius of all 64, on fingerprints of distinct shingles. There the
 # shard keys are minima of the shingle hashes under several hash functions (two at a time, six times: a pair
 # at 0.8 shares one with probability 0.998), and the trees' hits are tested loosely on a sketch of 128 bins.
 # Texts that loose links connect are then compared by their full sets of shingles, and only that makes a link.
@@ -389,9 +390,10 @@ def _near_batches(words: int):
     def run(batches):
         for b in batches:
             digests = [shingle_digests(t, words) for t in values(b.column(1))]
-            sets = [np.unique(np.frombuffer(d, ">u8").astype(np.uint64)).tobytes() for d in digests]
+            distinct = [np.unique(np.frombuffer(d, ">u8")) for d in digests]
+            sets, digests = [x.astype(np.uint64).tobytes() for x in distinct], [x.tobytes() for x in distinct]
             keys, sketch = sketches(digests)
-            texts = np.array([xxhash.xxh64_intdigest(d, 7) for d in digests], np.uint64).view(np.int64) if digests else np.empty(0, np.int64)
+            texts = np.array([xxhash.xxh64_intdigest(x, 7) for x in sets], np.uint64).view(np.int64) if sets else np.empty(0, np.int64)
             offsets = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
             prints = fingerprints(digests).view(np.int64) if digests else []
             yield batch(schema, b.column(0), prints, texts, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), [x.tobytes() for x in sketch], [len(x) for x in sets], sets)
@@ -403,7 +405,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id and component_id: groups of rows whose sets of word shingles have a similarity of 0.8 or more.
 
     Texts without words (null, empty, white space) form one group. A row with a null id is in no group: its
-    component_id is null. Texts whose sequences of shingles are equal stand as one.
+    component_id is null. Texts whose sets of shingles are equal stand as one.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -412,7 +414,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = stage(spark, made.groupBy("text_key").agg(F.min("id").alias("rep")), "distinct")
     first = made.withColumnRenamed("id", "rep")
     full = first.join(reps, ["rep", "text_key"], "left_semi").select("rep", "text_key", "fp", "keys", "sketch").dropDuplicates(["rep", "text_key"])
-    loose = components(spark, forest_links(spark, full.select(F.explode("keys").alias("shard"), "fp", "rep", "sketch"), NEAR_RADIUS, sketched=True))
+    loose = components(spark, forest_links(spark, full.select(F.explode("keys").alias("shard"), "fp", "rep", "sketch"), 64, sketched=True))
     loose = stage(spark, reps.join(loose, reps["rep"] == loose["id"]).select("rep", "text_key", F.col("component_id").alias("shard")), "loose")
     alike = first.select("rep", "text_key", "size", "shingles").join(loose, ["rep", "text_key"])
     alike = stage(spark, alike.select("shard", F.col("text_key").alias("fp"), "rep", "size", "shingles").dropDuplicates(["rep", "fp"]), "alike")

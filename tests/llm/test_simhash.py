@@ -141,6 +141,20 @@ def test_near_groups_decide_borderline_pairs_by_whole_sets(spark):
     assert len(lost) <= 3  # the shard keys miss 0.2 % of the pairs at 0.8
 
 
+def test_near_groups_count_a_repeated_line_once(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    rows, want = [], {}
+    for k in range(0, 300, 10):
+        w, menu = [word() for _ in range(300)], [word() for _ in range(8)]
+        for j, times in enumerate((1, 300)):
+            rows.append((k + j, " ".join(w + menu * (times + 2))))  # twice shows all shingles of the menu
+        rows.append((k + 2, " ".join([word(), *w[1:]] + menu * 500)))
+        want |= {k: k, k + 1: k, k + 2: k}
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("most", [8192, 5])
 def test_exact_links_of_a_cut_shard(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "SHARD_ROWS", most)
