@@ -5,9 +5,12 @@
 2. Votes are counted by pattern over all documents (at most 3 ** labellers patterns). Expectation-maximisation on
    these counts estimates how each labeller votes on good and on bad documents, and the share of bad ones; that gives
    each pattern's posterior. Junk and toxicity are judged apart.
-3. Documents with clear posteriors, at most TRAIN of each kind, train a hashed linear scorer: presence of words
-   and their first letters (hashed; only slots that tell the kinds apart) and levels of style. Where it cuts is set on
-   the same documents.
+   Where given labels speak for a part of the documents on which the heuristics vote alike, their shares correct the
+   posterior of the rest.
+3. Documents with clear posteriors, at most TRAIN of each kind with a given label and TRAIN without, train a hashed
+   linear scorer: presence of words and their first letters (hashed; only slots that tell the kinds apart in either part) and levels
+   of style. A first scorer, of the sure ones, revises the posteriors of the others; all train the second. Where it
+   cuts is set on the same documents, as far as they are sure.
 4. The scorer reads every whole text, and decides.
 """
 
@@ -26,10 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import batch, carried, picked, renamed, small_batches, stage
 
-#: Documents of each kind (bad, good) that a scorer is trained on at most.
+#: Documents of each kind (bad, good) that a scorer is trained on at most, with given labels and as many without.
 TRAIN = 2_000
-#: With so many documents of a kind that have a given label, only such are trained on.
-ENOUGH = 200
+#: An estimated posterior counts as much as so many given labels on the same votes.
+PRIOR = 10
+#: A document without a given label whose chance of being the other kind is above this is not sure.
+SURE = 0.01
 #: Slots of hashed words; a slot counts if its shares among bad and good texts differ by so many standard errors.
 SLOTS, CLEAR, FEWEST = 1 << 18, 6.0, 10
 #: And a word's shares must differ by this factor, so that a line that is merely common tells nothing.
@@ -117,6 +122,20 @@ def fit_labellers(counts: dict[str, int], rounds: int = 60) -> tuple[dict[str, f
     return dict(zip(patterns, post.tolist())), share, p
 
 
+def corrected(post: dict[str, float], counts: dict[str, int]) -> dict[str, float]:
+    """Posteriors in which patterns without a given label follow the labels given to documents with the same votes.
+
+    The labellers see the same words, so they err together more than fit_labellers() takes them to; whether a document
+    has a label is taken to be independent of its kind.
+    """
+    out = dict(post)
+    for p in post:
+        if p[-1] == "-":
+            bad, good = counts.get(p[:-1] + "b", 0), counts.get(p[:-1] + "g", 0)
+            out[p] = (PRIOR * post[p] + bad) / (PRIOR + bad + good)
+    return out
+
+
 def features(text: str, m: dict[str, float] | None = None) -> list[int]:
     """Slots of a text: its distinct words and their first letters, then a level of each style measure."""
     m = m or measures(text)
@@ -127,20 +146,24 @@ def features(text: str, m: dict[str, float] | None = None) -> list[int]:
     return [*slots, *(SLOTS + k * width + int(np.searchsorted(LEVELS, abs(m[name]), "right")) for k, name in enumerate(STYLE))]
 
 
-def train(rows: list[list[int]], target: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
-    """(slots, weights, bias) of a logistic scorer that rejects above zero. target: posteriors of bad."""
+def train(rows: list[np.ndarray], target: np.ndarray, given: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+    """(slots, weights, bias) of a logistic scorer that rejects above zero. target: posteriors of bad; given: has a label."""
     bad = target > 0.5
     if not bad.any() or bad.all():
         return np.empty(0, np.int64), np.empty(0), -20.0
-    flat, owner = np.array([s for r in rows for s in r]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     size = SLOTS + len(STYLE) * (len(LEVELS) + 1)
-    n1, n0 = bad.sum(), (~bad).sum()
-    c1, c0 = np.bincount(flat[bad[owner]], minlength=size), np.bincount(flat[~bad[owner]], minlength=size)
-    mean = (c1 + c0) / (n1 + n0)
-    z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / n1 + 1 / n0))
-    ratio = np.abs(np.log(((c1 + 0.5) / (n1 + 1)) / ((c0 + 0.5) / (n0 + 1))))
-    telling = (np.abs(z) >= CLEAR) & (ratio >= math.log(FACTOR)) & (c1 + c0 >= FEWEST)
-    telling[SLOTS:] = c1[SLOTS:] + c0[SLOTS:] >= FEWEST
+    telling = np.zeros(size, bool)
+    for part in (given, ~given, np.ones(len(rows), bool)):
+        n1, n0 = (bad & part).sum(), (~bad & part).sum()
+        if not n1 or not n0:
+            continue
+        c1, c0 = np.bincount(flat[(bad & part)[owner]], minlength=size), np.bincount(flat[(~bad & part)[owner]], minlength=size)
+        mean = (c1 + c0) / (n1 + n0)
+        z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / n1 + 1 / n0))
+        ratio = np.abs(np.log(((c1 + 0.5) / (n1 + 1)) / ((c0 + 0.5) / (n0 + 1))))
+        telling |= (np.abs(z) >= CLEAR) & (ratio >= math.log(FACTOR)) & (c1 + c0 >= FEWEST)
+    telling[SLOTS:] = np.bincount(flat, minlength=size)[SLOTS:] >= FEWEST
     slots = np.flatnonzero(telling)
     number = np.full(size, -1)
     number[slots] = np.arange(len(slots))
@@ -154,7 +177,10 @@ def train(rows: list[list[int]], target: np.ndarray, steps: int = 300) -> tuple[
         g, h = np.bincount(col, e[row], len(slots)) + 1e-4 * w, e.sum()
         gw, gb = gw + g * g, gb + h * h
         w, b = w - 0.5 * g / np.sqrt(gw), b - 0.5 * h / math.sqrt(gb)
-    return slots, w, b - _cut_point(b + np.bincount(row, w[col], len(rows)), bad)
+    logit, sure = b + np.bincount(row, w[col], len(rows)), given | (np.minimum(target, 1 - target) <= SURE)
+    if not (bad[sure].any() and (~bad[sure]).any()):
+        sure = np.ones(len(rows), bool)
+    return slots, w, b - _cut_point(logit[sure], bad[sure])
 
 
 def _cut_point(logit: np.ndarray, bad: np.ndarray) -> float:
@@ -171,21 +197,35 @@ def _cut_point(logit: np.ndarray, bad: np.ndarray) -> float:
 
 def _train_batches(batches):
     schema = pa.schema([("head", pa.string()), ("slots", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())])
-    rows = {h: ([], []) for h in HEADS}
+    rows = {h: ([], [], []) for h in HEADS}
     for b in batches:
-        for text, *posts in zip(b.column(0).fill_null("").to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            f = features(text)
-            for h, p in zip(HEADS, posts):
-                if p is not None:
-                    rows[h][0].append(f)
-                    rows[h][1].append(p)
-    made = [(h, *train(*_in_order(x, y))) for h, (x, y) in rows.items()]
+        for text, *said in zip(*[c.to_pylist() for c in (b.column(0).fill_null(""), *b.columns[1:])]):
+            f = np.array(sorted(features(text)), np.int32)
+            for k, h in enumerate(HEADS):
+                if said[2 * k] is not None:
+                    for kept, x in zip(rows[h], (f, *said[2 * k : 2 * k + 2])):
+                        kept.append(x)
+    made = [(h, *train_twice(*_in_order(*x))) for h, x in rows.items()]
     yield batch(schema, [m[0] for m in made], [m[1].tolist() for m in made], [m[2].tolist() for m in made], [m[3] for m in made])
 
 
-def _in_order(rows, targets):
-    order = sorted(range(len(rows)), key=lambda k: (targets[k], rows[k]))  # the same sums whatever the order of rows
-    return [sorted(rows[k]) for k in order], np.array([targets[k] for k in order])
+def train_twice(rows: list[np.ndarray], target: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """train() on all rows, where a scorer of the sure ones speaks as one more labeller for the others."""
+    sure = given | (np.minimum(target, 1 - target) <= SURE)
+    slots, w, b = train([x for x, ok in zip(rows, sure) if ok], target[sure], given[sure])
+    if sure.all() or not len(slots):
+        return train(rows, target, given)
+    weight = dict(zip(slots.tolist(), w.tolist()))
+    logit = np.array([b + sum(filter(None, map(weight.get, x.tolist()))) for x, ok in zip(rows, sure) if not ok])
+    prior = np.clip(target[~sure], 1e-6, 1 - 1e-6)
+    target = target.copy()
+    target[~sure] = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + logit, -30, 30)))
+    return train(rows, target, given)
+
+
+def _in_order(rows, targets, given):
+    order = sorted(range(len(rows)), key=lambda k: (targets[k], rows[k].tobytes()))  # the same sums whatever the order of rows
+    return [rows[k] for k in order], np.array([targets[k] for k in order]), np.array([given[k] for k in order], bool)
 
 
 def _score_batches(models: dict[str, tuple[dict[int, float], float]], others: pa.Schema):
@@ -222,22 +262,20 @@ def judge_quality(docs: DataFrame, labels: DataFrame | None = None, id_col: str
     chosen = []
     for head in HEADS:
         counts = {r[head]: r["count"] for r in voted.groupBy(head).count().collect()}
-        post, _, _ = fit_labellers(counts)
+        post = corrected(fit_labellers(counts)[0], counts)
         for clear in ({p: x for p, x in post.items() if x >= 0.5}, {p: x for p, x in post.items() if x <= 0.1}):
-            labelled = {p: x for p, x in clear.items() if p[-1] != "-"}
-            if sum(counts[p] for p in labelled) >= ENOUGH:  # else what labellers overlook would pass for good
-                clear = labelled
-            if clear:
-                names = F.create_map(*itertools.chain.from_iterable((F.lit(p), F.lit(x)) for p, x in clear.items()))
-                best = voted.where(F.col("id").isNotNull() & F.col(head).isin(*clear)).select("id", F.lit(head).alias("head"), names[F.col(head)].alias("post"), F.endswith(head, F.lit("-")).alias("open"))
-                chosen.append(best.orderBy("open", F.xxhash64("id"), "id").limit(TRAIN).drop("open"))  # labelled rows first
+            for part in ({p: x for p, x in clear.items() if p[-1] != "-"}, {p: x for p, x in clear.items() if p[-1] == "-"}):
+                if part:
+                    names = F.create_map(*itertools.chain.from_iterable((F.lit(p), F.lit(x)) for p, x in part.items()))
+                    best = voted.where(F.col("id").isNotNull() & F.col(head).isin(*part)).select("id", F.lit(head).alias("head"), names[F.col(head)].alias("post"), (~F.endswith(head, F.lit("-"))).alias("given"))
+                    chosen.append(best.orderBy(F.xxhash64("id"), "id").limit(TRAIN))
     models = {h: ({}, -20.0) for h in HEADS}
     if chosen:
         sample = chosen[0]
         for x in chosen[1:]:
             sample = sample.union(x)
-        sample = sample.groupBy("id").agg(*[F.max(F.when(F.col("head") == h, F.col("post"))).alias(h) for h in HEADS])  # 4 * TRAIN ids at most
-        sample = stage(spark, rows.join(F.broadcast(sample), "id").select("text", *HEADS), "training")
+        sample = sample.groupBy("id").agg(*[F.max(F.when(F.col("head") == h, F.col(c))).alias(f"{h}_{c}") for h in HEADS for c in ("post", "given")])  # 8 * TRAIN ids at most
+        sample = stage(spark, rows.join(F.broadcast(sample), "id").select("text", *sample.columns[1:]), "training")
         fitted = sample.coalesce(1).mapInArrow(_train_batches, "head string, slots array<long>, weights array<double>, bias double")
         models = {r["head"]: (dict(zip(r["slots"], r["weights"])), r["bias"]) for r in fitted.collect()}
     columns, others, kinds = carried(docs, carry)

@@ -51,6 +51,25 @@ def test_held_out_accuracy(spark):
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) > 0.95
 
 
+def test_junk_that_no_label_covers_is_learnt_from_the_heuristics(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 8)))
+    rows, labels = [], []
+    for i in range(2400):
+        w = [word() for _ in range(r.randint(60, 200))]
+        if i % 2:  # the labelled source: junk is one word over and over
+            bad = i % 8 == 1
+            labels.append((i, 0 if bad else 1, 0))
+            rows.append((i, " ".join([w[0]] * len(w) if bad else w), bad))
+        else:  # the other: junk shouts
+            bad = i % 8 == 0
+            rows.append((i, " ".join(x.upper() + "!!" for x in w) if bad else " ".join(w), bad))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(4)
+    keep = {x.doc_id: x.keep for x in quality.judge_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    shouts, good = [not keep[i] for i, _, bad in rows if bad and i % 2 == 0], [keep[i] for i, _, bad in rows if not bad]
+    assert sum(shouts) / len(shouts) > 0.95 and sum(good) / len(good) > 0.99
+
+
 def test_odd_rows_and_carried_columns(spark):
     rows = [(i, t, "k") for i, t, _, _ in corpus(300, 2)] + [(None, "a b", "n"), (1000, None, None), (1001, "", "e"), (1002, "word " * 30_000, "l"), (5, "again", "r")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, keep string")
