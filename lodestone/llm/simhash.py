@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, grouped, hex64, picked, small_batches, stage, utf8, values
+from .common import batch, grouped, hex64, picked, release, small_batches, stage, unstage, utf8, values
 from .components import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -416,8 +416,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = first.join(reps, ["rep", "text_key"], "left_semi").select("rep", "text_key", "fp", "keys", "sketch").dropDuplicates(["rep", "text_key"])
     loose = components(spark, forest_links(spark, full.select(F.explode("keys").alias("shard"), "fp", "rep", "sketch"), 64, sketched=True))
     loose = stage(spark, reps.join(loose, reps["rep"] == loose["id"]).select("rep", "text_key", F.col("component_id").alias("shard")), "loose")
-    alike = first.select("rep", "text_key", "size", "shingles").join(loose, ["rep", "text_key"])
+    release(spark)
+    alike = first.select("rep", "text_key", "size", "shingles").join(loose.hint("merge"), ["rep", "text_key"])  # grows with the corpus: no broadcast
     alike = stage(spark, alike.select("shard", F.col("text_key").alias("fp"), "rep", "size", "shingles").dropDuplicates(["rep", "fp"]), "alike")
+    rows = stage(spark, made.select("id", "text_key"), "keys")
+    unstage(spark, made)
+    release(spark)
     links = exact_links(spark, alike)
     found = reps.join(components(spark, links), reps["rep"] == F.col("id"), "left").select("text_key", F.coalesce("component_id", "rep").alias("component_id"))
-    return made.select("id", "text_key").join(found, "text_key").select(F.col("id").alias(id_col), "component_id")
+    return rows.join(found, "text_key").select(F.col("id").alias(id_col), "component_id")
