@@ -13,7 +13,7 @@ ENGLISH = "a about above after again all also am an and any are as at be because
 
 def terms(text: Column, grams: int = 2) -> Column:
     """Words of two letters or more in lower case without English stop words, and pairs of neighbours."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\w]{2,}"), F.lit(0)), lambda w: ~w.isin(*ENGLISH))
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*ENGLISH))
     if grams == 1:
         return words
     pairs = F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
