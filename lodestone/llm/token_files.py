@@ -7,12 +7,13 @@ the pages of some documents only. Each row names its file (part) and its place t
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch, picked, small_batches
@@ -38,15 +39,32 @@ def _encode_batches(path: str, end_id: int):
     return run
 
 
+def range_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most the value (null: none), found among groups of cuts and then in one group."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    many = lambda xs: F.coalesce(F.size(F.filter(xs, lambda c: c <= value)), F.lit(0))
+    group = many(F.array(*[F.lit(g[0]).cast("long") for g in groups]))
+    inside = many(F.element_at(F.array(*[F.array(*[F.lit(c).cast("long") for c in g]) for g in groups]), F.greatest(group, F.lit(1))))
+    return F.when(value.isNull() | (group < 1), 0).otherwise((group - 1) * width + inside)
+
+
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes each text (null: empty), appends end_id, and writes the files in ascending id order.
 
-    Rows are dealt by ranges of the id before they are encoded, so only texts are shuffled, once. Null ids come
-    first; repeated ids stay together, in the order of their texts. An empty table gives a file without rows.
+    Rows are dealt by ranges of the id before they are encoded, so only texts are shuffled, once; the ranges' ends come
+    from a scan of the ids alone (one number for each shuffle partition). Null ids come first; repeated ids stay
+    together, in the order of their texts. An empty table gives a file without rows.
     """
-    small_batches(docs.sparkSession, 500)
+    spark = docs.sparkSession
+    small_batches(spark, 500)
     rows = picked(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [k / parts for k in range(1, parts)]
+    cuts = (rows.agg(F.percentile_approx("id", shares, 100 * parts)).first()[0] if shares else None) or []
+    rows = rows.repartitionById(parts, range_of(F.col("id"), cuts).cast("int")).sortWithinPartitions("id", "text")
     made = rows.mapInArrow(_encode_batches(path, end_id), SCHEMA)
     (
         made.write.option("compression", "none")  # packed ids hardly shrink
@@ -59,9 +77,16 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col:
     )
 
 
-def read_tokens(spark: SparkSession, out: str) -> DataFrame:
-    """id, part, pos, n_tokens, tokens; columns that are not selected are not read."""
-    return spark.read.schema(SCHEMA).parquet(out)
+def read_tokens(spark: SparkSession, out: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """id, part, pos, n_tokens, tokens of the ids from `first` to `last` (both included; null ids only without bounds).
+
+    Columns that are not selected are not read. Of the others, row groups and pages outside the bounds are skipped by
+    their statistics and indexes, as files are in id order.
+    """
+    rows = spark.read.schema(SCHEMA).parquet(out)
+    if first is not None:
+        rows = rows.where(F.col("id") >= first)
+    return rows if last is None else rows.where(F.col("id") <= last)
 
 
 def starts(rows: DataFrame, stored: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """Token ids and counts of whole texts with a tokenizer file of the tokenizers library.
 
 Two exact shortcuts keep the library's work small. PieceEncoder cuts a text where the tokenizer can
-carry nothing across the cut, and gives the library each distinct piece once. count_tokens() encodes a
-huge text in overlapping chunks and splices them where both chunks provably agree.
+carry nothing across the cut, and gives the library each distinct piece once; a piece that is one word goes
+straight to the library's model. count_tokens() encodes a huge text in overlapping chunks and splices them
+where both chunks provably agree.
 """
 
 from __future__ import annotations
 
-import bisect
+import codecs
 import functools
+import gc
 import json
 import os
 import re
@@ -25,17 +27,28 @@ from .common import batch, picked, small_batches
 CHUNK, OVERLAP = 32_768, 256
 #: Distinct pieces that a worker keeps at most; then those of more than SHORT characters go.
 PIECES, SHORT = 1_000_000, 8
-#: Pieces that are given to the library as one text.
-TOGETHER = 96
-MARKS = frozenset(".,!?;:")
+#: The letters of words that go straight to the model (Latin ones; the second kind in lower case only), and the signs that may follow.
+LETTERS, SMALL, SIGNS = "a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u024f", "a-z\xdf-\xf6\xf8-\xff", r"!-&(-/:-@\[-`{-~"
 
 
 @functools.cache
-def load(path: str):
+def load(path: str, keeps: bool = True):
+    """The library's tokenizer. keeps: with its own cache of words, which only costs where no word comes twice."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    made = Tokenizer.from_file(path)
+    if not keeps and hasattr(made.model, "_resize_cache"):
+        made.model._resize_cache(0)
+    return made
+
+
+@functools.cache
+def byte_letters() -> str:
+    """The character by which byte-level models write each byte: itself if it shows, else the next from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+    return "".join(chr(hidden.get(b, b)) for b in range(256))
 
 
 @functools.cache
@@ -65,6 +78,32 @@ def _drops_spaces(spec: dict) -> bool:
     return folds == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "") and _plain_specials(spec)
 
 
+class Pieces(dict):
+    """Piece -> its ids, made when they are first asked for.
+
+    `simple` matches pieces of a line feed, a word and signs, all optional but the word, between which the tokenizer's
+    pattern always cuts. The word is then one pre-token, so the model alone gives its ids; other pieces go through
+    the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer, simple: re.Pattern):
+        self.tokenizer, self.simple, self.cut = tokenizer, simple.fullmatch, tokenizer.model.tokenize
+        self.raw = [struct.pack("<I", k) for k in range(tokenizer.get_vocab_size())]
+        self.letters = byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        m = self.simple(piece)
+        if m is None:
+            ids = _packed(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0])
+        elif m[1] or m[3]:
+            ids = (self[m[1]] if m[1] else b"") + self[m[2]] + (self[m[3]] if m[3] else b"")
+        else:
+            raw = self.raw
+            ids = b"".join([raw[t.id] for t in self.cut(codecs.charmap_decode(piece.encode(), "strict", self.letters)[0])])
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """The library's ids of whole texts, as little-endian unsigned 32-bit integers.
 
@@ -74,26 +113,19 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str, most: int | None = None):
-        self.most = most or PIECES
-        self.tokenizer, spec = load(path), _spec(path)
+        self.most, spec = most or PIECES, _spec(path)
         self.byte_level, self.dropping = _is_byte_level(spec), _drops_spaces(spec)
-        self.known: dict[str, bytes] = {}
-        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        if self.byte_level:
-            self.opens[[k for w, k in self.tokenizer.get_vocab().items() if w[0] in "\u0120\u010a"]] = True
+        self.cuts = self.byte_level or self.dropping
+        self.tokenizer = load(path, keeps=not self.cuts)
+        word = f"( ?[{LETTERS}]+)" if self.byte_level else f"([{SMALL}]+)"
+        self.known = Pieces(self.tokenizer, re.compile(f"(\n?){word}([{SIGNS}]*)"))
         self.piece, self.marks = re.compile(r"\s*\S+|\s+"), re.compile("[\u0130\u0300-\U0010ffff]")
-        self.letter = re.compile("[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]").match
-        # pieces that can stand in one text, with a cut before each
-        dropping = re.compile("[!-;=-~\xa1-\xac\xae-\u02ff]+").fullmatch
-        self.plain = dropping if self.dropping else lambda p: p[0] in " \n" and not p[-1].isspace()
 
     def pieces(self, text: str) -> list[str]:
         if self.dropping:
             if self.marks.search(text) is None and "<|" not in text:  # lower case of these letters is letter by letter
                 text = text.lower()
             return text.replace("\n", " ").split(" ")
-        if not self.byte_level:
-            return [text]
         lines = text.split("\n")
         if not all(map(self.even, lines)):
             return self.piece.findall(text)
@@ -106,61 +138,23 @@ class PieceEncoder:
         return line.isprintable() and line != "" and "  " not in line and line[0] != " " != line[-1]
 
     def __call__(self, text: str) -> bytes:
-        pieces, known = self.pieces(text), self.known
+        if not self.cuts:
+            return _packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0])
+        on = gc.isenabled()
+        gc.disable()  # strings and bytes make no cycles, and there are millions
         try:
-            out = b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            self._learn(set(pieces).difference(known))
-            out = b"".join(map(known.__getitem__, pieces))
-        if len(known) > self.most or not (self.byte_level or self.dropping):
-            self.known = {k: v for k, v in known.items() if len(k) <= SHORT}
-            if len(self.known) > self.most // 2:
-                self.known = {}
-        return out
-
-    def _learn(self, new: set[str]) -> None:
-        known = self.known
-        if not (self.byte_level or self.dropping):
-            known |= zip(new, map(_packed, self.tokenizer.encode_batch_fast([*new], add_special_tokens=False)))
-            return
-        whole, ends = {}, {}  # pieces that end in marks, by stem and tail: a pattern ends letters there
-        for p in new:
-            if p[-1:] in MARKS and (stem := p.rstrip(".,!?;:")) and self.letter(stem[-1]):
-                ends[p] = stem, p[len(stem) :]
-            elif p:
-                whole[p] = None
-            else:
-                known[p] = b""
-        need = whole.keys() | {x for pair in ends.values() for x in pair if x not in known}
-        plain = [p for p in need if self.plain(p)]
-        apart = [*need.difference(plain)]
-        known |= zip(apart, map(_packed, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)))
-        for k in range(0, len(plain), TOGETHER):
-            part = plain[k : k + TOGETHER]
-            known |= zip(part, self._together(part))
-        known |= ((p, known[a] + known[b]) for p, (a, b) in ends.items())
-
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that each start at a cut, from one text."""
-        gap = " " if self.dropping else ""
-        if self.byte_level:  # a piece starts with white space, which opens a token, and should open no other
-            text = "".join(pieces)
-            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            cut = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
-            if len(cut) != len(pieces) + 1 or "<|" in text:
-                return [*map(_packed, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))]
-            raw = struct.pack(f"<{len(ids)}I", *ids)
-            return [raw[4 * a : 4 * z] for a, z in zip(cut, cut[1:])]
-        e = self.tokenizer.encode(gap.join(pieces), add_special_tokens=False)
-        raw = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        starts = [a for a, _ in e.offsets]
-        out, at, k = [], 0, 0
-        for p in pieces:
-            at += len(p) + len(gap)
-            z = bisect.bisect_left(starts, at, k)
-            out.append(raw[4 * k : 4 * z])
-            k = z
-        return out
+            return b"".join(map(self.known.__getitem__, self.pieces(text)))
+        finally:
+            if on:
+                gc.enable()
+            if len(self.known) > self.most:
+                self._forget()
+
+    def _forget(self) -> None:
+        short = {k: v for k, v in self.known.items() if len(k) <= SHORT}
+        self.known.clear()
+        if len(short) <= self.most // 2:
+            self.known.update(short)
 
 
 def _packed(encoding) -> bytes:
@@ -221,10 +215,10 @@ def _count_batches(path: str, chunk: int, overlap: int):
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        encode, splices = encoder(path), _is_byte_level(_spec(path))
+        encode, whole, splices = encoder(path), load(path), _is_byte_level(_spec(path))
         for b in batches:
             texts = b.column(1).fill_null("").to_pylist()
-            n = [count_by_chunks(encode.tokenizer, x, chunk, overlap) if splices and len(x) > chunk else len(encode(x)) // 4 for x in texts]
+            n = [count_by_chunks(whole, x, chunk, overlap) if splices and len(x) > chunk else len(encode(x)) // 4 for x in texts]
             yield batch(schema, b.column(0), [len(x.encode()) for x in texts], n)
 
     return run

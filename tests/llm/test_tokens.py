@@ -173,3 +173,38 @@ def test_packing_keeps_repeats_null_ids_and_one_huge_text(spark):
     n = len(ids(WORDS, "word " * 5000)) + 1
     assert sorted(((r.doc_id, r.piece, r.length) for r in got), key=str) == sorted([(None, 0, 3), (3, 0, 3), (3, 0, 3), (4, 0, 4096), (4, 1, n - 4096)], key=str)
     check_packing(got, 4096, 2)
+
+
+def test_words_straight_from_the_model_have_the_librarys_ids():
+    r = random.Random(11)
+    letters = "abcdefgXYZ\xe9\xdf\xf1\xd6œŁ\xb5\xaa\xd7\xf7ǅɏɐσ"
+    signs = ["", "", ".", ",", "'", "'s", "'re", "$$$", ")]", "…", "1", "<|", "_"]
+    for _ in range(300):
+        text = "".join(r.choice([" ", " ", "\n"]) + r.choice(signs) + "".join(r.choices(letters, k=r.randint(1, 9))) + r.choice(signs) for _ in range(20))
+        for path in (BYTES, WORDS):
+            got = encoder(path)(text)
+            assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == ids(path, text), repr(text)
+
+
+def test_selected_ids_read_few_rows(spark):
+    out = new_folder(spark, "tokens")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_files.write_tokens(spark.range(20_000).selectExpr("id AS doc_id", "concat('word ', id % 7) AS text"), out, BYTES)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    some = token_files.read_tokens(spark, out, 9_000, 9_009).select("id", "n_tokens")
+    assert sorted(r.id for r in some.collect()) == [*range(9_000, 9_010)]
+    plan = some._jdf.queryExecution().executedPlan()
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        plan = plan.executedPlan()
+    leaf = plan.collectLeaves().head()
+    assert leaf.metrics().apply("numOutputRows").value() <= 2 * token_files.PAGE_ROWS
+    assert "tokens" not in leaf.simpleString(1000).split("ReadSchema")[1].replace("n_tokens", "")
+
+
+def test_range_of_counts_cuts(spark):
+    cuts = sorted([3, 3, 3, 10, 11, 40, 41, 42, 43, 99])
+    rows = spark.createDataFrame([(v,) for v in [None, -5, 2, 3, 4, 10, 42, 98, 99, 1000]], "v long")
+    got = {r.v: r.k for r in rows.select("v", token_files.range_of(rows["v"], cuts).alias("k")).collect()}
+    assert got == {v: sum(c <= v for c in cuts) if v is not None else 0 for v in got}
