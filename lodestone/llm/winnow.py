@@ -1,27 +1,35 @@
 """Benchmark decontamination by winnowing.
 
 Both sides keep, of each window of consecutive k-gram hashes, the least (ties: all of them). With k-grams of
-K words and windows of SPAN - K + 1 of them, two texts that share SPAN words share a kept hash, so the lookup
-finds every shared span; each hit is then extended word by word to the longest common run, and runs of SPAN
-words or more count. Items of fewer words than SPAN are one window: they are found by the hash of all their
-words, and compared word by word.
+K words and windows of SPAN - K + 1 of them, two texts that share SPAN words share a kept hash. Items of fewer words
+than SPAN are one window: their fingerprint is the hash of all their words.
+
+1. The benchmark's fingerprints are made and staged; a bit filter of at most FILTER_BITS bits is built of them.
+2. One pass over the documents keeps each text's fingerprints that the filter lets through, with their places. Most
+   texts have none, and go no further.
+3. The fingerprints left are joined with the benchmark's, which gives pairs of a text and an item.
+4. Texts with pairs meet their items one after another. Each hit is extended to the windows of SPAN words that hold it,
+   and a window counts if the item has the same words. That is linear in both texts, however repetitive they are.
+
+Only the filter is sent to all workers; neither side's texts or fingerprints go to the driver.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  for pa.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, carried, picked, renamed, small_batches, utf8
+from .common import batch, carried, picked, renamed, small_batches, stage, utf8
 
 SPAN, K = 13, 7
-#: Bytes of benchmark texts that are sent to all workers at once; a larger benchmark is taken in several passes.
-PASS_BYTES = 16 << 20
+#: Bits of the filter: so many for each fingerprint, but between these bounds (16 MB at most).
+BITS_EACH, LEAST_BITS, FILTER_BITS = 256, 1 << 16, 1 << 27
 
 _rng = np.random.default_rng(20240229)
 _CODE = _rng.integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -102,91 +110,54 @@ class Words:
         return np.flatnonzero(chosen)
 
 
-class Index:
-    """Kept hashes of the benchmark's items, and whole short items by their number of words."""
-
-    def __init__(self, items: list[tuple[str, bytes]], span: int, k: int):
-        self.span, self.k, self.items = span, k, []
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for name, text in items:
-            w = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-            if not len(w.hash):
-                continue
-            number = len(self.items)
-            self.items.append((name, [w.word(j) for j in range(len(w.hash))]))
-            if len(w.hash) < span:
-                self.short[len(w.hash)][int(w.grams(len(w.hash))[0])].append(number)
-            else:
-                g = w.grams(k)
-                for p in w.kept(g, span - k + 1).tolist():
-                    found[int(g[p])].append((number, p))
-        self.found = dict(found)
-        self.sorted = {0: _lookup(self.found)} | {m: _lookup(x) for m, x in self.short.items()}
-
-
-def _lookup(keys) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and a table of their low bits that most others miss."""
-    a = np.sort(np.fromiter(keys, np.uint64, len(keys)))
-    low = np.zeros(1 << 18, bool)
-    low[(a & np.uint64(0x3FFFF)).astype(np.int64)] = True
-    return a, low
-
-
-def _present(lookup: tuple[np.ndarray, np.ndarray], grams: np.ndarray, places: np.ndarray) -> list[int]:
-    a, low = lookup
-    if not len(a):
-        return []
-    places = places[low[(grams[places] & np.uint64(0x3FFFF)).astype(np.int64)]]
-    k = np.searchsorted(a, grams[places])
-    return places[a[np.minimum(k, len(a) - 1)] == grams[places]].tolist()
-
-
-def find(index: Index, w: Words) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
-    """For each text the runs of words (from, to) that occurring windows cover, and the names of their items."""
-    n = len(w.first) - 1
-    runs: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    names: list[set[str]] = [set() for _ in range(n)]
-    first = w.first.tolist()
-
-    def owner(p: int) -> int:
-        return bisect.bisect_right(first, p) - 1
-
-    if index.found:
-        grams = w.grams(index.k)
-        seen: dict[tuple[int, int, int], int] = {}  # (text, item, diagonal) -> the end of the last run
-        for p in _present(index.sorted[0], grams, w.kept(grams, index.span - index.k + 1)):
-            d = owner(p)
-            low, high = first[d], first[d + 1]
-            for number, j in index.found[int(grams[p])]:
-                if seen.get((d, number, p - j), -1) > p:
-                    continue
-                name, item = index.items[number]
-                if w.word(p) != item[j]:
-                    continue
-                a, b, x, y = p, p, j, j
-                while a > low and x > 0 and w.word(a - 1) == item[x - 1]:
-                    a, x = a - 1, x - 1
-                while b < high and y < len(item) and w.word(b) == item[y]:
-                    b, y = b + 1, y + 1
-                seen[d, number, p - j] = b
-                if b - a >= index.span:
-                    runs[d].append((a - low, b - low))
-                    names[d].add(name)
-    for m, wanted in index.short.items():
+def _named(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints: hashes of whole short items of so many words (0: kept k-gram hashes) apart from others."""
+    with np.errstate(over="ignore"):
+        return _mix(hashes ^ (np.uint64(words) * _STEP))
+
+
+def prints(w: Words, span: int, k: int, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, place of its first word) of kept k-gram hashes and of all runs of `lengths` words, in any order."""
+    grams = w.grams(k)
+    at = w.kept(grams, span - k + 1)
+    found, places = [_named(grams[at], 0)], [at]
+    for m in lengths:
         grams = w.grams(m)
-        for p in _present(index.sorted[m], grams, np.flatnonzero(grams != _MOST)):
-            d = owner(p)
-            for number in wanted[int(grams[p])]:
-                name, item = index.items[number]
-                if all(w.word(p + i) == item[i] for i in range(m)):
-                    runs[d].append((p - first[d], p - first[d] + m))
-                    names[d].add(name)
-    return runs, names
+        at = np.flatnonzero(grams != _MOST)
+        found.append(_named(grams[at], m))
+        places.append(at)
+    return np.concatenate(found), np.concatenate(places)
+
+
+class Filter:
+    """Bits of all fingerprints of the benchmark; lets every one of them through, and few others."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.last = bits, np.uint64(8 * len(bits) - 1)
 
+    def __call__(self, found: np.ndarray) -> np.ndarray:
+        def one(x):
+            return (self.bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1
 
-_ROWS = [("id", pa.int64()), ("text", pa.string()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
-_COUNTS = [("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
+        ok = one(found & self.last).astype(bool)
+        ok[ok] = one((found[ok] >> np.uint64(32)) & self.last).astype(bool)
+        return ok
+
+
+def _filter_of(fingerprints: DataFrame) -> Filter:
+    """fingerprints(print) -> their filter. At most FILTER_BITS / 32768 rows of 4 KB come to the driver."""
+    n = fingerprints.count()
+    size = LEAST_BITS
+    while size < min(FILTER_BITS, BITS_EACH * n):
+        size *= 2
+    places = F.array(*[F.lit(size - 1).bitwiseAND(x) for x in (F.col("print"), F.shiftrightunsigned("print", 32))])
+    at = fingerprints.select(F.explode(places).alias("x")).select((F.col("x") + 1).alias("x"))
+    made = at.groupBy(F.bitmap_bucket_number("x").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in made.collect():
+        a = (r["n"] - 1) * 4096
+        bits[a : a + 4096] = np.frombuffer(r["bits"], np.uint8)[: len(bits) - a]
+    return Filter(bits)
 
 
 def _words(column: pa.Array) -> Words:
@@ -204,22 +175,105 @@ def union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass_batches(items: list[tuple[str, bytes]], span: int, k: int, last: bool, others: pa.Schema):
-    schema = pa.schema([*(_COUNTS if last else _ROWS), *others])
+def _item_batches(span: int, k: int):
+    schema = pa.schema([("item", pa.string()), ("words", pa.int32()), ("print", pa.int64())])
 
     def run(batches):
-        index = Index(items, span, k)
+        for b in batches:
+            names, words, found = [], [], []
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                raw = text.encode()
+                w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                n = len(w.hash)
+                if n:
+                    short = n if n < span else 0
+                    mine = _named(w.grams(n)[:1], n) if short else np.unique(prints(w, span, k, [])[0])
+                    names += [name] * len(mine)
+                    words += [short] * len(mine)
+                    found.append(mine)
+            yield batch(schema, names, words, np.concatenate(found).view(np.int64) if found else [])
+
+    return run
+
+
+def _find_batches(passes, lengths: list[int], span: int, k: int, others: pa.Schema):
+    """Rows id, text, others... -> key, id, n_words, and of texts with hits the text, fingerprints and places."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("text", pa.string()), ("prints", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), *others])
+
+    def run(batches):
+        let, key = passes.value, TaskContext.get().partitionId() << 40
         for b in batches:
             w = _words(b.column(1))
-            runs, names = find(index, w)
-            for d, (old, kept) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                runs[d] = union([*zip(old[::2], old[1::2]), *runs[d]])
-                names[d].update(kept)
-            flat, lists = [[x for r in rs for x in r] for rs in runs], [sorted(x) for x in names]
-            if last:
-                yield batch(schema, b.column(0), np.diff(w.first), [sum(y - x for x, y in rs) for rs in runs], flat, lists, *b.columns[4:])
-            else:
-                yield batch(schema, b.column(0), b.column(1), flat, lists, *b.columns[4:])
+            found, at = prints(w, span, k, lengths)
+            ok = let(found)
+            found, at = found[ok].view(np.int64), at[ok]
+            owner = np.searchsorted(w.first, at, "right") - 1
+            order = np.argsort(owner, kind="stable")
+            cut = np.searchsorted(owner[order], np.arange(b.num_rows + 1))
+            lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x[order], pa.int64())) for x in (found, at - w.first[owner])]
+            text = b.column(1).cast(pa.string())
+            text = pa.compute.if_else(pa.array(np.diff(cut) > 0), text, pa.scalar(None, pa.string()))
+            yield batch(schema, np.arange(key, key + b.num_rows), b.column(0), np.diff(w.first), text, *lists, *b.columns[2:])
+            key += b.num_rows
+
+    return run
+
+
+class Text:
+    """A text's windows of words that hold a hit: by their words, with the places where they start."""
+
+    def __init__(self, text: str, found: list[int], places: list[int], span: int, k: int):
+        self.words, self.span, self.hit, self.items = words_of(text.encode()), span, set(), set()
+        self.starts: dict[int, set[int]] = defaultdict(set)
+        n = len(self.words)
+        for p in places:  # a hit may be one of k words or of a short item's; both are tried
+            self.starts[span].update(range(max(0, p + k - span), min(p, n - span) + 1))
+        self.places, self.windows = places, {}
+
+    def at(self, m: int) -> dict[bytes, list[int]]:
+        if m not in self.windows:
+            made: dict[bytes, list[int]] = defaultdict(list)
+            for s in self.starts[m] if m == self.span else {p for p in self.places if p + m <= len(self.words)}:
+                made[b" ".join(self.words[s : s + m])].append(s)
+            self.windows[m] = made
+        return self.windows[m]
+
+    def meet(self, name: str, item: list[bytes]) -> None:
+        m = min(self.span, len(item))
+        mine = self.at(m)
+        shared = mine.keys() & {b" ".join(item[j : j + m]) for j in range(len(item) - m + 1)} if m else ()
+        if shared:
+            self.items.add(name)
+            self.hit.update((s, s + m) for x in shared for s in mine[x])
+
+    @property
+    def runs(self) -> list[tuple[int, int]]:
+        return union([*self.hit])
+
+
+def _extend_batches(span: int, k: int):
+    """Rows key, text, prints, places, item, item_text, a text before its items -> key, n_hit, runs, items."""
+    schema = pa.schema([("key", pa.int64()), ("n_hit", pa.int64()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+
+    def row(key: int, t: Text):
+        runs = t.runs
+        return key, sum(b - a for a, b in runs), [x for r in runs for x in r], sorted(t.items)
+
+    def run(batches):
+        key, here, out = None, None, []
+        for b in batches:
+            for this, text, found, places, name, item in zip(*(b.column(c).to_pylist() for c in range(6))):
+                if this != key:
+                    if here is not None and here.items:
+                        out.append(row(key, here))
+                    key, here = this, Text(text, found, places, span, k)
+                else:
+                    here.meet(name, words_of(item.encode()))
+            if out:
+                yield batch(schema, *zip(*out))
+                out = []
+        if here is not None and here.items:
+            yield batch(schema, *zip(*[row(key, here)]))
 
     return run
 
@@ -229,24 +283,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     runs holds the covered runs of words (from, to, from, to, ...), items the ids (as strings, sorted) of the items
     with occurring windows. Null or empty texts have no words; items without words or with a null id have no window;
-    repeated items count once by their id, repeated rows of docs each give a row. Documents are not shuffled. The
-    benchmark goes to all workers in parts of PASS_BYTES, one pass over the documents' rows for each part.
+    repeated items count once by their id, repeated rows of docs and rows with a null id each give a row. Either table
+    may be empty.
     """
-    small_batches(docs.sparkSession)
-    items = picked(benchmark, id=item_col, text=item_text_col).where("id is not null and length(text) > 0").select(F.col("id").cast("string").alias("id"), "text").distinct()
+    spark = docs.sparkSession
+    small_batches(spark)
+    items = picked(benchmark, id=item_col, text=item_text_col).where("id is not null and length(text) > 0").select(F.col("id").cast("string").alias("item"), F.col("text").cast("string").alias("item_text")).distinct()
+    known = stage(spark, items.mapInArrow(_item_batches(span, k), "item string, words int, print long").distinct(), "benchmark")
+    lengths = [r["words"] for r in known.select("words").distinct().where("words > 0").orderBy("words").collect()]  # below span
+    passes = spark.sparkContext.broadcast(_filter_of(known.select("print").distinct()))
     columns, others, kinds = carried(docs, carry)
-    none = [F.array().cast("array<long>").alias("runs"), F.array().cast("array<string>").alias("items")]
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *none, *columns)
-    part, size, parts = [], 0, []
-    for r in items.toLocalIterator():
-        part.append((r["id"], r["text"].encode()))
-        size += len(part[-1][1])
-        if size >= PASS_BYTES:
-            parts.append(part)
-            part, size = [], 0
-    parts.append(part)
-    for number, part in enumerate(parts):
-        last = number == len(parts) - 1
-        kind = "id long, n_words long, n_hit long, runs array<long>, items array<string>" if last else "id long, text string, runs array<long>, items array<string>"
-        rows = rows.mapInArrow(_pass_batches(part, span, k, last, others), kind + kinds)
-    return renamed(rows, carry, id=id_col)
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), *columns)
+    rows = stage(spark, rows.mapInArrow(_find_batches(passes, lengths, span, k, others), "key long, id long, n_words long, text string, prints array<long>, places array<long>" + kinds), "words")
+    hits = rows.where(F.size("prints") > 0)
+    pairs = hits.select("key", F.explode(F.array_distinct("prints")).alias("print")).join(known.select("print", "item"), "print").select("key", "item").distinct()
+    asked = pairs.join(items, "item").select("key", F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<long>").alias("prints"), F.lit(None).cast("array<long>").alias("places"), "item", "item_text")
+    texts = hits.join(pairs.select("key").distinct(), "key", "left_semi").select("key", "text", "prints", "places", F.lit(None).cast("string").alias("item"), F.lit(None).cast("string").alias("item_text"))
+    dealt = texts.unionByName(asked).repartition("key").sortWithinPartitions("key", F.col("item").asc_nulls_first())
+    found = dealt.mapInArrow(_extend_batches(span, k), "key long, n_hit long, runs array<long>, items array<string>")
+    none = {"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "runs": F.coalesce("runs", F.array().cast("array<long>")), "items": F.coalesce("items", F.array().cast("array<string>"))}
+    out = rows.drop("text", "prints", "places").join(found, "key", "left").withColumns(none)
+    return renamed(out.select("id", "n_words", "n_hit", "runs", "items", *others.names), carry, id=id_col)

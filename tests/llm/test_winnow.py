@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -46,28 +47,45 @@ def cases(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("pass_bytes", [1 << 24, 60])
-def test_counts_equal_a_search_of_every_window(spark, monkeypatch, pass_bytes):
-    monkeypatch.setattr(winnow, "PASS_BYTES", pass_bytes)
-    docs, items = cases(pass_bytes)
+@pytest.mark.parametrize("bits", [1 << 20, 1 << 9, 8])
+def test_counts_equal_a_search_of_every_window(spark, monkeypatch, bits):
+    monkeypatch.setattr(winnow, "LEAST_BITS", min(bits, winnow.LEAST_BITS))
+    monkeypatch.setattr(winnow, "FILTER_BITS", bits)
+    docs, items = cases(bits)
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, items int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in winnow.contamination(df, bench).collect()}
     assert got == plain(docs, items)
 
 
+def words(text):
+    raw = text.encode()
+    return winnow.Words(winnow.np.frombuffer(raw, winnow.np.uint8), winnow.np.array([0, len(raw)]))
+
+
 def test_kept_hashes_find_every_shared_span():
     for seed in range(20):
         r = random.Random(seed)
         vocabulary = [f"w{k}" for k in range(r.choice([2, 5, 1000]))]
         item = [r.choice(vocabulary) for _ in range(60)]
-        docs = [(k, " ".join(["q", *item[k : k + 13], "q"])) for k in range(48)]
-        index = winnow.Index([("0", " ".join(item).encode())], 13, 7)
-        for k, text in docs:
-            raw = text.encode()
-            w = winnow.Words(winnow.np.frombuffer(raw, winnow.np.uint8), winnow.np.array([0, len(raw)]))
-            runs, names = winnow.find(index, w)
-            assert (1, 14) in winnow.union(runs[0]) and names[0] == {"0"}
+        known = set(winnow.prints(words(" ".join(item)), 13, 7, [])[0].tolist())
+        for k in range(48):
+            text = " ".join(["q", *item[k : k + 13], "q"])
+            found, at = (x.tolist() for x in winnow.prints(words(text), 13, 7, []))
+            hits = [(h, p) for h, p in zip(found, at) if h in known]
+            t = winnow.Text(text, [h for h, _ in hits], [p for _, p in hits], 13, 7)
+            t.meet("0", winnow.words_of(" ".join(item).encode()))
+            assert hits and t.runs and t.runs[0][0] <= 1 and t.runs[-1][1] >= 14
+
+
+def test_one_word_over_and_over_is_linear(spark):
+    n = 60_000
+    docs = spark.createDataFrame([(1, "a " * n), (2, "b"), (None, "a " * 13), (2, "b"), (3, "a " * 12)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a " * n)], "item_id long, text string")
+    start = time.perf_counter()
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in winnow.contamination(docs, bench).collect()), key=str)
+    assert got == sorted([(1, n, n, ["7"]), (2, 1, 0, []), (2, 1, 0, []), (None, 13, 13, ["7"]), (3, 12, 0, [])], key=str)
+    assert time.perf_counter() - start < 60
 
 
 def test_empty_tables(spark):
