@@ -2,8 +2,9 @@
 
 The longest previous factor of a place is the longest string there that also starts in an earlier document.
 Of the suffixes in sorted order only the nearest ones from earlier documents on either side (previous and next
-smaller positions) can give it. Removing needs to know only whether it reaches MIN bytes, so suffixes are
-compared by their first MIN bytes, and only suffixes that may be equal so far have to meet:
+smaller positions) can give it: it is the longer of the prefixes shared with them. Removing needs to know only whether
+it reaches MIN bytes, so suffixes are compared by their first MIN bytes, lengths are counted up to MIN, and only
+suffixes that may be equal so far have to meet:
 
 1. Texts are packed into chunks (rows of a few thousand documents), which are staged.
 2. Each MIN-byte string is named after its least k-gram hash (its anchor). Equal strings have equal anchors,
@@ -11,8 +12,9 @@ compared by their first MIN bytes, and only suffixes that may be equal so far ha
    each bucket. A bucket answers which of them occur in two documents or more, as bits.
 3. Chunks cut out the contexts of shared anchors (the bytes of all strings named after one). Copies within the
    chunk are settled there; of each distinct context the earliest document's goes to the anchor's bucket.
-4. A bucket settles equal contexts the same way, sorts the suffixes of the rest, and finds previous and next
-   smaller documents among equal ones. It returns runs of bytes to remove for each chunk.
+4. A bucket settles equal contexts the same way (the whole of one is a factor of the other), sorts the suffixes of the
+   rest, and makes their longest-previous-factor array from previous and next smaller documents and the prefixes shared
+   with neighbours. It returns runs of bytes to remove for each chunk.
 5. Chunks cut the runs out.
 
 No step holds more than a chunk, or a bucket of about BUCKET bytes of text; a string that very many documents
@@ -341,34 +343,51 @@ class Part:
         return self.h[a:b], self.doc[a:b], self.start[a:b], self.size[a:b], _rows_of(self.body, self.at[a:b], self.size[a:b], self.width)
 
 
-def nearest_smaller(value: np.ndarray, run: np.ndarray, step: int) -> np.ndarray:
-    """For each place the nearest one to the left (step -1) or right (1) in its run with a smaller value, else -1.
+def common_prefixes(keys: list[np.ndarray], most: int) -> np.ndarray:
+    """Bytes (at most `most`) that each of some sorted strings shares with the one before (the first: 0).
 
-    Places jump over what their neighbours have already skipped.
+    keys: the strings' bytes, eight to a number, the first of them highest.
+    """
+    n = len(keys[0])
+    out, same = np.zeros(n, np.int64), np.arange(1, n)
+    for k in keys:
+        x = k[same] ^ k[same - 1]
+        for shift in range(56, -1, -8):
+            out[same] += (x >> np.uint64(shift)) == 0
+        same = same[x == 0]
+    return np.minimum(out, most)
+
+
+def nearest_smaller(value: np.ndarray, common: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in sorted order the nearest one to the left (step -1) or right (1) with a smaller value, and the prefix shared with it.
+
+    common: common_prefixes() of the order. The shared prefix is the least on the way; where it comes to nothing, or the
+    order ends, the place is -1 and the prefix 0. Places jump over what their neighbours have already skipped.
     """
     n = len(value)
-    to = np.arange(n) + step
+    to, shared = np.arange(n) + step, common.copy()
+    if step > 0:
+        shared = np.append(common[1:], 0)[:n]
     active = np.arange(n)
     while active.size:
         t = to[active]
-        out = (t < 0) | (t >= n)
-        out |= run[np.clip(t, 0, n - 1)] != run[active]
-        to[active[out]] = -1
+        out = (t < 0) | (t >= n) | (shared[active] == 0)
+        to[active[out]], shared[active[out]] = -1, 0
         active, t = active[~out], t[~out]
         on = value[t] >= value[active]
         active, t = active[on], t[on]
-        ahead = to[t]
-        to[active] = np.where(ahead == -1, -1, ahead)
-        active = active[ahead != -1]
-    return to
+        ahead, least = to[t], np.minimum(shared[active], shared[t])
+        to[active], shared[active] = ahead, np.where(ahead < 0, 0, least)
+        active = active[ahead >= 0]
+    return to, shared
 
 
-def earlier_factors(rows: np.ndarray, size: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, offset) of the suffixes whose longest previous factor reaches `least`.
+def previous_factors(rows: np.ndarray, size: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, offset, length) of each suffix of `least` bytes or more: the longest previous factor, up to `least`.
 
-    All suffixes of at least that length are sorted by their first `least` bytes. In that order, previous and next
-    smaller positions (by document) are the earlier documents with the longest common prefixes on either side; the
-    factor is long enough if one of them lies in the same run of equal prefixes.
+    All such suffixes are sorted by their first `least` bytes (removal asks for no more). In that order the previous and
+    next smaller positions by document are the earlier documents with the longest common prefixes on either side; the
+    longer of the two prefixes is the length of the longest factor that also starts in an earlier document.
     """
     many = size - least + 1
     owner = np.repeat(np.arange(len(size)), many)
@@ -386,11 +405,16 @@ def earlier_factors(rows: np.ndarray, size: np.ndarray, doc: np.ndarray, least:
                 key |= flat[at + i]
         keys.append(key)
     order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    run, rank = np.cumsum(new), doc[owner[order]]
-    hit = order[(nearest_smaller(rank, run, -1) >= 0) | (nearest_smaller(rank, run, 1) >= 0)]
+    common, rank = common_prefixes([k[order] for k in keys], least), doc[owner[order]]
+    length = np.empty(len(order), np.int64)
+    length[order] = np.maximum(nearest_smaller(rank, common, -1)[1], nearest_smaller(rank, common, 1)[1])
+    return owner, offset, length
+
+
+def earlier_factors(rows: np.ndarray, size: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset) of the suffixes whose longest previous factor reaches `least`."""
+    owner, offset, length = previous_factors(rows, size, doc, least)
+    hit = length >= least
     return owner[hit], offset[hit]
 
 

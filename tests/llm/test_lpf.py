@@ -72,15 +72,46 @@ def test_anchors_name_equal_strings_alike():
 def test_nearest_smaller():
     for seed in range(50):
         r = np.random.default_rng(seed)
-        v, run = r.integers(0, 6, 40), np.sort(r.integers(0, 5, 40))
+        v, common = r.integers(0, 6, 40), r.integers(0, 5, 40)
+        common[0] = 0
         for step in (-1, 1):
-            want = []
+            places, prefixes = [], []
             for i in range(40):
-                j = i + step
-                while 0 <= j < 40 and run[j] == run[i] and v[j] >= v[i]:
+                j, least = i, 99
+                while True:
+                    least = min(least, common[j] if step < 0 else common[j + 1] if j < 39 else 0)
                     j += step
-                want.append(j if 0 <= j < 40 and run[j] == run[i] else -1)
-            assert lpf.nearest_smaller(v, run, step).tolist() == want
+                    if least == 0 or not 0 <= j < 40 or v[j] < v[i]:
+                        break
+                there = least > 0 and 0 <= j < 40
+                places.append(j if there else -1)
+                prefixes.append(int(least) if there else 0)
+            to, shared = lpf.nearest_smaller(v, common, step)
+            assert to.tolist() == places and shared.tolist() == prefixes
+
+
+def test_longest_previous_factors():
+    """The array against a comparison of every suffix with every other of an earlier document."""
+    for seed in range(12):
+        r = random.Random(seed)
+        least = r.choice([5, 8, 13])
+        texts = ["".join(r.choices("ab", k=r.randint(least, 30))) for _ in range(14)]
+        texts += [texts[0], texts[3][2:] + "b" * least, texts[5][: least + 2]]
+        doc = np.array([r.randint(0, 9) for _ in texts])
+        rows = np.zeros((len(texts), 64), np.uint8)
+        for k, t in enumerate(texts):
+            rows[k, : len(t)] = np.frombuffer(t.encode(), np.uint8)
+        suffixes = [(k, o) for k, t in enumerate(texts) for o in range(len(t) - least + 1)]
+
+        def shared(a, b, texts=texts, least=least):
+            n = 0
+            while n < least and texts[a[0]][a[1] + n] == texts[b[0]][b[1] + n]:
+                n += 1
+            return n
+
+        want = {a: max([0, *(shared(a, b) for b in suffixes if doc[b[0]] < doc[a[0]])]) for a in suffixes}
+        owner, offset, length = lpf.previous_factors(rows, np.array([len(t) for t in texts]), doc, least)
+        assert dict(zip(zip(owner.tolist(), offset.tolist()), length.tolist())) == want
 
 
 def test_no_rows(spark):
