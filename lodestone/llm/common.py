@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import shutil
@@ -26,10 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BOUNDS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
-    """Bounds the Arrow batches that Python workers get, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Bounds the Arrow batches that Python workers get, in rows and in bytes: lower bounds that are set already stay.
+
+    Plans run after the operator has returned, so the bounds hold for the session; they never change results.
+    """
+    for key, most in zip(_BOUNDS, (rows, size)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Smaller batches for what runs inside."""
+    before = spark.conf.get(_BOUNDS[1])
+    small_batches(spark, size=size)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BOUNDS[1], before)
 
 
 def trim() -> None:
@@ -43,22 +63,40 @@ def trim() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none (tests on one machine), a temporary folder of this process.
+    Where the session names none, a temporary folder of this process, if everything runs on this machine.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+_made: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _tidy() -> None:
+    """Deletes what is left of the folders that this process made."""
+    for path, spark in [*_made.items()]:
+        with contextlib.suppress(Exception):  # the JVM may have gone before
+            remove(spark, path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes df in the shared folder and reads it back: cuts lineage and keeps work that later steps reuse."""
+    """Writes df in the shared folder and reads it back: cuts lineage and keeps work that later steps reuse.
+
+    What a returned plan still reads stays until the process ends.
+    """
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -80,6 +118,7 @@ def release(spark: SparkSession) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    _made.pop(path, None)
 
 
 def picked(df: DataFrame, **columns: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, carried, pack_ints, release, renamed, small_batches, stage, trim, unpack_ints, unstage, utf8
+from .common import batch, batches_of, carried, pack_ints, release, renamed, small_batches, stage, trim, unpack_ints, unstage, utf8
 
 #: Bytes of the shortest string that counts, and of a k-gram.
 MIN, GRAM = 50, 20
@@ -543,18 +543,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = stage(spark, rows.mapInArrow(_chunk_batches, "chunk long, size long, ids array<long>, lengths array<long>, data binary, rest binary"), "chunks")
     total = chunks.agg(F.sum("size")).first()[0] or 0
     buckets = max(6, -(-total // BUCKET))
-    small_batches(spark, size=BATCH)
     texts = chunks.select("chunk", "size", "ids", "lengths", "data")
-    lists = texts.mapInArrow(_anchor_batches(least, gram, buckets), "bucket int, chunk long, blob binary, flags binary")
-    bits = lists.groupBy("bucket").applyInArrow(_shared_groups, "chunk long, bucket int, bits binary")
-    bits = bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
-    bits = stage(spark, bits, "shared")
-    del lists
-    release(spark)
-    found = texts.join(bits, "chunk").mapInArrow(_context_batches(least, gram, buckets), "bucket int, chunk long, blob binary")
-    runs = found.groupBy("bucket").applyInArrow(_lpf_groups(least, gram), "chunk long, blob binary").groupBy("chunk").agg(F.collect_list("blob").alias("runs"))
-    runs = stage(spark, runs, "runs")
-    del found
+    with batches_of(spark, BATCH):
+        lists = texts.mapInArrow(_anchor_batches(least, gram, buckets), "bucket int, chunk long, blob binary, flags binary")
+        bits = lists.groupBy("bucket").applyInArrow(_shared_groups, "chunk long, bucket int, bits binary")
+        bits = bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
+        bits = stage(spark, bits, "shared")
+        del lists
+        release(spark)
+        found = texts.join(bits, "chunk").mapInArrow(_context_batches(least, gram, buckets), "bucket int, chunk long, blob binary")
+        runs = found.groupBy("bucket").applyInArrow(_lpf_groups(least, gram), "chunk long, blob binary").groupBy("chunk").agg(F.collect_list("blob").alias("runs"))
+        runs = stage(spark, runs, "runs")
+        del found
     unstage(spark, bits)
     release(spark)
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary()), *others])

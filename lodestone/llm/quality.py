@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, carried, picked, renamed, small_batches, stage
+from .common import batch, carried, picked, renamed, small_batches, stage, unstage
 
 #: Documents of each kind (bad, good) that a scorer is trained on at most, with given labels and as many without.
 TRAIN = 2_000
@@ -195,12 +195,20 @@ def _cut_point(logit: np.ndarray, bad: np.ndarray) -> float:
     return float((edge[k] + edge[k + 1]) / 2)
 
 
+def _feature_batches(batches):
+    """Rows text, (posterior, given) of each head -> the text's slots, and the rest as it is."""
+    said = [(f"{h}_{c}", t) for h in HEADS for c, t in (("post", pa.float64()), ("given", pa.bool_()))]
+    schema = pa.schema([("slots", pa.list_(pa.int32())), *said])
+    for b in batches:
+        yield batch(schema, [sorted(features(t)) for t in b.column(0).fill_null("").to_pylist()], *b.columns[1:])
+
+
 def _train_batches(batches):
     schema = pa.schema([("head", pa.string()), ("slots", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())])
     rows = {h: ([], [], []) for h in HEADS}
     for b in batches:
-        for text, *said in zip(*[c.to_pylist() for c in (b.column(0).fill_null(""), *b.columns[1:])]):
-            f = np.array(sorted(features(text)), np.int32)
+        for slots, *said in zip(*[c.to_pylist() for c in b.columns]):
+            f = np.array(slots, np.int32)
             for k, h in enumerate(HEADS):
                 if said[2 * k] is not None:
                     for kept, x in zip(rows[h], (f, *said[2 * k : 2 * k + 2])):
@@ -275,9 +283,12 @@ def judge_quality(docs: DataFrame, labels: DataFrame | None = None, id_col: str
         for x in chosen[1:]:
             sample = sample.union(x)
         sample = sample.groupBy("id").agg(*[F.max(F.when(F.col("head") == h, F.col(c))).alias(f"{h}_{c}") for h in HEADS for c in ("post", "given")])  # 8 * TRAIN ids at most
-        sample = stage(spark, rows.join(F.broadcast(sample), "id").select("text", *sample.columns[1:]), "training")
+        chosen_rows = rows.join(F.broadcast(sample), "id").select("text", *sample.columns[1:])
+        sample = stage(spark, chosen_rows.mapInArrow(_feature_batches, "slots array<int>, " + ", ".join(f"{h}_post double, {h}_given boolean" for h in HEADS)), "training")
         fitted = sample.coalesce(1).mapInArrow(_train_batches, "head string, slots array<long>, weights array<double>, bias double")
         models = {r["head"]: (dict(zip(r["slots"], r["weights"])), r["bias"]) for r in fitted.collect()}
+        unstage(spark, sample)
+    unstage(spark, voted)
     columns, others, kinds = carried(docs, carry)
     whole = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *columns)
     scored = whole.mapInArrow(_score_batches(models, others), "id long, p_junk double, p_toxic double" + kinds)

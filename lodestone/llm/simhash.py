@@ -422,6 +422,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stage(spark, made.select("id", "text_key"), "keys")
     unstage(spark, made)
     release(spark)
-    links = exact_links(spark, alike)
-    found = reps.join(components(spark, links), reps["rep"] == F.col("id"), "left").select("text_key", F.coalesce("component_id", "rep").alias("component_id"))
+    joined = components(spark, exact_links(spark, alike))
+    unstage(spark, alike, loose)
+    found = reps.join(joined, reps["rep"] == F.col("id"), "left").select("text_key", F.coalesce("component_id", "rep").alias("component_id"))
     return rows.join(found, "text_key").select(F.col("id").alias(id_col), "component_id")

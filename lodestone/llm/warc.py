@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import batch, picked, small_batches, values
 
-#: Payloads of fewer bytes are always stored. Bytes of a block of members, of a range, and of one read.
-LEAST, BLOCK, RANGE, READ = 1000, 4 << 20, 8 << 20, 1 << 20
+#: Payloads of fewer bytes are always stored. Bytes of a block of members, of a range, of one read, and of a task's ranges.
+LEAST, BLOCK, RANGE, READ, TASK = 1000, 4 << 20, 8 << 20, 1 << 20, 128 << 20
+#: Keys over which rows that can have no copy are spread in the search for copies.
+SPREAD = 1 << 16
+#: Schemes of file systems that Hadoop and Arrow name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 MAGIC, LEVEL = b"\x1f\x8b\x08", 5
 #: An empty gzip member.
 GAP = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 255, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
@@ -72,13 +76,16 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
 
     The payload is the text in UTF-8 (null: empty). Of rows with equal payloads of `least` bytes or more, the one with
     the largest id is a response and the others are revisits of it; smaller payloads are all responses. Rows that
-    share the largest id, and rows with a null id, are responses. An empty table gives archives without records.
+    share the largest id, and rows with a null id, are responses. An empty table gives archives without records. A
+    payload of any length is one record, held by one task.
     """
     small_batches(pages.sparkSession)
     rows = picked(pages, id=id_col, url=url_col, payload=payload_col).select(F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode("payload", "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    groups = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
-    rows = rows.join(groups, "digest", "left").withColumn("refers", F.when((F.octet_length("payload") >= least) & (F.col("id") < F.col("keeper")), F.col("keeper")))
+    rows, large = rows.withColumn("digest", F.sha1("payload")), F.octet_length("payload") >= least
+    groups = rows.where(large).groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
+    alone = F.concat(F.lit("-"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("string"))  # no digest looks like that
+    rows = rows.withColumn("key", F.when(large, F.col("digest")).otherwise(alone)).join(groups.withColumnRenamed("digest", "key"), "key", "left")
+    rows = rows.withColumn("refers", F.when(large & (F.col("id") < F.col("keeper")), F.col("keeper")))
     members = rows.select("id", "url", "payload", "digest", "refers").mapInArrow(_member_batches, "value binary")
     members.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", GAP.decode("latin-1")).option("compression", "none").text(out)
 
@@ -158,15 +165,21 @@ def _id(urn: str | None) -> int | None:
 _FOUND = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("path", pa.string()), ("offset", pa.int64())])
 
 
+def opened(path: str):
+    """A file at a URI as Spark names it, open for reading at any place."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    system, name = fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+    return system.open_input_file(name)
+
+
 def _range_batches(keep_payload: bool):
     def run(batches):
-        from pyarrow import fs
-
         for b in batches:
             for path, size, start, end in zip(*(b.column(k).to_pylist() for k in range(4))):
-                system, name = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
-                with system.open_input_file(name) as file:
+                with opened(path) as file:
                     for at, content in records(file, size, start, end):
                         warc, http, payload = parsed(content)
                         kind, told = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha1:")
@@ -190,12 +203,13 @@ def _range_batches(keep_payload: bool):
 def read_warc(spark: SparkSession, path: str, payloads: bool = True, range_bytes: int = RANGE) -> DataFrame:
     """page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload, path, offset of each record.
 
-    Ranges are dealt evenly to tasks whatever the sizes of files. Digests of responses are computed from what was
+    Ranges are dealt evenly to tasks whatever the sizes of files, TASK bytes to each if there are many. Digests of responses are computed from what was
     read and must equal their headers'. A revisit has an empty payload; its length is that of the original response.
     """
     small_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "length")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
     ranges = files.select("path", "length", starts.alias("start")).withColumn("end", F.least(F.col("start") + range_bytes, "length"))
-    ranges = ranges.repartition(max(1, ranges.count()))
+    many = ranges.agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("size")).first()
+    ranges = ranges.repartition(max(1, min(many["n"], 4 * spark.sparkContext.defaultParallelism), -(-(many["size"] or 0) // TASK)))
     return ranges.mapInArrow(_range_batches(payloads), "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, path string, offset long")

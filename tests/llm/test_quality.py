@@ -1,7 +1,10 @@
 """The quality classifier: the label model on made-up votes, held-out accuracy, and odd rows."""
 
+import math
 import random
 
+import numpy as np
+
 from lodestone.llm import quality
 
 
@@ -19,6 +22,62 @@ def test_label_model_recovers_accuracies():
     assert post["bbbb-"] > 0.99 and post["gggg-"] < 0.02 and post["ggggb"] > 0.9
 
 
+def plain_em(rows, rounds=60):
+    """Expectation-maximisation over single documents, with plain sums: posteriors and the share of bad ones."""
+    labellers = len(rows[0])
+    p = [[{"-": 0.2, "g": 0.79, "b": 0.01}, {"-": 0.2, "g": 0.5, "b": 0.3}] for _ in range(labellers)]
+    right = ({"g": 1 - quality.ERR, "b": quality.ERR}, {"g": quality.ERR, "b": 1 - quality.ERR})
+    p[-1] = [{"-": 0.5} | {v: 0.5 * x for v, x in right[k].items()} for k in (0, 1)]
+    share = 0.2
+    for _ in range(rounds):
+        post = []
+        for v in rows:
+            good, bad = 1 - share, share
+            for j, x in enumerate(v):
+                good, bad = good * p[j][0][x], bad * p[j][1][x]
+            post.append(bad / (good + bad))
+        for j in range(labellers):
+            for k in (0, 1):
+                sums = {x: 0.5 + sum((q if k else 1 - q) for q, v in zip(post, rows) if v[j] == x) for x in "-gb"}
+                total = sum(sums.values())
+                p[j][k] = {x: s / total for x, s in sums.items()}
+        for k in (0, 1):
+            p[-1][k] |= {v: (1 - p[-1][k]["-"]) * x for v, x in right[k].items()}
+        share = min(max(sum(post) / len(post), 1e-4), 1 - 1e-4)
+    return dict(zip(rows, post)), share
+
+
+def test_label_model_equals_sums_over_documents():
+    r = random.Random(2)
+    rows = []
+    for _ in range(700):
+        bad = r.random() < 0.2
+        v = "".join(r.choices("-gb", (2, 2, 6) if bad else (2, 7, 1))[0] for _ in range(3))
+        rows.append(v + ("-" if r.random() < 0.6 else "b" if bad else "g"))
+    post, share, _ = quality.fit_labellers({v: rows.count(v) for v in set(rows)})
+    want, other = plain_em(rows)
+    assert abs(share - other) < 1e-9 and all(abs(post[v] - want[v]) < 1e-9 for v in want)
+
+
+def test_scores_are_the_sums_of_the_scorers_weights(spark):
+    """The registered query's rows from votes, label model, training and sums made plainly from all documents at once."""
+    rows = corpus(400, 9)
+    labels = {i: (q, t) for i, _, q, t in rows if i % 3 == 0}
+    got = {r.doc_id: (r.p_junk, r.p_toxic, r.keep) for r in quality.judge_quality(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(3), spark.createDataFrame([(i, *x) for i, x in labels.items()], "doc_id long, quality int, toxic int")).collect()}
+    found = {}
+    for head, rules, which, bad in (("junk", quality.JUNK, 0, 0), ("toxic", quality.TOXIC, 1, 1)):
+        votes = {i: quality.votes(quality.measures(t), rules) + ("-" if i not in labels else "b" if labels[i][which] == bad else "g") for i, t, _, _ in rows}
+        counts = {v: list(votes.values()).count(v) for v in set(votes.values())}
+        post = quality.corrected(plain_em(list(votes.values()))[0], counts)
+        chosen = [(post[votes[i]], votes[i][-1] != "-", t) for i, t, _, _ in rows if post[votes[i]] >= 0.5 or post[votes[i]] <= 0.1]
+        model = quality.train_twice(*quality._in_order([np.array(sorted(quality.features(t)), np.int32) for _, _, t in chosen], [p for p, _, _ in chosen], [g for _, g, _ in chosen]))
+        weight = dict(zip(model[0].tolist(), model[1].tolist()))
+        found[head] = {i: 1 / (1 + math.exp(-(model[2] + sum(weight.get(f, 0.0) for f in quality.features(t))))) for i, t, _, _ in rows}
+    for i, (junk, toxic, keep) in got.items():
+        assert abs(junk - found["junk"][i]) < 1e-6 and abs(toxic - found["toxic"][i]) < 1e-6
+        assert keep == (junk < 0.5 and toxic < 0.5)
+
+
 def corpus(n, seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 8)))

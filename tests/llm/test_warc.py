@@ -78,3 +78,13 @@ def test_no_rows(spark):
     out = new_folder(spark, "warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), out)
     assert warc.read_warc(spark, out).count() == 0
+
+
+def test_a_very_long_payload_and_many_empty_ones(spark):
+    long = "é<p>" * 3_000_000
+    data = [(1, "a", long), (2, "b", long), *((k, None, None) for k in range(3, 400))]
+    out = new_folder(spark, "warc")
+    warc.write_warc(spark.createDataFrame(data, "page_id long, url string, html string").repartition(3), out)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(spark, out, payloads=False, range_bytes=5000).collect()}
+    n = len(long.encode())
+    assert got == {1: (n, "revisit", 2), 2: (n, "response", None)} | {k: (0, "response", None) for k in range(3, 400)}
