@@ -25,13 +25,13 @@ from .sources import gitlog, graph_files
 TABLES = ("modules", "module_edges", "nodes", "edges")
 
 
-def save(tables: dict[str, DataFrame], out: str) -> None:
-    """The tables as Parquet, graphs as JSON, the semantic index as JSON lines, and the two documents."""
-    for name in TABLES:
+def save(tables: dict[str, DataFrame], out: str, status: str = "complete") -> None:
+    """The tables and all issues as Parquet, graphs as JSON, the semantic index as JSON lines, and the two documents."""
+    for name in (*TABLES, "issues"):
         tables[name].write.mode("overwrite").parquet(f"{out}/{name}.parquet")
     graph_files.write_graph(tables["nodes"].select("id", "node_type", "name", "source_file", "transformation_type"), tables["edges"].select("src", "dst", "edge_type", "weight", "source_file", "analysis_method"), f"{out}/lineage_graph.json")
     graph_files.write_lines(readmodels.semantic_index(tables), f"{out}/semantic_index.jsonl")
-    found = artifacts.answers(tables)
+    found = artifacts.answers(tables, status)
     for name, text in (("CODEBASE.md", artifacts.codebase(tables)), ("onboarding_brief.md", artifacts.brief(found)), ("day_one.json", json.dumps(found, indent=2))):
         Path(out, name).write_text(text)
 
@@ -42,8 +42,10 @@ def load(spark: SparkSession, out: str) -> dict[str, DataFrame] | None:
     return {n: spark.read.parquet(f"{out}/{n}.parquet") for n in TABLES}
 
 
-def payload(a: Answer, most: int = 200) -> dict:
-    rows = [r.asDict(recursive=True) for r in a.rows.limit(most).collect()] if a.rows is not None else []
+def payload(a: Answer, most: int | None = None) -> dict:
+    """An answer as JSON; `most` rows of it are shown, or all, one after the other."""
+    shown = a.rows if a.rows is None or most is None else a.rows.limit(most)
+    rows = [r.asDict(recursive=True) for r in shown.toLocalIterator()] if shown is not None else []
     return {"ok": a.ok, "tool": a.tool, "arg": a.arg, "direction": a.direction, "result": rows, "evidence": a.evidence, "error": a.error}
 
 
@@ -62,6 +64,8 @@ def main(argv: list[str] | None = None) -> int:
     k = sub.add_parser("ask")
     k.add_argument("folder")
     k.add_argument("question", nargs="+")
+    for x in (q, k):
+        x.add_argument("--rows", type=int, help="rows that are shown (all)")
     sub.add_parser("visualize").add_argument("folder")
     o = p.parse_args(argv)
     spark = session()
@@ -69,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         out = o.output or f"{o.path}/.lodestone"
         Path(out).mkdir(parents=True, exist_ok=True)
         status, log = gitlog.capture(o.path, o.days)
-        save(analyze.analyze(spark, o.path, log), out)
+        save(analyze.analyze(spark, o.path, log), out, status)
         print(json.dumps({"output": out, "history": status}))
         return 0
     tables = load(spark, o.folder)
@@ -81,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     nav = Navigator(*(tables[n] for n in TABLES))
     answers = [nav.run(o.tool, o.arg, o.direction)] if o.command == "query" else nav.ask(" ".join(o.question))
-    print(json.dumps([payload(x) for x in answers], default=str, indent=2))
+    print(json.dumps([payload(x, o.rows) for x in answers], default=str, indent=2))
     return 0 if all(x.ok for x in answers) else 2
 
 

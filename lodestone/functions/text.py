@@ -18,6 +18,10 @@ OPERATIONAL_PREFIXES = ("install ", "load ", "checkpoint", "vacuum", "analyze",
 GENERIC_LABELS = ("test", "tests", "job", "jobs", "run", "tmp", "temp", "embed_tokens", "token", "tokens")
 
 
+#: Ends of lines.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
 def any_of(text: Column, markers) -> Column:
     out = F.lit(False)
     for m in markers:
@@ -38,8 +42,8 @@ def clamp01(x: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """The lines of a text; the last one is none if it is empty."""
-    parts = F.split(text, "\n")
+    """The lines of a text (null: none), at any of the usual ends; the last one is none if it is empty."""
+    parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
@@ -49,7 +53,7 @@ def loc(text: Column) -> Column:
 
 def comment_ratio(text: Column) -> Column:
     """The share of lines that start with #, // or --."""
-    marked = F.size(F.filter(lines(text), lambda x: F.rlike(F.trim(x), F.lit(r"^(#|//|--)"))))
+    marked = F.size(F.filter(lines(text), lambda x: F.rlike(x, F.lit(r"^\s*(#|//|--)"))))
     return F.when(loc(text) > 0, marked / loc(text)).otherwise(F.lit(0.0))
 
 
@@ -176,6 +180,20 @@ def notebook_class(reads: Column, writes: Column) -> Column:
     return F.when(reads & writes, "notebook_etl").when(reads, "notebook_ingestion").when(writes, "notebook_export").otherwise("notebook_analysis")
 
 
+#: What a path in a text ends in.
+PATH_ENDS = "py|sql|ya?ml|js|ts|ipynb|json|md"
+
+
+def paths_in(text: Column) -> Column:
+    """The distinct paths of files that a text names, in its order."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"([\w./-]+\.(?:{PATH_ENDS}))\b"), F.lit(1)))
+
+
+def ordered_union(*lists: Column) -> Column:
+    """The values of several lists one after the other, each where it comes first."""
+    return F.array_distinct(F.concat(*lists))
+
+
 def line_range(start: Column, end: Column) -> Column:
     """A range of lines: what is missing or negative is 0, an end before the start is the start."""
     a, b = (F.greatest(F.lit(0), F.coalesce(x.cast("int"), F.lit(0))) for x in (start, end))

@@ -36,32 +36,96 @@ def with_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.unionByName(ends.join(nodes, "id", "left_anti"), allowMissingColumns=True)
 
 
+def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges whose ends are both among nodes(id)."""
+    ids = nodes.select("id").distinct()
+    return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select(*edges.columns)
+
+
+def touching(edges: DataFrame, ids: list[str], k: int | None = None) -> DataFrame:
+    """The distinct edges with an end among ids, in order of their ends; the first k of them."""
+    found = edges.where(F.col("src").isin(ids) | F.col("dst").isin(ids)).distinct().orderBy("src", "dst")
+    return found if k is None else found.limit(k)
+
+
+def updated(nodes: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
+    """Nodes with the values that updates(key, ...) has for them; null values and unknown keys change nothing."""
+    new = [c for c in updates.columns if c != key]
+    renamed = updates.select(key, *[F.col(c).alias(f"new_{c}") for c in new])
+    joined = nodes.join(renamed, key, "left")
+    return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in new else F.col(c) for c in nodes.columns])
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """A graph's rows over an earlier one's: for each key the row of the new graph, and in each the last added."""
+    both = old.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1))).withColumn("at", F.struct("fresh", order))
+    return last_wins(both, keys, "at").select(*old.columns)
+
+
+def without(rows: DataFrame, changes: DataFrame, path: str = "path") -> DataFrame:
+    """Rows whose path is not among changes(path)."""
+    return rows.join(changes.select(F.col("path").alias(path)).distinct(), path, "left_anti")
+
+
+def related_by_file(nodes: DataFrame, files: DataFrame, types: tuple[str, ...] = ("config", "pipeline")) -> DataFrame:
+    """The ids of nodes of some types that files(source_file) declare."""
+    return nodes.where(F.col("node_type").isin(*types)).join(files.select("source_file").distinct(), "source_file", "left_semi").select("id").distinct()
+
+
+def levels(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, node, depth) of all nodes that starts(start) reach by the fewest edges, start itself left out."""
+    edges = edges.select("src", "dst").distinct()
+    seen = frontier = cut(starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        met = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
+        new = cut(met.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
+            break
+        seen, frontier = seen.unionByName(new), new  # a union of levels that are each cut
+    return seen.where("depth > 0")
+
+
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(start, node, depth, parent) of all nodes that starts(start) reach, start itself left out.
+    """(start, node, depth, parent, key) of all nodes that starts(start) reach, start itself left out.
 
     depth is the fewest edges. parent is the node it is discovered from: among the nodes of the level before, the
-    first one in order of discovery, where the neighbours of a node are discovered in order of their ids. position
-    numbers the discovery from 1.
+    first one in order of discovery, where the neighbours of a node are discovered in order of their ids. key orders
+    the nodes of a level by discovery; numbered() makes positions of it. A level is sorted by ranges, so no start's
+    nodes have to meet in one task.
     """
     edges = edges.select("src", "dst").distinct()
-    frontier = starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("position"))
+    frontier = starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.monotonically_increasing_id().alias("key"))
     seen = frontier = cut(frontier)
     depth = 0
-    first = Window.partitionBy("start").orderBy("at", "node")
     while max_depth is None or depth < max_depth:
         depth += 1
-        met = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.col("node").alias("parent"), F.col("position").alias("at"))
+        met = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.col("node").alias("parent"), F.col("key").alias("at"))
         met = met.groupBy("start", "node").agg(F.min(F.struct("at", "parent")).alias("x")).select("start", "node", "x.at", "x.parent")
         new = met.join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        before = seen.groupBy("start").agg(F.max("position").alias("last"))
-        new = new.withColumn("nth", F.row_number().over(first)).join(before, "start")
-        new = cut(new.select("start", "node", F.lit(depth).alias("depth"), "parent", (F.col("last") + F.col("nth")).alias("position")))
+        new = new.repartitionByRange("at", "node").sortWithinPartitions("at", "node")
+        new = cut(new.select("start", "node", F.lit(depth).alias("depth"), "parent", F.monotonically_increasing_id().alias("key")))
         if new.isEmpty():
             break
         seen, frontier = seen.unionByName(new), new  # a union of levels that are each cut
     return seen.where("depth > 0")
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """reach() with `position` for key: the discovery of each start's nodes numbered from 1.
+
+    Counts of each start, level and range come first, then numbers within these.
+    """
+    part = F.shiftright("key", 33)  # monotonically_increasing_id() holds the partition there
+    rows = found.withColumn("part", part)
+    count = rows.groupBy("start", "depth", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("start").orderBy("depth", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("start", "depth", "part").orderBy("key"))
+    rows = rows.withColumn("nth", nth).join(count.withColumn("before", before).drop("n"), ["start", "depth", "part"])
+    return rows.select("start", "node", "depth", "parent", (F.col("before") + F.col("nth")).alias("position"))
+
+
 def sources_and_sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, is_source, is_sink): no edge in, no edge out; an isolated node is both."""
     out, into = edges.select(F.col("src").alias("id"), F.lit(1).alias("o")).distinct(), edges.select(F.col("dst").alias("id"), F.lit(1).alias("i")).distinct()
@@ -104,43 +168,75 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
     return rank.select("id", "rank")
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(component, size, members): strongly connected components of two nodes or more.
-
-    Components are numbered cycle_1, cycle_2, ... by falling size, then first member. Nodes from which every cycle has
-    been trimmed go first; the rest is decided by mutual reach, so cost follows the part of the graph with cycles.
-    """
-    e = edges.select("src", "dst").where("src <> dst").distinct()
+def _on_cycles(e: DataFrame) -> tuple[DataFrame, int]:
+    """The edges left, and their number, when nodes without edges in or out are taken away again and again."""
     count = -1
-    while True:  # a node on a cycle has edges in and out
+    while True:
         e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         now = e.count()
         if now == count or not now:
-            break
+            return e, now
         count = now
-    pairs = reach(e, e.select(F.col("src").alias("start")))
-    back = pairs.select(F.col("node").alias("start"), F.col("start").alias("node"))
-    mutual = pairs.select("start", "node").join(back, ["start", "node"], "left_semi")
-    part = mutual.groupBy("start").agg(F.least(F.min("node"), F.col("start")).alias("component"))
-    found = part.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("start")).alias("members"))
-    number = F.row_number().over(Window.orderBy(F.desc("size"), "component"))
+
+
+def _coloured(e: DataFrame) -> DataFrame:
+    """(id, component) by colours: each node takes the largest id that reaches it; what a colour's own node is reached from is one component.
+
+    Rows are as many as nodes and edges, never pairs of nodes. Found components are taken away, and the rest goes on.
+    """
+    found, left = e.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0), e.count()
+    while left:
+        colour = cut(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("c", F.col("id")))
+        moved = colour
+        while True:
+            given = moved.join(e, moved["id"] == e["src"]).groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("n"))
+            after = cut(colour.join(given, "id", "left").select("id", F.greatest("c", F.coalesce("n", "c")).alias("c"), (F.col("n") > F.col("c")).alias("new")))
+            colour, moved = after.drop("new"), after.where("new").drop("new")
+            if moved.isEmpty():
+                break
+        same = e.join(colour.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").where("a = b").select("src", "dst")
+        roots = colour.where("id = c").select(F.col("id").alias("start"))
+        mine = levels(reverse(cut(same)), roots).select(F.col("node").alias("id"), F.col("start").alias("component"))
+        mine = cut(mine.union(roots.select(F.col("start").alias("id"), F.col("start").alias("component"))))
+        found = found.union(mine)
+        e = e.join(mine.select(F.col("id").alias("src")), "src", "left_anti").join(mine.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+        e, left = _on_cycles(e)
+    return found
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, few: int = 1000) -> DataFrame:
+    """(component, size, members): strongly connected components of two nodes or more.
+
+    Components are numbered cycle_1, cycle_2, ... by falling size, then first member. Nodes that no cycle can hold go
+    first. If `few` nodes are left, or fewer, mutual reach decides (few * few pairs at most), else colours do.
+    """
+    e, left = _on_cycles(edges.select("src", "dst").where("src <> dst").distinct())
+    if left and e.select("src").distinct().count() > few:
+        part = _coloured(e)
+    else:
+        pairs = levels(e, e.select(F.col("src").alias("start")))
+        back = pairs.select(F.col("node").alias("start"), F.col("start").alias("node"))
+        mutual = pairs.select("start", "node").join(back, ["start", "node"], "left_semi")
+        part = mutual.groupBy(F.col("start").alias("id")).agg(F.least(F.min("node"), F.col("start")).alias("component"))
+    found = part.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members")).where("size > 1")
+    number = F.row_number().over(Window.orderBy(F.desc("size"), F.col("members")[0]))
     return found.select(F.concat(F.lit("cycle_"), number.cast("string")).alias("cycle_id"), "size", "members")
 
 
 def descendants(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, descendants): how many other nodes each node reaches; 0 for nodes that reach none."""
-    pairs = reach(edges, edges.select(F.col("src").alias("start")))
+    pairs = levels(edges, edges.select(F.col("src").alias("start")))
     counts = pairs.where("node <> start").groupBy(F.col("start").alias("id")).agg(F.count("*").alias("descendants"))
     return counts if nodes is None else nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("descendants", F.lit(0)).alias("descendants"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, most: int = 250) -> DataFrame | None:
-    """(id, betweenness), directed and normalised; None above `most` nodes.
+def betweenness(nodes: DataFrame, edges: DataFrame, most: int | None = 250) -> DataFrame | None:
+    """(id, betweenness), directed and normalised; None above `most` nodes (a most of None: always computed).
 
     All shortest paths are counted level by level; a node lies on those of (s, t) through it if the distances add up.
     """
     n = nodes.count()
-    if n > most:
+    if most is not None and n > most:
         return None
     e = edges.select("src", "dst").where("src <> dst").distinct()
     frontier = nodes.select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
@@ -181,7 +277,7 @@ def impact(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
 
     nodes: id, node_type, transformation_type, source_file. Starts that reach nothing have zeros and empty lists.
     """
-    found = reach(edges, starts).select("start", F.col("node").alias("id"), "depth").join(nodes, "id", "left")
+    found = levels(edges, starts).select("start", F.col("node").alias("id"), "depth").join(nodes, "id", "left")
     out = edges.select(F.col("src").alias("id"), F.lit(True).alias("goes_on")).distinct()
     found = found.join(out, "id", "left")
     pick = lambda c: F.array_sort(F.collect_set(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .python_code import table_function
+from .tables import table_function
 
 
 def yaml_keys(text: str) -> tuple[list[str], list[str], int]:

@@ -7,13 +7,14 @@ parse gives an issue, and what patterns can still find.
 from __future__ import annotations
 
 import ast
+import functools
 import re
-from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
 
 from .sql_code import statement_tables
+from .tables import table_function
 
 #: Marks a name that is only known when the code runs.
 DYNAMIC = "<dynamic>"
@@ -44,6 +45,15 @@ def dotted(node: ast.AST) -> str:
     return ".".join(reversed(parts))
 
 
+@functools.lru_cache(maxsize=1)
+def parsed(text: str) -> tuple[ast.Module | None, str]:
+    """(tree, "") of a text, or (None, what is wrong). The last one is kept: several extractors read the same tree."""
+    try:
+        return ast.parse(text), ""
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return None, f"line {getattr(e, 'lineno', 0) or 0}: {e.__class__.__name__}"
+
+
 def imports_of(tree: ast.AST) -> list[str]:
     found = set()
     for n in ast.walk(tree):
@@ -66,10 +76,9 @@ def complexity_of(tree: ast.AST) -> int:
 def structure(text: str) -> dict:
     """imports, functions (name, qualified, signature, decorators, calls), classes, complexity, issues of a module."""
     out = {"imports": [], "functions": [], "classes": [], "complexity": 1, "issues": []}
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        out["issues"] = [f"line {getattr(e, 'lineno', 0) or 0}: {e.__class__.__name__}"]
+    tree, wrong = parsed(text)
+    if tree is None:
+        out["issues"] = [wrong]
         found = re.findall(r"^\s*(?:from\s+([.\w]+)\s+import|import\s+([.\w]+))", text, re.M)
         out["imports"] = sorted({a or b for a, b in found})
         out["classes"] = [{"name": c, "bases": []} for c in sorted(set(re.findall(r"^class\s+(\w+)", text, re.M)))]
@@ -80,7 +89,8 @@ def structure(text: str) -> dict:
         for n in body:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 name = f"{owner}.{n.name}" if owner else n.name
-                calls = sorted({dotted(c.func).rpartition(".")[2] for c in ast.walk(n) if isinstance(c, ast.Call)} - {""})
+                inside = (c for part in (n.args, *n.body) for c in ast.walk(part))  # not the decorators
+                calls = sorted({dotted(c.func).rpartition(".")[2] for c in inside if isinstance(c, ast.Call)} - {""})
                 out["functions"].append({"name": n.name, "qualified": name, "signature": f"{name}({ast.unparse(n.args)})", "decorators": [dotted(d) for d in n.decorator_list], "calls": calls, "line": n.lineno, "end_line": n.end_lineno})
             elif isinstance(n, ast.ClassDef):
                 out["classes"].append({"name": n.name, "bases": [ast.unparse(b) for b in n.bases]})
@@ -124,16 +134,15 @@ def is_operational(sql: str) -> bool:
 
 
 def data_flow(text: str) -> list[dict]:
-    """Reads and writes: flow (CONSUMES, PRODUCES), dataset, storage, unresolved, start, end of each."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    """Reads and writes: flow (CONSUMES, PRODUCES), dataset, storage, method (python, python_sql), unresolved, start, end of each."""
+    tree, _ = parsed(text)
+    if tree is None:
         return []
     constants, out = _constants(tree), []
 
-    def add(call: ast.Call, flow: str, storage: str, names: list[str]) -> None:
+    def add(call: ast.Call, flow: str, storage: str, names: list[str], method: str = "python") -> None:
         for n in names or [DYNAMIC]:
-            out.append({"flow": flow, "dataset": n, "storage": storage, "unresolved": n == DYNAMIC, "start": call.lineno, "end": call.end_lineno or call.lineno})
+            out.append({"flow": flow, "dataset": n, "storage": storage, "method": method, "unresolved": n == DYNAMIC, "start": call.lineno, "end": call.end_lineno or call.lineno})
 
     for call in (n for n in ast.walk(tree) if isinstance(n, ast.Call)):
         path = dotted(call.func)
@@ -149,9 +158,9 @@ def data_flow(text: str) -> list[dict]:
             elif not is_operational(sql):
                 sources, targets = statement_tables(sql)
                 if last in ("execute", "sql") and targets:
-                    add(call, "PRODUCES", "table", targets)
+                    add(call, "PRODUCES", "table", targets, "python_sql")
                 if sources or not targets:
-                    add(call, "CONSUMES", "table", sources or re.findall(r"(?i)\b(?:from|join)\s+([\w.]+)", sql) or ([sql] if re.fullmatch(r"[\w.]+", sql) else []))
+                    add(call, "CONSUMES", "table", sources or re.findall(r"(?i)\b(?:from|join)\s+([\w.]+)", sql) or ([sql] if re.fullmatch(r"[\w.]+", sql) else []), "python_sql")
         elif last in FILE_WRITERS or last in TABLE_WRITERS:
             words = ("name", "destination_table") if last in TABLE_WRITERS else PATH_WORDS
             add(call, "PRODUCES", "table" if last in TABLE_WRITERS else "file", [_argument(call, words, constants)])
@@ -174,9 +183,8 @@ def _names(node: ast.expr) -> list[str]:
 
 def task_order(text: str) -> list[dict]:
     """Edges between tasks: a >> b, b << a, set_downstream, set_upstream; lists give all pairs."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    tree, _ = parsed(text)
+    if tree is None:
         return []
     found = []
     for n in ast.walk(tree):
@@ -194,9 +202,8 @@ def task_order(text: str) -> list[dict]:
 
 def without_docstrings(text: str) -> str:
     """The source without docstrings, comments and blank lines."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    tree, _ = parsed(text)
+    if tree is None:
         return text
     gone: set[int] = set()
     for n in ast.walk(tree):
@@ -205,46 +212,54 @@ def without_docstrings(text: str) -> str:
     return "\n".join(x for k, x in enumerate(text.splitlines(), 1) if k not in gone and x.strip() and not x.lstrip().startswith("#"))
 
 
-def table_function(files: DataFrame, extract: Callable[[str], list[dict]], schema: str, issues: str | None = None) -> DataFrame:
-    """Rows (path, ...) of what `extract` finds in each file's text; an error in one file ends no other's.
+_MODULE = "imports array<string>, public_functions array<string>, classes array<string>, class_inheritance map<string, array<string>>, complexity double, issues array<string>"
+_FUNCTION = "name string, qualified string, signature string, decorators array<string>, calls array<string>, line int, end_line int"
+_FLOW = "flow string, dataset string, storage string, method string, unresolved boolean, start int, end int"
+_ORDER = "source string, target string, start int, end int"
 
-    With `issues`, the name of a string column, a file on which `extract` fails gives one row that says so.
-    """
-    import pandas as pd
 
-    names = StructType.fromDDL(schema).names
+def _struct(ddl: str) -> str:
+    return "struct<" + re.sub(r"(\w+) (\w+<.*?>+|\w+)(?=,|$)", r"\1: \2", ddl) + ">"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, text in zip(b["path"], b["text"]):
-                try:
-                    rows += [{"path": path} | r for r in extract(text or "")]
-                except Exception as e:  # noqa: BLE001  told as a row, as one bad file must not stop the others
-                    if issues:
-                        rows.append({"path": path, issues: f"{e.__class__.__name__}: {e}"})
-            yield pd.DataFrame([[r.get(n) for n in ("path", *names)] for r in rows], columns=["path", *names], dtype=object)
 
-    return files.select("path", "text").mapInPandas(run, f"path string, {schema}")
-
-
-def modules(files: DataFrame) -> DataFrame:
+def facts(files: DataFrame) -> DataFrame:
+    """(path, module, functions, flows, orders, issue): all that one parse of each file gives."""
     def one(text: str) -> list[dict]:
         s = structure(text)
-        public = sorted({f["name"].lstrip("_") for f in s["functions"]})
-        return [{"imports": s["imports"], "public_functions": public, "classes": sorted(c["name"] + (f"({', '.join(c['bases'])})" if c["bases"] else "") for c in s["classes"]), "class_inheritance": {c["name"]: c["bases"] for c in s["classes"]}, "complexity": float(s["complexity"]), "issues": s["issues"]}]
+        module = {
+            "imports": s["imports"], "public_functions": sorted({f["name"].lstrip("_") for f in s["functions"]}),
+            "classes": sorted(c["name"] + (f"({', '.join(c['bases'])})" if c["bases"] else "") for c in s["classes"]),
+            "class_inheritance": [*{c["name"]: c["bases"] for c in s["classes"]}.items()], "complexity": float(s["complexity"]), "issues": s["issues"],
+        }
+        return [{"module": module, "functions": s["functions"], "flows": data_flow(text), "orders": task_order(text)}]
+
+    return table_function(files, one, f"module {_struct(_MODULE)}, functions array<{_struct(_FUNCTION)}>, flows array<{_struct(_FLOW)}>, orders array<{_struct(_ORDER)}>, issue string", issues="issue")
+
+
+def modules(found: DataFrame) -> DataFrame:
+    """From facts(): a row for each file; one on which an extractor failed has that as its issue."""
+    none = F.array().cast("array<string>")
+    failed = F.when(F.col("issue").isNotNull(), F.array("issue")).otherwise(none)
+    row = found.select("path", "module.*", failed.alias("failed"))
+    return row.withColumns({c: F.coalesce(c, none) for c in ("imports", "public_functions", "classes")} | {"issues": F.concat(F.coalesce("issues", none), "failed"), "complexity": F.coalesce("complexity", F.lit(1.0))}).drop("failed")
+
+
+def functions(found: DataFrame) -> DataFrame:
+    return found.select("path", F.inline("functions"))
 
-    return table_function(files, one, "imports array<string>, public_functions array<string>, classes array<string>, class_inheritance map<string, array<string>>, complexity double, issues array<string>")
 
+def flows(found: DataFrame) -> DataFrame:
+    return found.select("path", F.inline("flows"))
 
-def functions(files: DataFrame) -> DataFrame:
-    keep = ("name", "qualified", "signature", "decorators", "calls", "line", "end_line")
-    return table_function(files, lambda t: [{k: f[k] for k in keep} for f in structure(t)["functions"]], "name string, qualified string, signature string, decorators array<string>, calls array<string>, line int, end_line int")
 
+def orders(found: DataFrame) -> DataFrame:
+    return found.select("path", F.inline("orders"))
 
-def flows(files: DataFrame) -> DataFrame:
-    return table_function(files, data_flow, "flow string, dataset string, storage string, unresolved boolean, start int, end int")
 
+def excerpts(files: DataFrame, most: int = 4000) -> DataFrame:
+    """(path, excerpt): Python without docstrings, other languages without comments and blank lines, `most` characters of it."""
+    def one(text: str, path: str) -> list[dict]:
+        plain = without_docstrings(text) if path.endswith(".py") else "\n".join(x for x in text.splitlines() if x.strip() and not re.match(r"\s*(#|//|--)", x))
+        return [{"excerpt": plain[:most]}]
 
-def orders(files: DataFrame) -> DataFrame:
-    return table_function(files, task_order, "source string, target string, start int, end int")
+    return table_function(files, one, "excerpt string", named=True)

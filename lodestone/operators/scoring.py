@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, clamp01, execution_priority, how_many, is_abstraction, is_excluded, is_noise, is_support
+from ..functions.text import any_of, clamp01, execution_priority, how_many, is_abstraction, is_excluded, is_noise, is_support, is_weak_label
 
 #: Words of labels and paths that speak for a role.
 INGESTION = ("raw", "source", "ingest", "landing", "bronze", "staging", "s3", "gcs", "csv", "json", "parquet", "api", "stream", "event", "log")
@@ -20,6 +20,12 @@ NOT_ACTIVE = ("docs/", "documentation/", "scripts/", ".github/", ".gitlab/", "ex
 #: How far a method of analysis is trusted; others 0.55.
 RELIABILITY = {"sqlglot": 0.92, "tree_sitter_python+sqlglot": 0.88, "tree_sitter_python": 0.70, "lineage_graph_sources": 0.82, "lineage_graph_sinks": 0.86, "module_graph_descendants": 0.86, "complexity_and_velocity_signals": 0.84, "git_log_frequency": 0.78, "module_entrypoint_ingestion_heuristic": 0.35}
 FAMILIES = {"sqlglot": "lineage", "tree_sitter_python+sqlglot": "lineage", "tree_sitter_python": "lineage", "lineage_graph_sources": "lineage", "lineage_graph_sinks": "lineage", "module_graph_descendants": "module", "complexity_and_velocity_signals": "module", "git_log_frequency": "git"}
+#: Our own names of methods, as the fixed values above know them.
+OWN = {"sql": "sqlglot", "python_sql": "tree_sitter_python+sqlglot", "python": "tree_sitter_python", "python_ast": "tree_sitter_python"}
+RELIABILITY |= {own: RELIABILITY[known] for own, known in OWN.items()}
+FAMILIES |= {own: FAMILIES[known] for own, known in OWN.items()}
+#: Methods that speak for an ingestion dataset, under either name.
+STRONG_METHODS = ("sqlglot", "tree_sitter_python+sqlglot", "lineage_graph", "sql", "python_sql")
 EXPECTED = {"q1_primary_ingestion": ("lineage", "heuristic"), "q2_critical_outputs": ("lineage",), "q3_blast_radius": ("module",), "q4_logic_concentration": ("module",), "q5_change_velocity": ("git",)}
 WEIGHTS = {"evidence_count": 0.25, "evidence_diversity": 0.20, "graph_coverage": 0.20, "heuristic_reliability": 0.15, "signal_agreement": 0.10, "repo_type_fit": 0.10}
 
@@ -111,6 +117,30 @@ def velocity_priority(path: Column, velocity: Column, pagerank: Column, calls: C
     return 8.0 * velocity + 120.0 * pagerank + 0.4 * F.least(calls, F.lit(80)) + 0.8 * complexity + activity_location(path, repo_profile)
 
 
+def weak_ingestion(labels: Column, methods: Column) -> Column:
+    """Whether the ingestion datasets (their labels, and the methods of their evidence) say little: fewer than two of either that count."""
+    good = F.size(F.filter(labels, lambda x: ~is_weak_label(x)))
+    strong = F.size(F.filter(methods, lambda m: m.isin(*STRONG_METHODS)))
+    return (F.size(labels) == 0) | (good < 2) | (strong < 2)
+
+
+def strong_business(focus: Column) -> Column:
+    """Whether half of the focus modules (structs of complexity, pagerank, calls), one at least, are complex and central."""
+    told = F.size(F.filter(focus, lambda m: (m["complexity"] > 0) & ((m["pagerank"] > 0) | (m["calls"] > 0))))
+    return (F.size(focus) > 0) & (told >= F.greatest(F.lit(1), F.floor(F.size(focus) / 2)))
+
+
+def known_datasets(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct ids(id) that are datasets with a telling name among nodes(id, node_type, name)."""
+    good = nodes.where((F.col("node_type") == "dataset") & ~is_noise(F.col("name"))).select("id").distinct()
+    return ids.select("id").distinct().join(good, "id", "left_semi")
+
+
+def low_velocity(status: Column, active: Column, changes: Column) -> Column:
+    """Whether the commit log says little about where changes happen."""
+    return status.isin("shallow", "missing", "unavailable") | (active <= 1) | (changes <= F.greatest(F.lit(3), active))
+
+
 def coverage_gap(affected: Column, nodes: Column, edges: Column, reaching: Column, isolated: Column) -> Column:
     """Whether no effect downstream says more about the graph than about the module."""
     sparse = (nodes <= 1) | (edges == 0) | (reaching <= F.greatest(F.lit(1), F.floor(nodes / 10))) | (isolated & (edges < F.greatest(F.lit(1), nodes - 1)))

@@ -50,6 +50,20 @@ def find(docs: DataFrame, queries: DataFrame, k: int = 20, grams: int = 2, featu
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def module_text() -> Column:
+    """What a module is searched and clustered by: words of its path, its purpose and its public functions."""
+    return F.concat_ws(" ", F.regexp_replace("path", r"[/._]", " "), F.col("purpose"), F.array_join("public_functions", " "))
+
+
+def vectors(docs: DataFrame, weights: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, v): the weights of each doc as an array, by the place of terms in the order of their names; none are zeros."""
+    place = idf.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("k"))  # 2048 terms at most
+    size = max(1, place.count())
+    found = weights.join(F.broadcast(place), "term").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "weight"))).alias("x"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("x", k), F.lit(0.0)))
+    return docs.select("id").join(found, "id", "left").select("id", filled.alias("v"))
+
+
 def keyword_score(text: Column, query: str) -> Column:
     """How often the query's words (of two letters or more) occur, per word."""
     from ..functions.text import occurrences

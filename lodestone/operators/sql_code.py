@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+import sys
 
 from pyspark.sql import DataFrame
 
+from .tables import table_function
+
 _TOKEN = re.compile(r"""--[^\n]*|/\*.*?\*/|\#[^\n]*|'(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|\[[A-Za-z_][^\]\n]*\]|[A-Za-z_\u0080-￿][\w$]*|\d[\w.]*|::|[(),;.]|\S""", re.S)
 _CLAUSES = set("select from where group having order limit union intersect except on using join inner left right full cross outer lateral natural window qualify set values returning when then else end as and or not with fetch offset for tablesample pivot unpivot recursive".split())
 _DBT = re.compile(r"""\{\{\s*(ref|source)\s*\(\s*['"]([^'"]+)['"]\s*(?:,\s*['"]([^'"]+)['"]\s*)?\)\s*\}\}""")
@@ -33,7 +37,13 @@ class Reader:
     """The tables that a statement reads and writes. CTEs are replaced by what they read; unused ones count for nothing."""
 
     def __init__(self, words: list[str]):
-        self.t, self.low, self.at = words, [w.lower() for w in words], 0
+        self.t, self.low = words, [w.lower() for w in words]
+        self.closing, opened = {}, []
+        for k, w in enumerate(words):
+            if w == "(":
+                opened.append(k)
+            elif w == ")" and opened:
+                self.closing[opened.pop()] = k
 
     def name(self, k: int) -> tuple[str, int]:
         parts = []
@@ -47,13 +57,8 @@ class Reader:
         return ".".join(parts), k
 
     def close(self, k: int) -> int:
-        """The place of the bracket that closes the one at k."""
-        depth = 0
-        for j in range(k, len(self.t)):
-            depth += (self.t[j] == "(") - (self.t[j] == ")")
-            if not depth:
-                return j
-        return len(self.t)
+        """The place of the bracket that closes the one at k; the end if none does."""
+        return self.closing.get(k, len(self.t))
 
     def reads(self, a: int, b: int, scope: dict[str, set[str]]) -> set[str]:
         """Tables read in [a, b)."""
@@ -143,6 +148,21 @@ class Reader:
         return k
 
 
+@contextlib.contextmanager
+def room_for(words: list[str]):
+    """Room for the calls that the deepest brackets need."""
+    depth = most = 0
+    for w in words:
+        depth += (w == "(") - (w == ")")
+        most = max(most, depth)
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 1000 + 8 * most))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def statements(words: list[str]) -> list[list[str]]:
     out: list[list[str]] = [[]]
     for w in words:
@@ -181,6 +201,12 @@ def statement_tables(sql: str) -> tuple[list[str], list[str]]:
 
 
 def statement_lineage(words: list[str]) -> tuple[set[str], str | None, str]:
+    """(sources, target, operation) of a statement, however deep its sub-queries."""
+    with room_for(words):
+        return _statement_lineage(words)
+
+
+def _statement_lineage(words: list[str]) -> tuple[set[str], str | None, str]:
     target, end, op = target_of(words)
     r, scope = Reader(words), {}
     k = r.ctes(1, len(words), scope) if words[0].lower() == "with" else 0
@@ -247,17 +273,22 @@ def structure(text: str) -> dict:
 
 
 def lineages(files: DataFrame) -> DataFrame:
-    """(path, sources, targets, operation, class, dialect, start, end) of the statements of SQL files."""
-    import pandas as pd
+    """(path, sources, targets, operation, class, dialect, start, end, issue) of the statements of SQL files; an issue where one fails."""
+    def one(text: str, path: str) -> list[dict]:
+        return lineage(text, path.rsplit("/", 1)[-1].rsplit(".", 1)[0])
+
+    return table_function(files, one, "sources array<string>, targets array<string>, operation string, class string, dialect string, start int, end int, issue string", issues="issue", named=True)
+
+
+def references(files: DataFrame) -> DataFrame:
+    """(path, refs): template references of each text."""
+    return table_function(files, lambda t: [{"refs": dbt_references(t)}], "refs array<string>")
+
 
-    columns = ["path", "sources", "targets", "operation", "class", "dialect", "start", "end"]
+def structures(files: DataFrame) -> DataFrame:
+    return table_function(files, lambda t: [structure(t)], "operations array<string>, tables array<string>, complexity int")
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for path, text in zip(b["path"], b["text"]):
-                stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                rows += [[path, *(r[c] for c in columns[1:])] for r in lineage(text or "", stem)]
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
-    return files.select("path", "text").mapInPandas(run, "path string, sources array<string>, targets array<string>, operation string, class string, dialect string, start int, end int")
+def places(files: DataFrame, part: str) -> DataFrame:
+    """(path, start, end): the lines of a part of each text."""
+    return table_function(files, lambda t: [dict(zip(("start", "end"), lines_of(t, part)))], "start int, end int")

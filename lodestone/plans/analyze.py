@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
-from ..operators import other_code, python_code, sql_code
+from ..operators import other_code, python_code, search, sql_code
 from ..session import cut
 from ..sources import files as FS
 from ..sources import gitlog
@@ -30,10 +30,11 @@ class Facts:
     orders: DataFrame
     config: DataFrame
     notebooks: DataFrame
+    issues: DataFrame
 
     def without(self, changes: DataFrame) -> Facts:
         """Facts of files that did not change (changes: path)."""
-        return Facts(**{k: v.join(changes.select("path"), "path", "left_anti") for k, v in vars(self).items()})
+        return Facts(**{k: G.without(v, changes) for k, v in vars(self).items()})
 
     def plus(self, other: Facts) -> Facts:
         return Facts(**{k: v.unionByName(getattr(other, k)) for k, v in vars(self).items()})
@@ -43,40 +44,64 @@ def extract(files: DataFrame) -> Facts:
     """Facts of files(path, ext, language, text)."""
     py, yaml = files.where("ext = 'py'"), files.where("ext IN ('yaml', 'yml')")
     base = files.select("path", "language", T.loc(F.col("text")).alias("loc"), T.comment_ratio(F.col("text")).alias("comment_ratio"), T.docstring(F.col("text")).alias("doc"), T.is_deprecated(F.col("text")).alias("deprecated"))
-    parsed = python_code.modules(py).unionByName(other_code.js_structure(files.where("ext IN ('js', 'ts')")), allowMissingColumns=True).unionByName(other_code.yaml_structure(yaml).drop("key_paths"), allowMissingColumns=True)
+    found, sql = cut(python_code.facts(py)), cut(sql_code.lineages(files.where("ext = 'sql'")))
+    parsed = python_code.modules(found).unionByName(other_code.js_structure(files.where("ext IN ('js', 'ts')")), allowMissingColumns=True).unionByName(other_code.yaml_structure(yaml).drop("key_paths"), allowMissingColumns=True)
     none = F.array().cast("array<string>")
     modules = base.join(parsed, "path", "left").withColumns({c: F.coalesce(c, none) for c in ("imports", "public_functions", "classes", "issues")} | {"complexity": F.coalesce("complexity", F.lit(1.0))})
+    modules = modules.select("path", "language", "loc", "comment_ratio", "doc", "deprecated", "imports", "public_functions", "classes", "issues", "complexity")
+    wrong = modules.select("path", F.lit("structure").alias("phase"), F.explode("issues").alias("issue"))
     return Facts(
-        modules=modules.select("path", "language", "loc", "comment_ratio", "doc", "deprecated", "imports", "public_functions", "classes", "issues", "complexity"),
-        functions=python_code.functions(py),
-        sql=sql_code.lineages(files.where("ext = 'sql'")),
-        flows=python_code.flows(py),
-        orders=python_code.orders(py),
+        modules=modules,
+        functions=python_code.functions(found),
+        sql=sql.where("issue is null").drop("issue"),
+        flows=python_code.flows(found),
+        orders=python_code.orders(found),
         config=other_code.yaml_edges(yaml),
         notebooks=FS.notebook_io(files),
+        issues=wrong.union(sql.where("issue is not null").select("path", F.lit("lineage"), "issue")),
     )
 
 
-def module_graph(facts: Facts, commits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(modules with metrics, edges): imports, containment and calls; rank, cycles, dead code and velocity of modules."""
+def call_edges(functions: DataFrame) -> DataFrame:
+    """(src, dst, edge_type) of calls between functions(path, id, calls) of one file, by the callee's name."""
+    called = functions.select("path", F.col("id").alias("src"), F.explode("calls").alias("callee"))
+    edges = called.select("src", F.concat_ws("::", "path", "callee").alias("dst"), F.lit("CALLS").alias("edge_type")).distinct()
+    return G.within(edges, functions)
+
+
+def call_centrality(edges: DataFrame) -> DataFrame:
+    """(id, calls): each CALLS edge counts once for the module of either end."""
+    ends = edges.where("edge_type = 'CALLS'").select(F.explode(F.array("src", "dst")).alias("x"))
+    return ends.groupBy(F.split_part("x", F.lit("::"), F.lit(1)).alias("id")).agg(F.count("*").alias("calls"))
+
+
+def import_graph(edges: DataFrame, modules: DataFrame) -> DataFrame:
+    """Imports whose ends are both modules(path)."""
+    return G.within(edges.where("edge_type = 'IMPORTS'"), modules.select(F.col("path").alias("id")))
+
+
+def module_edges(facts: Facts) -> DataFrame:
+    """(src, dst, edge_type, weight): imports between modules, functions in their modules, and calls in a module."""
     m = facts.modules
     imports = m.select(F.col("path").alias("importer"), F.explode("imports").alias("name"))
     found = FS.import_targets(imports, m.select("path"))
     import_edges = found.where("importer <> target").select(F.col("importer").alias("src"), F.col("target").alias("dst"), F.lit("IMPORTS").alias("edge_type")).distinct()
-    f = facts.functions.select("path", "name", "qualified", "calls", F.concat_ws("::", "path", "qualified").alias("id"))
+    f = facts.functions.select("path", "calls", F.concat_ws("::", "path", "qualified").alias("id"))
     contains = f.select(F.col("path").alias("src"), F.col("id").alias("dst"), F.lit("CONFIGURES").alias("edge_type"))
-    called = f.select("path", F.col("id").alias("src"), F.explode("calls").alias("callee")).withColumn("dst", F.concat_ws("::", "path", "callee"))
-    calls = called.join(f.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit("CALLS").alias("edge_type")).distinct()
-    edges = cut(import_edges.union(contains).union(calls).withColumn("weight", F.lit(1.0)))
+    return cut(import_edges.union(contains).union(call_edges(f)).withColumn("weight", F.lit(1.0)))
+
+
+def module_graph(facts: Facts, commits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(modules with metrics, module_edges()): rank, cycles, dead code and velocity of modules."""
+    m, edges = facts.modules, module_edges(facts)
     ids = m.select(F.col("path").alias("id"))
-    imported = edges.where("edge_type = 'IMPORTS'")
+    imported = import_graph(edges, m)
     rank = G.pagerank(ids, imported)
     cycles = G.strong_components(ids, imported).select("cycle_id", "size", F.explode("members").alias("id"))
     into = imported.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("imported_by"))
-    central = edges.where("edge_type = 'CALLS'").select(F.explode(F.array("src", "dst")).alias("x")).groupBy(F.split_part("x", F.lit("::"), F.lit(1)).alias("id")).agg(F.count("*").alias("calls"))
-    out = m.withColumn("id", F.col("path")).join(rank, "id", "left").join(cycles, "id", "left").join(into, "id", "left").join(central, "id", "left")
+    out = m.withColumn("id", F.col("path")).join(rank, "id", "left").join(cycles, "id", "left").join(into, "id", "left").join(call_centrality(edges), "id", "left")
     velocity = gitlog.ranked(gitlog.velocity(commits)) if commits is not None else m.sparkSession.createDataFrame([], "path string, commit_count long, last_commit string, velocity_rank long, is_core boolean")
-    out = out.join(velocity, "path", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("commit_count", "imported_by", "calls")} | {"is_core": F.coalesce("is_core", F.lit(False)), "last_commit": F.coalesce("last_commit", F.lit(""))})
+    out = gitlog.with_velocity(out, velocity).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("imported_by", "calls")} | {"is_core": F.coalesce("is_core", F.lit(False))})
     dead = (F.size("public_functions") > 0) & (F.col("imported_by") == 0)
     purpose = T.purpose(F.concat_ws(" ", F.col("path"), F.col("doc"), F.array_join("imports", " ")), F.col("language"), F.size("public_functions"))
     out = out.withColumns({"is_dead_code": dead, "dead_symbols": F.when(dead, F.col("public_functions")).otherwise(F.array().cast("array<string>")), "purpose": purpose})
@@ -98,12 +123,13 @@ def lineage_graph(facts: Facts) -> tuple[DataFrame, DataFrame]:
     at = F.concat(F.col("path"), F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
     name = F.when(F.col("unresolved"), F.concat_ws("::", F.col("dataset"), at)).otherwise(F.col("dataset"))
     reads = F.col("flow") == "CONSUMES"
-    e = e.union(p.select(F.when(reads, data(name)).otherwise(F.col("t")).alias("src"), F.when(reads, F.col("t")).otherwise(data(name)).alias("dst"), F.col("flow").alias("edge_type"), "path", where("start", "end").alias("line_range"), "class", F.lit("python").alias("analysis_method")))
+    e = e.union(p.select(F.when(reads, data(name)).otherwise(F.col("t")).alias("src"), F.when(reads, F.col("t")).otherwise(data(name)).alias("dst"), F.col("flow").alias("edge_type"), "path", where("start", "end").alias("line_range"), "class", F.col("method").alias("analysis_method")))
     steps = facts.orders.select(F.concat(F.lit("pipeline::"), F.col("source")).alias("src"), F.concat(F.lit("pipeline::"), F.col("target")).alias("dst"), F.lit("CONFIGURES").alias("edge_type"), "path", where("start", "end").alias("line_range"), F.lit("").alias("class"), F.lit("python_ast").alias("analysis_method"))
     config = facts.config.select(F.concat(F.lit("config::"), F.col("source")).alias("src"), F.concat(F.lit("config::"), F.col("target")).alias("dst"), F.lit("CONFIGURES").alias("edge_type"), "path", where("start", "end").alias("line_range"), F.lit("").alias("class"), F.col("method").alias("analysis_method"))
-    nb = facts.notebooks.select("path", "flow", F.col("line").alias("start"), F.col("line").alias("end"), F.concat(F.lit("transform::"), F.col("path")).alias("t"), F.concat_ws("::", F.lit(python_code.DYNAMIC), "path", F.col("line").cast("string")).alias("name"))
+    n_kind = facts.notebooks.groupBy("path").agg(T.notebook_class(F.bool_or(F.col("flow") == "CONSUMES"), F.bool_or(F.col("flow") == "PRODUCES")).alias("class"))
+    nb = facts.notebooks.join(n_kind, "path").select("path", "class", "flow", F.col("line").alias("start"), F.col("line").alias("end"), F.concat(F.lit("transform::"), F.col("path")).alias("t"), F.concat_ws("::", F.lit(python_code.DYNAMIC), "path", F.col("line").cast("string")).alias("name"))
     n_reads = F.col("flow") == "CONSUMES"
-    nb = nb.select(F.when(n_reads, data(F.col("name"))).otherwise(F.col("t")).alias("src"), F.when(n_reads, F.col("t")).otherwise(data(F.col("name"))).alias("dst"), F.col("flow").alias("edge_type"), "path", where("start", "end").alias("line_range"), F.lit("notebook").alias("class"), F.lit("notebook").alias("analysis_method"))
+    nb = nb.select(F.when(n_reads, data(F.col("name"))).otherwise(F.col("t")).alias("src"), F.when(n_reads, F.col("t")).otherwise(data(F.col("name"))).alias("dst"), F.col("flow").alias("edge_type"), "path", where("start", "end").alias("line_range"), "class", F.lit("notebook").alias("analysis_method"))
     all_ = e.union(steps).union(config).union(nb).withColumnsRenamed({"path": "source_file", "class": "transformation_type"})
     seq = F.struct("source_file", "line_range", "edge_type", "analysis_method")
     rest = [c for c in all_.columns if c not in ("src", "dst")]
@@ -127,12 +153,23 @@ def digests(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("text", 256).alias("digest"))
 
 
+def with_domains(modules: DataFrame, wanted: int = 5) -> DataFrame:
+    """Modules with `domain`: the name of their cluster, by k-means over the weights of terms in path, purpose and functions."""
+    docs = modules.select(F.col("path").alias("id"), search.module_text().alias("text"))
+    n = docs.count()
+    if not n:
+        return modules.withColumn("domain", F.lit(None).cast("string"))
+    weights, idf = search.tfidf(docs)
+    clusters = search.cluster(search.vectors(docs, weights, idf), search.clusters_for(n, wanted))
+    named = clusters.join(search.cluster_names(weights, clusters), "cluster").select(F.col("id").alias("path"), F.col("name").alias("domain"))
+    return modules.join(named, "path", "left")
+
+
 def analyze(spark: SparkSession, root: str, log: str | None = None) -> dict[str, DataFrame]:
-    """Tables of a source tree: modules, module_edges, nodes, edges, and errors of files that could not be read."""
+    """Tables of a source tree: modules, module_edges, nodes, edges, and all errors of files that could not be read."""
     files = cut(FS.scan(spark, root))
     facts = extract(files)
     commits = gitlog.commits(gitlog.lines(spark, log)) if log else None
     modules, module_edges = module_graph(facts, commits)
     nodes, edges = lineage_graph(facts)
-    issues = facts.modules.where("size(issues) > 0").select("path", F.lit("structure").alias("phase"), F.explode("issues").alias("issue")).orderBy("path").limit(100)
-    return {"files": files, "modules": modules, "module_edges": module_edges, "nodes": nodes, "edges": edges, "issues": issues}
+    return {"files": files, "modules": with_domains(cut(modules)), "module_edges": module_edges, "nodes": nodes, "edges": edges, "issues": facts.issues.orderBy("path", "issue")}

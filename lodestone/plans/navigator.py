@@ -23,6 +23,26 @@ OPENINGS = {
 }
 
 
+def with_evidence(found: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """found(node, depth, parent) with file, lines, method and type: of the edge of discovery, else of the node, else none."""
+    e = edges.select(F.col("src").alias("parent"), F.col("dst").alias("node"), "source_file", "line_range", "analysis_method", "transformation_type")
+    n = nodes.select(F.col("id").alias("node"), "node_type", F.col("source_file").alias("nf"), F.col("transformation_type").alias("nt"))
+    own = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.nullif(F.col(b), F.lit("")), F.lit(""))
+    out = found.join(e, ["parent", "node"], "left").join(n, "node", "left")
+    return out.select("node", "depth", "parent", "node_type", own("source_file", "nf").alias("source_file"), "line_range", F.coalesce(F.nullif("analysis_method", F.lit("")), F.lit("static_graph_lookup")).alias("analysis_method"), own("transformation_type", "nt").alias("transformation_type"))
+
+
+def distinct_evidence(rows: DataFrame) -> DataFrame:
+    """(source_file, line_range, analysis_method, depth, node): each place once, with the first node by depth that it speaks for."""
+    kept = rows.where("source_file <> ''").groupBy("source_file", "line_range", "analysis_method").agg(F.min(F.struct("depth", "node")).alias("x"))
+    return kept.select("source_file", "line_range", "analysis_method", "x.depth", "x.node")
+
+
+def evidence_list(rows: DataFrame, most: int = 50) -> list[dict]:
+    found = distinct_evidence(rows).orderBy("depth", "node", "source_file", "line_range").limit(most).collect()
+    return [{"source_file": r["source_file"], "line_range": list(r["line_range"] or (1, 1)), "analysis_method": r["analysis_method"], "node": r["node"]} for r in found]
+
+
 @dataclass
 class Answer:
     """ok, the tool and its argument, rows of the result, rows of evidence, and what went wrong."""
@@ -103,7 +123,7 @@ class Navigator:
 
     def find_implementation(self, concept: str) -> Answer:
         spark = self.modules.sparkSession
-        docs = self.modules.select(F.col("path").alias("id"), F.concat_ws(" ", F.regexp_replace("path", r"[/._]", " "), F.col("purpose"), F.array_join("public_functions", " ")).alias("text"))
+        docs = self.modules.select(F.col("path").alias("id"), search.module_text().alias("text"))
         rows = search.find(docs, spark.createDataFrame([(0, concept)], "id long, text string")).select(F.col("id").alias("path"), "score", "rank")
         evidence = [{"source_file": r["path"], "line_range": [1, 1], "analysis_method": "tfidf_search"} for r in rows.orderBy("rank").limit(5).collect()]
         return Answer(bool(evidence), "find_implementation", concept, rows=rows, evidence=evidence, error="" if evidence else f"Nothing found for {concept!r}.")
@@ -115,27 +135,42 @@ class Navigator:
             return Answer(False, "trace_lineage", dataset, direction, error=f"No dataset like {dataset!r}.")
         edges = self.edges if direction == "downstream" else G.reverse(self.edges)
         found = G.reach(edges, self.nodes.sparkSession.createDataFrame([(node,)], "start string"))
-        rows = self._with_evidence(found, edges)
-        return Answer(True, "trace_lineage", node, direction, rows=rows, evidence=self._evidence(rows))
-
-    def _with_evidence(self, found: DataFrame, edges: DataFrame) -> DataFrame:
-        """Adds file, lines, method and type: of the edge of discovery, else of the node, else none."""
-        e = edges.select(F.col("src").alias("parent"), F.col("dst").alias("node"), "source_file", "line_range", "analysis_method", "transformation_type")
-        n = self.nodes.select(F.col("id").alias("node"), "node_type", F.col("source_file").alias("nf"), F.col("transformation_type").alias("nt"))
-        own = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.nullif(F.col(b), F.lit("")), F.lit(""))
-        out = found.join(e, ["parent", "node"], "left").join(n, "node", "left")
-        return out.select("node", "depth", "parent", "node_type", own("source_file", "nf").alias("source_file"), "line_range", F.coalesce("analysis_method", F.lit("static_graph_lookup")).alias("analysis_method"), own("transformation_type", "nt").alias("transformation_type"))
-
-    def _evidence(self, rows: DataFrame, most: int = 50) -> list[dict]:
-        kept = rows.where("source_file <> ''").groupBy("source_file", "line_range", "analysis_method").agg(F.min(F.struct("depth", "node")).alias("x"))
-        return [{"source_file": r["source_file"], "line_range": list(r["line_range"] or (1, 1)), "analysis_method": r["analysis_method"], "node": r["x"]["node"]} for r in kept.orderBy("x", "source_file", "line_range").limit(most).collect()]
+        rows = with_evidence(found, edges, self.nodes)
+        return Answer(True, "trace_lineage", node, direction, rows=rows, evidence=evidence_list(rows))
+
+    def what_feeds(self, dataset: str) -> dict:
+        """target, direct and full upstream rows, and evidence; an unknown dataset has none of them."""
+        return self._structured(dataset, "upstream")
+
+    def what_depends_on(self, dataset: str) -> dict:
+        return self._structured(dataset, "downstream")
+
+    def _structured(self, dataset: str, direction: str) -> dict:
+        a = self.trace_lineage(dataset, direction)
+        if not a.ok:
+            target = dataset if dataset.startswith("dataset::") else f"dataset::{dataset}"
+            return {"target": target, "direct": [], "full": [], "evidence": []}
+        rows = a.rows.orderBy("depth", "node")
+        return {"target": a.arg, "direct": rows.where("depth = 1"), "full": rows, "evidence": a.evidence}
+
+    def impact_report(self, dataset: str) -> dict:
+        """What lies downstream of a node: counts, datasets, sinks, files, and the configs and pipelines of these files."""
+        node = G.resolve(self.nodes, dataset)
+        if node is None:
+            return {"target": dataset if "::" in dataset else f"dataset::{dataset}", "impacted": 0, "max_depth": 0, "datasets": 0, "transformations": 0, "sinks": [], "source_files": [], "related_pipelines": []}
+        spark = self.nodes.sparkSession
+        row = G.impact(self.edges, self.nodes, spark.createDataFrame([(node,)], "start string")).first()
+        files = spark.createDataFrame([(f,) for f in row["source_files"]], "source_file string")
+        declared = self.edges.select(F.explode(F.array("src", "dst")).alias("id"), "source_file").distinct().join(self.nodes.select("id", "node_type"), "id")
+        related = [r["id"] for r in G.related_by_file(declared, files).orderBy("id").limit(50).collect()]
+        return {"target": node, "related_pipelines": related} | {k: row[k] for k in ("impacted", "max_depth", "datasets", "transformations", "sinks", "source_files")}
 
     def blast_radius(self, target: str, dependents: bool = False) -> Answer:
         """What a module imports, directly or not (dependents: what imports it), else what lies downstream of a dataset."""
         path = self.resolve_module(target)
         if path is not None:
             imports = self.module_edges.where("edge_type = 'IMPORTS'")
-            rows = G.reach(G.reverse(imports) if dependents else imports, self.modules.sparkSession.createDataFrame([(path,)], "start string")).select("node", "depth")
+            rows = G.levels(G.reverse(imports) if dependents else imports, self.modules.sparkSession.createDataFrame([(path,)], "start string")).select("node", "depth")
             return Answer(True, "blast_radius", path, rows=rows, evidence=[{"source_file": path, "line_range": [1, 1], "analysis_method": "module_graph_descendants"}])
         if "/" in target or re.search(r"\.(py|sql|js|ts|ya?ml|ipynb)$", target):
             return Answer(False, "blast_radius", target, error=f"No module found for {target!r}.")

@@ -7,7 +7,7 @@ import json
 import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -46,9 +46,50 @@ def lineage_graph(tables: dict[str, DataFrame]) -> DataFrame:
     return n.select("id", "name", "node_type").join(up, "id").join(down, "id")
 
 
+def _folder() -> Column:
+    return F.coalesce(F.nullif(T.folder(F.col("path")), F.lit("")), F.lit("."))
+
+
 def domains(tables: dict[str, DataFrame], k: int = 20) -> DataFrame:
-    """Folders as domains, by number of modules."""
-    return tables["modules"].groupBy(F.coalesce(F.nullif(T.folder(F.col("path")), F.lit("")), F.lit(".")).alias("domain")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(k)
+    """Domains by number of modules: named clusters where the analysis made any, else folders."""
+    m = tables["modules"]
+    name = F.coalesce("domain", _folder()) if "domain" in m.columns else _folder()
+    return m.groupBy(name.alias("domain")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(k)
+
+
+def dominant_folders(modules: DataFrame, k: int = 5) -> DataFrame:
+    """(folder, n): the folders of most modules, without the root."""
+    return modules.groupBy(T.folder(F.col("path")).alias("folder")).agg(F.count("*").alias("n")).where("folder <> ''").orderBy(F.desc("n"), "folder").limit(k)
+
+
+def type_counts(nodes: DataFrame) -> DataFrame:
+    """(kind, n) of transformations by their type; a blank type is unknown."""
+    kind = F.coalesce(F.nullif(F.trim("transformation_type"), F.lit("")), F.lit("unknown"))
+    return nodes.where("node_type = 'transformation'").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of counts of a lineage graph: nodes, edges, datasets, sinks."""
+    ends = G.sources_and_sinks(nodes, edges).join(nodes.select("id", "node_type"), "id")
+    n = ends.agg(F.count("*").alias("nodes"), F.count_if(F.col("node_type") == "dataset").alias("datasets"), F.count_if("is_sink").alias("sinks"))
+    k = F.lit(0).alias("k")
+    return n.select("*", k).join(edges.agg(F.count("*").alias("edges")).select("*", k), "k").select("nodes", "edges", "datasets", "sinks")
+
+
+def trace_of(events: DataFrame, agent: str = "all") -> DataFrame:
+    """The events of an agent, or of all."""
+    return events if agent == "all" else events.where(F.col("agent") == agent)
+
+
+def recent(rows: DataFrame, key: str, at: str, k: int = MOST_SESSIONS) -> DataFrame:
+    """The k keys of latest time: (key, last)."""
+    return rows.groupBy(key).agg(F.max(at).alias("last")).orderBy(F.desc("last"), key).limit(k)
+
+
+def under(path: Column, root: str) -> Column:
+    """Whether a path is a folder or lies under it."""
+    top = root.rstrip("/")
+    return (path == top) | F.startswith(path, F.lit(top + "/"))
 
 
 def drift_flags(tables: dict[str, DataFrame], k: int = 30) -> DataFrame:
@@ -70,7 +111,7 @@ def node_details(tables: dict[str, DataFrame], node: str) -> DataFrame:
 
 def semantic_index(tables: dict[str, DataFrame]) -> DataFrame:
     """What a semantic index holds of each module."""
-    return tables["modules"].select("path", "language", "purpose", "public_functions", "complexity", "rank", F.coalesce(F.nullif(T.folder(F.col("path")), F.lit("")), F.lit(".")).alias("domain"))
+    return tables["modules"].select("path", "language", "purpose", "public_functions", "complexity", "rank", (F.coalesce("domain", _folder()) if "domain" in tables["modules"].columns else _folder()).alias("domain"))
 
 
 class Sessions:

@@ -5,7 +5,7 @@ Keys start with the operator's id in the blueprint; ext_ marks what goes beyond
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,28 +14,13 @@ from .functions import text as T
 from .operators import graph as G
 from .operators import scoring as S
 from .operators import search
+from .plans import analyze, artifacts, navigator
+from .plans import readmodels as R
+from .registry import ORACLES, QUERIES, query, table  # noqa: F401  the first two are read here by others
+from .session import shared_folder
 from .sources import files as FS
 from .sources import gitlog, graph_files, repositories
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ident(prefix: str, column: str):
     return F.concat(F.lit(prefix + "::"), F.col(column).cast("string"))
 
@@ -98,12 +83,12 @@ def _reach_sql(edges: str, start: str, forward: bool = True) -> str:
 
 @query("g3_downstream", f"WITH RECURSIVE {STAR}, {_reach_sql('star', chr(39) + 'region::0' + chr(39))} SELECT DISTINCT node FROM r WHERE depth > 0")
 def g3_downstream(spark, d):
-    return G.reach(star(spark, d), spark.createDataFrame([("region::0",)], "start string")).select("node")
+    return G.levels(star(spark, d), spark.createDataFrame([("region::0",)], "start string")).select("node")
 
 
 @query("g3_upstream", f"WITH RECURSIVE {STAR}, {_reach_sql('star', chr(39) + 'order::1' + chr(39), False)} SELECT DISTINCT node FROM r WHERE depth > 0")
 def g3_upstream(spark, d):
-    return G.reach(G.reverse(star(spark, d)), spark.createDataFrame([("order::1",)], "start string")).select("node")
+    return G.levels(G.reverse(star(spark, d)), spark.createDataFrame([("order::1",)], "start string")).select("node")
 
 
 @query("g4_bfs_levels", f"WITH RECURSIVE {STAR}, {_reach_sql('star', chr(39) + 'region::1' + chr(39))} SELECT r.node, min(r.depth) AS depth, min(star.src) AS parent FROM r JOIN star ON star.dst = r.node WHERE r.depth > 0 GROUP BY r.node")
@@ -121,7 +106,7 @@ def g5_direct_neighbours(spark, d):
     c AS (SELECT s.dst, row_number() OVER (ORDER BY b.p, s.dst) + (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS p FROM b JOIN star s ON s.src = b.dst)
     SELECT dst AS node, p AS position FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def g6_blast_radius_order(spark, d):
-    return G.reach(star(spark, d), spark.createDataFrame([("region::2",)], "start string")).select("node", "position")
+    return G.numbered(G.reach(star(spark, d), spark.createDataFrame([("region::2",)], "start string"))).select("node", "position")
 
 
 @query("g7_sources_sinks", f"WITH {STAR} SELECT id, id NOT IN (SELECT dst FROM star) AS is_source, id NOT IN (SELECT src FROM star) AS is_sink FROM star_nodes")
@@ -165,7 +150,7 @@ def g11_descendant_counts(spark, d):
     UNION SELECT r.start, h.dst, r.depth + 1 FROM r JOIN heavy h ON h.src = r.node WHERE r.depth < 25)
     SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node HAVING node <> start""")
 def g12_shortest_paths(spark, d):
-    return G.reach(heavy(spark, d), nations(spark, d).withColumnRenamed("id", "start")).select("start", "node", "depth")
+    return G.levels(heavy(spark, d), nations(spark, d).withColumnRenamed("id", "start")).select("start", "node", "depth")
 
 
 @query("g13_degree_centrality", f"""WITH {STAR}, i AS (SELECT dst AS id, count(*) AS n FROM star GROUP BY 1), o AS (SELECT src AS id, count(*) AS n FROM star GROUP BY 1)
@@ -222,7 +207,7 @@ def g18_impact_reports(spark, d):
 def g19_top_impacts(spark, d):
     e = star(spark, d)
     starts = e.where("dst LIKE 'nation::%'").select(F.col("dst").alias("start"))
-    return G.reach(e, starts).groupBy("start").agg(F.count("*").alias("impacted")).orderBy(F.desc("impacted"), "start").limit(10)
+    return G.levels(e, starts).groupBy("start").agg(F.count("*").alias("impacted")).orderBy(F.desc("impacted"), "start").limit(10)
 
 
 @query("g2_edges_last_wins", "SELECT 'c' || o_custkey AS src, o_orderstatus AS dst, max_by(o_orderpriority, o_orderkey) AS edge_type, max(o_orderkey) AS seq FROM orders GROUP BY 1, 2")
@@ -246,99 +231,100 @@ def g1_auto_endpoints(spark, d):
 # Joins.
 
 
-@query("j1_longest_prefix", r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages), k AS (SELECT DISTINCT split_part(path, '/', 1) AS prefix FROM u WHERE page_id % 3 = 0
-    UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM u WHERE page_id % 3 = 0 AND path LIKE '%/%')
-    SELECT page_id, max_by(prefix, length(prefix)) AS prefix FROM u JOIN k ON path = prefix OR starts_with(path, prefix || '/') GROUP BY page_id""")
-def j1_longest_prefix(spark, d):
-    u = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1).alias("path"))
-    third = u.where("page_id % 3 = 0")
-    one, two = F.split_part("path", F.lit("/"), F.lit(1)), F.concat_ws("/", F.split_part("path", F.lit("/"), F.lit(1)), F.split_part("path", F.lit("/"), F.lit(2)))
-    known = third.select(one.alias("prefix")).union(third.where("path LIKE '%/%'").select(two)).distinct()
-    parts = F.split("path", "/")
-    tried = u.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("prefix"))
-    return tried.join(known, "prefix").groupBy("page_id").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
-
-
-@query("j2_call_edges", "SELECT DISTINCT o_custkey AS caller, l_suppkey AS callee FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
+@query("j2_call_edges", """WITH f AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem), c AS (SELECT o, n, unnest([n + 1, n * 2]) AS m FROM f)
+    SELECT DISTINCT 'o' || c.o || '::f' || c.n AS src, 'o' || c.o || '::f' || c.m AS dst FROM c JOIN f ON f.o = c.o AND f.n = c.m""")
 def j2_call_edges(spark, d):
-    o, li, c, s = (table(spark, d, t) for t in ("orders", "lineitem", "customer", "supplier"))
-    calls = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("caller"), F.col("l_suppkey").alias("callee"))
-    calls = calls.join(c.where("c_acctbal > 5000"), calls["caller"] == c["c_custkey"], "left_semi")
-    return calls.join(s.where("s_acctbal > 5000"), calls["callee"] == s["s_suppkey"], "left_semi").distinct()
+    f = table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("path"), F.col("l_linenumber").cast("int").alias("n")).distinct()
+    name = lambda n: F.concat(F.lit("f"), n.cast("string"))
+    functions = f.select("path", F.concat_ws("::", "path", name(F.col("n"))).alias("id"), F.array(name(F.col("n") + 1), name(F.col("n") * 2)).alias("calls"))
+    return analyze.call_edges(functions).select("src", "dst")
 
 
-@query("j3_velocity_join", "SELECT c_custkey AS id, coalesce(n, 0) AS commit_count, coalesce(last, '') AS last_commit FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, strftime(max(o_orderdate), '%Y-%m-%d') AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+@query("j3_velocity_join", "SELECT c_custkey AS path, coalesce(n, 0) AS commit_count, coalesce(last, '') AS last_commit FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, strftime(max(o_orderdate), '%Y-%m-%d') AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def j3_velocity_join(spark, d):
-    v = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(v, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("commit_count"), F.coalesce("last", F.lit("")).alias("last_commit"))
+    v = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.count("*").alias("commit_count"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_commit"))
+    return gitlog.with_velocity(table(spark, d, "customer").select(F.col("c_custkey").alias("path")), v).select("path", "commit_count", "last_commit")
 
 
-@query("j4_metadata_upsert", "SELECT c.c_custkey AS id, coalesce(u.seg, c.c_mktsegment) AS segment FROM customer c LEFT JOIN (SELECT c_custkey, upper(c_mktsegment) || '!' AS seg FROM customer WHERE c_acctbal < 0) u ON u.c_custkey = c.c_custkey")
+@query("j4_metadata_upsert", "SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS segment, c_nationkey AS nation FROM customer")
 def j4_metadata_upsert(spark, d):
     c = table(spark, d, "customer")
-    update = c.where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.concat(F.upper("c_mktsegment"), F.lit("!")).alias("seg"))
-    return c.select(F.col("c_custkey").alias("id"), "c_mktsegment").join(update, "id", "left").select("id", F.coalesce("seg", "c_mktsegment").alias("segment"))
+    update = c.where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.concat(F.upper("c_mktsegment"), F.lit("!")).alias("segment"))
+    update = update.union(spark.createDataFrame([(-1, "none"), (0, None)], "id long, segment string"))
+    return G.updated(c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")), update)
 
 
-@query("j5_import_subgraph", f"WITH {STAR} SELECT src, dst FROM star WHERE src LIKE 'nation::%' AND dst LIKE 'customer::%'")
+@query("j5_import_subgraph", f"WITH {STAR} SELECT src, dst FROM star WHERE src LIKE 'nation::%' AND dst LIKE 'customer::%' AND dst LIKE '%7'")
 def j5_import_subgraph(spark, d):
-    e = star(spark, d)
-    n = star_nodes(e).withColumn("kind", F.split_part("id", F.lit("::"), F.lit(1)))
-    e = e.join(n.where("kind = 'nation'"), e["src"] == F.col("id"), "left_semi")
-    return e.join(n.where("kind = 'customer'"), e["dst"] == F.col("id"), "left_semi")
+    e = star(spark, d).withColumn("edge_type", F.when(F.endswith("dst", F.lit("7")), "IMPORTS").otherwise("CALLS"))
+    modules = star_nodes(e).where("id LIKE 'nation::%' OR id LIKE 'customer::%'").select(F.col("id").alias("path"))
+    return analyze.import_graph(e, modules).select("src", "dst")
 
 
-@query("j6_evidence_precedence", "SELECT l_orderkey, l_linenumber, coalesce(nullif(CASE WHEN l_returnflag = 'R' THEN l_returnflag ELSE '' END, ''), nullif(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE '' END, ''), 'default') AS evidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2")
+@query("j6_evidence_precedence", """WITH l AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS node, l_orderkey, l_returnflag, l_linestatus FROM lineitem)
+    SELECT node, CASE WHEN l_returnflag = 'R' THEN 'edge.sql' WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE '' END AS source_file,
+    CASE WHEN l_returnflag = 'R' THEN 'sql' ELSE 'static_graph_lookup' END AS analysis_method, CASE WHEN l_linestatus = 'F' THEN 'edge type' ELSE o_orderpriority END AS transformation_type
+    FROM l JOIN orders ON l_orderkey = o_orderkey""")
 def j6_evidence_precedence(spark, d):
-    li, o = table(spark, d, "lineitem").where("l_linenumber <= 2"), table(spark, d, "orders")
-    j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
-    edge, node = F.when(F.col("l_returnflag") == "R", F.col("l_returnflag")).otherwise(""), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise("")
-    return j.select("l_orderkey", "l_linenumber", F.coalesce(F.nullif(edge, F.lit("")), F.nullif(node, F.lit("")), F.lit("default")).alias("evidence"))
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    rows = li.select(F.concat_ws("-", *[F.col(c).cast("string") for c in keys]).alias("node"), "l_orderkey", "l_returnflag", "l_linestatus").distinct()
+    rows = rows.join(o, rows["l_orderkey"] == o["o_orderkey"]).withColumn("parent", F.concat(F.lit("o"), F.col("l_orderkey")))
+    sql = F.col("l_returnflag") == "R"
+    edges = rows.select(F.col("parent").alias("src"), F.col("node").alias("dst"), F.when(sql, "edge.sql").otherwise("").alias("source_file"), F.struct(F.lit(1).alias("start"), F.lit(2).alias("end")).alias("line_range"), F.when(sql, "sql").alias("analysis_method"), F.when(F.col("l_linestatus") == "F", "edge type").otherwise("").alias("transformation_type"))
+    nodes = rows.select(F.col("node").alias("id"), F.lit("dataset").alias("node_type"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise("").alias("source_file"), F.col("o_orderpriority").alias("transformation_type"))
+    found = navigator.with_evidence(rows.select("node", F.lit(1).alias("depth"), "parent"), edges, nodes)
+    return found.select("node", "source_file", "analysis_method", "transformation_type")
 
 
 @query("j7_edges_of_nodes", f"WITH {STAR} SELECT DISTINCT src, dst FROM star WHERE src IN ('nation::1', 'region::1') OR dst IN ('nation::1', 'region::1') ORDER BY src, dst LIMIT 50")
 def j7_edges_of_nodes(spark, d):
-    e = star(spark, d)
-    wanted = spark.createDataFrame([("nation::1",), ("region::1",)], "id string")
-    hit = e.join(F.broadcast(wanted), e["src"] == wanted["id"], "left_semi").union(e.join(F.broadcast(wanted), e["dst"] == wanted["id"], "left_semi"))
-    return hit.distinct().orderBy("src", "dst").limit(50)
+    return G.touching(star(spark, d), ["nation::1", "region::1"], 50)
 
 
-@query("j8_related_by_file", "SELECT DISTINCT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 50 AND p_retailprice > 1500)")
+@query("j8_related_by_file", "SELECT p_partkey AS id FROM part WHERE p_partkey % 3 <> 0 AND p_brand IN (SELECT p_brand FROM part WHERE p_size = 50 AND p_partkey % 4 = 1)")
 def j8_related_by_file(spark, d):
     p = table(spark, d, "part")
-    return p.join(p.where("p_size = 50 AND p_retailprice > 1500").select("p_brand").distinct(), "p_brand", "left_semi").select("p_partkey").distinct()
+    kinds = F.element_at(F.array(*map(F.lit, ("module", "config", "pipeline"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    nodes = p.select(F.col("p_partkey").alias("id"), kinds.alias("node_type"), F.col("p_brand").alias("source_file"))
+    return G.related_by_file(nodes, p.where("p_size = 50 AND p_partkey % 4 = 1").select(F.col("p_brand").alias("source_file")))
 
 
-@query("j9_prune_changed", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+@query("j9_prune_changed", "SELECT o_orderkey, o_custkey AS path FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def j9_prune_changed(spark, d):
-    o, c = table(spark, d, "orders"), table(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
-    return o.join(c, o["o_custkey"] == c["c_custkey"], "left_anti").select("o_orderkey")
+    changes = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("path"))
+    return G.without(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("path")), changes)
 
 
-@query("j10_known_datasets", "SELECT DISTINCT l_partkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_name NOT LIKE 'set %' AND p_size > 10")
+@query("j10_known_datasets", "SELECT DISTINCT l_partkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 7 <> 0 AND p_size > 10")
 def j10_known_datasets(spark, d):
-    p = table(spark, d, "part").where(~T.is_noise(F.col("p_name")) & (F.col("p_size") > 10)).select(F.col("p_partkey").alias("id"))
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("id")).distinct().join(p, "id")
+    name = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("set "), F.col("p_name"))).otherwise(F.col("p_name"))
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 10, "dataset").otherwise("config").alias("node_type"), name.alias("name"))
+    return S.known_datasets(table(spark, d, "lineitem").select(F.col("l_partkey").alias("id")), nodes)
 
 
-@query("j11_paths_in_text", r"""SELECT page_id, path FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1))) AS path FROM pages)""")
+@query("j11_paths_in_text", "SELECT p_partkey AS id, unnest(['src/m' || p_size || '.py', 'models/' || replace(p_brand, '#', '_') || '.sql', 'a-b/conf.yml']) AS path FROM part")
 def j11_paths_in_text(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)))).alias("path"))
+    p = table(spark, d, "part")
+    model = F.concat(F.lit("models/"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(".sql"))
+    py = F.concat(F.lit("src/m"), F.col("p_size"), F.lit(".py"))
+    text = F.concat(F.lit("See `"), py, F.lit("` and ("), model, F.lit("), then a-b/conf.yml, again "), py, F.lit("; not x.pyc, nor .txt files: "), F.col("p_name"))
+    return p.select(F.col("p_partkey").alias("id"), F.explode(T.paths_in(text)).alias("path"))
 
 
 # Aggregations, ranks, sets.
 
 
-@query("a1_type_counts", "SELECT CASE WHEN trim(event_type) = '' THEN 'unknown' ELSE event_type END AS kind, count(*) AS n FROM events GROUP BY 1")
+@query("a1_type_counts", "SELECT CASE WHEN event_type = 'view' THEN 'unknown' ELSE event_type END AS kind, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY 1")
 def a1_type_counts(spark, d):
-    return table(spark, d, "events").groupBy(F.when(F.trim("event_type") == "", "unknown").otherwise(F.col("event_type")).alias("kind")).agg(F.count("*").alias("n"))
+    e = F.col("event_type")
+    return R.type_counts(table(spark, d, "events").select(F.when(e == "click", "dataset").otherwise("transformation").alias("node_type"), F.when(e == "view", " ").otherwise(e).alias("transformation_type")))
 
 
 @query("a2_impact_summary", f"""WITH RECURSIVE {STAR}, r AS (SELECT 'region::3' AS node, 0 AS depth UNION SELECT s.dst, r.depth + 1 FROM r JOIN star s ON s.src = r.node)
     SELECT split_part(node, '::', 1) AS kind, count(*) AS n, max(depth) AS max_depth FROM r WHERE depth > 0 GROUP BY 1""")
 def a2_impact_summary(spark, d):
-    r = G.reach(star(spark, d), spark.createDataFrame([("region::3",)], "start string"))
+    r = G.levels(star(spark, d), spark.createDataFrame([("region::3",)], "start string"))
     return r.groupBy(F.split_part("node", F.lit("::"), F.lit(1)).alias("kind")).agg(F.count("*").alias("n"), F.max("depth").alias("max_depth"))
 
 
@@ -350,9 +336,11 @@ def calls(spark, d):
     return table(spark, d, "events").select("user_id", F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst")).where("dst is not null")
 
 
-@query("a3_call_centrality", f"WITH {CALLS} SELECT id, count(*) AS calls FROM (SELECT src AS id FROM calls WHERE dst IS NOT NULL UNION ALL SELECT dst FROM calls WHERE dst IS NOT NULL) GROUP BY id")
+@query("a3_call_centrality", f"WITH {CALLS} SELECT id, count(*) AS calls FROM (SELECT src AS id FROM calls WHERE dst IS NOT NULL AND user_id % 2 = 0 UNION ALL SELECT dst FROM calls WHERE dst IS NOT NULL AND user_id % 2 = 0) GROUP BY id")
 def a3_call_centrality(spark, d):
-    return calls(spark, d).select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("calls"))
+    kind = F.when(F.col("user_id") % 2 == 0, "CALLS").otherwise("IMPORTS")
+    inside = lambda c: F.concat_ws("::", c, F.col("user_id").cast("string"))
+    return analyze.call_centrality(calls(spark, d).select(inside("src").alias("src"), inside("dst").alias("dst"), kind.alias("edge_type")))
 
 
 @query("a4_repo_profile", """WITH s AS (SELECT sum(greatest(1, n_chars)) FILTER (lang = 'en') AS s, sum(greatest(1, n_chars)) FILTER (lang = 'fr') AS p FROM documents)
@@ -372,25 +360,29 @@ def a4_profile_by_count(spark, d):
 @query("a5_graph_stats", f"WITH {STAR} SELECT (SELECT count(*) FROM star_nodes) AS nodes, (SELECT count(*) FROM star) AS edges, (SELECT count(*) FROM star_nodes WHERE id LIKE 'customer::%') AS datasets, (SELECT count(*) FROM star_nodes WHERE id NOT IN (SELECT src FROM star)) AS sinks")
 def a5_graph_stats(spark, d):
     e = star(spark, d)
-    n = G.sources_and_sinks(star_nodes(e), e)
-    s = n.agg(F.count("*").alias("nodes"), F.count_if(F.startswith("id", F.lit("customer::"))).alias("datasets"), F.count_if("is_sink").alias("sinks"))
-    return s.join(F.broadcast(e.agg(F.count("*").alias("edges")))).select("nodes", "edges", "datasets", "sinks")
+    kind = F.when(F.startswith("id", F.lit("customer::")), "dataset").otherwise("config")
+    return R.graph_stats(star_nodes(e).withColumn("node_type", kind), e)
 
 
-@query("a6_domain_counts", "SELECT lang || '/' || source AS domain, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, domain LIMIT 20")
+@query("a6_domain_counts", "SELECT coalesce(lang, 'none') || '/' || coalesce(source, 'none') AS domain, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, domain LIMIT 20")
 def a6_domain_counts(spark, d):
-    return table(spark, d, "documents").groupBy(F.concat_ws("/", "lang", "source").alias("domain")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(20)
+    other = F.lit("none")
+    path = F.concat_ws("/", F.coalesce("lang", other), F.coalesce("source", other), F.col("doc_id").cast("string"))
+    return R.domains({"modules": table(spark, d, "documents").select(path.alias("path"))})
 
 
-@query("a7_dominant_folders", r"SELECT folder, count(*) AS n FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+(/[^/?#]*)/', 1) AS folder FROM pages) WHERE folder <> '' GROUP BY 1 ORDER BY n DESC, folder LIMIT 5")
+@query("a7_dominant_folders", r"SELECT folder, count(*) AS n FROM (SELECT regexp_extract(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '^(.*)/[^/]*$', 1) AS folder FROM pages) WHERE folder <> '' GROUP BY 1 ORDER BY n DESC, folder LIMIT 5")
 def a7_dominant_folders(spark, d):
-    f = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^/?#]*)/", 1).alias("folder")).where("folder <> ''")
-    return f.groupBy("folder").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder").limit(5)
+    return R.dominant_folders(table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path")))
 
 
-@query("a8_summary", "SELECT count(*) AS modules, sum(p_size) AS functions, count(*) FILTER (p_size > 40) AS large, count(DISTINCT p_brand) AS domains FROM part")
+@query("a8_summary", """SELECT (SELECT count(*) FROM part) AS modules, (SELECT CAST(sum(p_size % 5) AS BIGINT) FROM part) AS public_functions, (SELECT count(*) FROM part WHERE p_size > 40) AS dead_code,
+    (SELECT count(*) FROM supplier) AS datasets, (SELECT count(*) FROM customer) AS transformations, (SELECT count(*) FROM nation) AS lineage_edges""")
 def a8_summary(spark, d):
-    return table(spark, d, "part").agg(F.count("*").alias("modules"), F.sum("p_size").alias("functions"), F.count_if(F.col("p_size") > 40).alias("large"), F.count_distinct("p_brand").alias("domains"))
+    names = F.transform(F.sequence(F.lit(1), F.col("p_size") % 5 + 1), lambda k: k.cast("string"))
+    modules = table(spark, d, "part").select(F.slice(names, 1, (F.col("p_size") % 5).cast("int")).alias("public_functions"), (F.col("p_size") > 40).alias("is_dead_code"))
+    nodes = table(spark, d, "supplier").select(F.lit("dataset").alias("node_type")).union(table(spark, d, "customer").select(F.lit("transformation")))
+    return R.summary({"modules": modules, "nodes": nodes, "edges": table(spark, d, "nation")})
 
 
 COMMITS = "v AS (SELECT user_id AS path, count(DISTINCT event_id) AS commit_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_commit FROM events GROUP BY user_id)"
@@ -406,9 +398,12 @@ def a9_file_velocity(spark, d):
     return commits(spark, d)
 
 
-@query("a11_distinct_evidence", "SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL")
+@query("a11_distinct_evidence", "SELECT 'f' || user_id AS source_file, event_type AS analysis_method, CAST(min(event_id % 7) AS INTEGER) AS depth, min_by(lpad(CAST(event_id AS VARCHAR), 9, '0'), (event_id % 7, event_id)) AS node FROM events WHERE user_id % 5 <> 0 GROUP BY user_id, event_type")
 def a11_distinct_evidence(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
+    k = F.col("event_id")
+    file = F.when(F.col("user_id") % 5 == 0, "").otherwise(F.concat(F.lit("f"), F.col("user_id")))
+    rows = table(spark, d, "events").select(file.alias("source_file"), F.struct(F.lit(1).alias("start"), F.lit(9).alias("end")).alias("line_range"), F.col("event_type").alias("analysis_method"), (k % 7).cast("int").alias("depth"), F.lpad(k.cast("string"), 9, "0").alias("node"))
+    return navigator.distinct_evidence(rows).drop("line_range")
 
 
 @query("a12_token_spend", "SELECT role, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, round(sum(greatest(1, length(text) // 4)) / 1000.0 * 0.5, 6) AS cost FROM conversations GROUP BY role")
@@ -428,40 +423,49 @@ def w2_velocity_core(spark, d):
     return gitlog.ranked(commits(spark, d)).where("is_core").select("path", "commit_count")
 
 
-@query("w4_forward_fill", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS head FROM events")
+@query("w4_forward_fill", """WITH l AS (SELECT user_id, event_id, 'p' || event_id % 10 AS path, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS head FROM events)
+    SELECT DISTINCT CAST(head AS VARCHAR) AS hash, path FROM l WHERE head IS NOT NULL""")
 def w4_forward_fill(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("head"))
+    e = table(spark, d, "events")
+    head = F.when(F.col("event_type") == "signup", F.concat(F.lit(gitlog.HEADER), F.col("event_id").cast("string"), F.lit("|2024-01-01T00:00:00")))
+    said = F.array_compact(F.array(head, F.concat(F.lit("p"), (F.col("event_id") % 10).cast("string"))))
+    lines = e.select(F.col("user_id").cast("string").alias("log"), "event_id", F.posexplode(said).alias("p", "line")).select("log", (F.col("event_id") * 2 + F.col("p")).alias("line_no"), "line")
+    return gitlog.commits(lines).select("hash", "path")
 
 
-@query("l1_top_k", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
+@query("l1_top_k", "SELECT p_partkey AS path, p_retailprice AS rank FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
 def l1_top_k(spark, d):
-    return table(spark, d, "part").select("p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(10)
+    return R.hubs({"modules": table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_retailprice").alias("rank"))}, 10)
 
 
 @query("l3_recent_sessions", "SELECT user_id, max(event_id) AS last FROM events GROUP BY 1 ORDER BY last DESC, user_id LIMIT 25")
 def l3_recent_sessions(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("last")).orderBy(F.desc("last"), "user_id").limit(25)
+    return R.recent(table(spark, d, "events"), "user_id", "event_id")
 
 
 @query("u1_graph_upsert", "SELECT o_custkey AS id, max_by(o_totalprice, (o_orderdate >= TIMESTAMP '1997-01-01', o_orderkey)) AS price FROM orders GROUP BY 1")
 def u1_graph_upsert(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("price"), (F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).alias("fresh"), "o_orderkey")
-    old, new = o.where("not fresh"), o.where("fresh")
-    both = old.unionByName(new).select("id", "price", F.struct("fresh", "o_orderkey").alias("seq"))
-    return both.groupBy("id").agg(F.max_by("price", "seq").alias("price"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("seq"), (F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).alias("fresh"))
+    return G.upsert(o.where("not fresh").drop("fresh"), o.where("fresh").drop("fresh"), ["id"]).select("id", "price")
 
 
-@query("u2_changed_union", "SELECT user_id FROM events WHERE event_type = 'error' UNION SELECT user_id FROM events WHERE value > 90")
+@query("u2_changed_union", "SELECT user_id AS path FROM events WHERE event_type = 'error' UNION SELECT user_id FROM events WHERE value > 90")
 def u2_changed_union(spark, d):
-    e = table(spark, d, "events")
-    return e.where("event_type = 'error'").select("user_id").union(e.where("value > 90").select("user_id")).distinct()
+    e = table(spark, d, "events").withColumnRenamed("user_id", "path")
+    return FS.either(e.where("event_type = 'error'"), e.where("value > 90"))
 
 
-@query("u3_set_difference", "SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+@query("u3_set_difference", "SELECT l_partkey AS path FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45")
 def u3_set_difference(spark, d):
-    li = table(spark, d, "lineitem")
-    return li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id")).subtract(li.where("l_returnflag = 'A'").select("l_partkey"))
+    li = table(spark, d, "lineitem").withColumnRenamed("l_partkey", "path")
+    return G.without(li.where("l_quantity > 49 AND l_returnflag = 'R'").select("path").distinct(), li.where("l_returnflag = 'A' AND l_quantity > 45"))
+
+
+@query("u4_ordered_union", "SELECT p_partkey AS id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ',') AS names FROM (SELECT p_partkey, ['a' || p_size % 3, 'a' || p_size % 5, 'a' || p_size % 7, 'a' || p_partkey % 3] AS x FROM part)")
+def u4_ordered_union(spark, d):
+    a = lambda c, n: F.concat(F.lit("a"), (F.col(c) % n).cast("string"))
+    both = T.ordered_union(F.array(a("p_size", 3), a("p_size", 5)), F.array(a("p_size", 7), a("p_partkey", 3)))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(both, ",").alias("names"))
 
 
 # Scores.
@@ -612,11 +616,10 @@ def r13_confidence(spark, d):
 # Texts.
 
 
-@query("e1_text_metrics", """WITH l AS (SELECT doc_id, list_transform(string_split(rtrim(text, chr(10)), chr(10)), lambda x: trim(x)) AS lines FROM documents WHERE text <> '' AND NOT ends_with(text, chr(10) || chr(10)))
-    SELECT doc_id, len(lines) AS loc, round(len(list_filter(lines, lambda x: regexp_matches(x, '^(#|//|--)'))) / len(lines), 6) AS comment_ratio FROM l""")
+@query("e1_text_metrics", r"""WITH l AS (SELECT doc_id, CASE WHEN s[-1] = '' THEN s[:-2] ELSE s END AS lines FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS s FROM documents))
+    SELECT doc_id, len(lines) AS loc, round(CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: regexp_matches(x, '^\s*(#|//|--)'))) / len(lines) ELSE 0 END, 6) AS comment_ratio FROM l""")
 def e1_text_metrics(spark, d):
-    rows = table(spark, d, "documents").where("text <> '' AND NOT endswith(text, '\\n\\n')")
-    return rows.select("doc_id", T.loc(F.col("text")).cast("long").alias("loc"), F.round(T.comment_ratio(F.col("text")), 6).alias("comment_ratio"))
+    return table(spark, d, "documents").select("doc_id", T.loc(F.col("text")).cast("long").alias("loc"), F.round(T.comment_ratio(F.col("text")), 6).alias("comment_ratio"))
 
 
 @query("t2_keyword_score", "SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 + (length(lower(text)) - length(replace(lower(text), 'tion', ''))) / 4) / 2 AS score FROM documents")
@@ -624,11 +627,9 @@ def t2_keyword_score(spark, d):
     return table(spark, d, "documents").select("doc_id", search.keyword_score(F.col("text"), "the tion a").alias("score"))
 
 
-@query("t3_semantic_search", "SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'der ', ''))) / 4 AS BIGINT) AS score FROM documents WHERE contains(lower(text), 'der ') ORDER BY score DESC, doc_id LIMIT 25")
+@query("t3_semantic_search", "SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'der', ''))) / 3 AS BIGINT) AS score FROM documents WHERE contains(lower(text), 'der') ORDER BY score DESC, doc_id LIMIT 25")
 def t3_semantic_search(spark, d):
-    # the trailing space of the query is part of what is searched, so the operator's core is applied
-    score = T.occurrences(F.lower("text"), F.lit("der "))
-    return table(spark, d, "documents").select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(25)
+    return search.substring_search(table(spark, d, "documents"), F.col("text"), " Der", "doc_id").select("doc_id", "score")
 
 
 KEYWORDS = "list_sort(list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z_]+'), lambda w: length(w) >= 3 AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "))))"
@@ -658,16 +659,16 @@ def t6_purpose(spark, d):
 _ENGLISH = ", ".join(f"'{w}'" for w in search.ENGLISH)
 
 
-@query("t1_find_implementation", f"""WITH toks AS (SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '[A-Za-z0-9_]{{2,}}')) AS term FROM documents UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '[A-Za-z0-9_]{{2,}}')) FROM benchmark),
-    t AS (SELECT kind, id, term, count(*) AS tf FROM toks WHERE term NOT IN ({_ENGLISH}) GROUP BY ALL), f AS (SELECT term, count(*) AS df, sum(tf) AS total FROM t WHERE kind = 'd' GROUP BY term ORDER BY total DESC, term LIMIT 2048),
+@query("t1_find_implementation", rf"""WITH x AS (SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_ENGLISH})) AS w FROM documents
+    UNION ALL SELECT 'q', item_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_ENGLISH})) FROM benchmark),
+    toks AS (SELECT kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM x),
+    t AS (SELECT kind, id, term, count(*) AS tf FROM toks GROUP BY ALL), f AS (SELECT term, count(*) AS df, sum(tf) AS total FROM t WHERE kind = 'd' GROUP BY term ORDER BY total DESC, term LIMIT 2048),
     w AS (SELECT kind, id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM t JOIN f USING (term)), n AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY kind, id)) AS x FROM w),
     s AS (SELECT q.id AS query, d.id, round(sum(q.x * d.x), 6) AS score FROM n q JOIN n d ON d.term = q.term AND d.kind = 'd' WHERE q.kind = 'q' GROUP BY ALL HAVING score > 0)
     SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM s) WHERE k <= 20""")
 def t1_find_implementation(spark, d):
-    plain = F.regexp_replace("text", "[^\\x00-\\x7F]", " ")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), plain.alias("text"))
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), plain.alias("text"))
-    return search.find(docs, queries, grams=1).select("query", "id", "score")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.find(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")).select("query", "id", "score")
 
 
 @query("t7_domain_clusters")
@@ -676,21 +677,13 @@ def t7_domain_clusters(spark, d):
     return search.cluster(v, search.clusters_for(v.count()))
 
 
-@query("t9_drift_flags", "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'medium' WHEN contains(text, 'the ') THEN 'low' ELSE 'none' END AS flag FROM conversations ORDER BY conv_id, turn LIMIT 30")
+@query("t9_drift_flags", """SELECT path, severity FROM (SELECT lpad(CAST(conv_id AS VARCHAR), 8, '0') || '-' || lpad(CAST(turn AS VARCHAR), 4, '0') AS path,
+    CASE WHEN turn % 5 = 0 THEN 'medium' WHEN turn % 5 = 1 THEN 'low' WHEN role = 'assistant' THEN 'high' END AS severity FROM conversations) WHERE severity IS NOT NULL ORDER BY path LIMIT 30""")
 def t9_drift_flags(spark, d):
-    flag = F.when(F.trim("text") == "", "medium").when(F.contains("text", F.lit("the ")), "low").otherwise("none")
-    return table(spark, d, "conversations").select("conv_id", "turn", flag.alias("flag")).orderBy("conv_id", "turn").limit(30)
-
-
-@query("e19_template_refs", r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))), ' ') AS refs FROM pages""")
-def e19_template_refs(spark, d):
-    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)))), " ").alias("refs"))
-
-
-@query("e20_line_of_part", "SELECT doc_id, CASE WHEN contains(text, '. ') THEN length(split_part(text, '. ', 1)) - length(replace(split_part(text, '. ', 1), chr(10), '')) + 1 END AS line FROM documents")
-def e20_line_of_part(spark, d):
-    head = F.substring_index("text", ". ", 1)
-    return table(spark, d, "documents").select("doc_id", F.when(F.contains("text", F.lit(". ")), F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line"))
+    c, k = table(spark, d, "conversations"), F.col("turn") % 5
+    path = F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lpad(F.col("turn").cast("string"), 4, "0"))
+    purpose = F.when(k == 0, "  ").when(k == 1, "It has general application or utility logic.").otherwise("x")
+    return R.drift_flags({"modules": c.select(path.alias("path"), purpose.alias("purpose"), F.struct((F.col("role") == "assistant").alias("drift"), F.lit("high").alias("severity")).alias("drift"))})
 
 
 @query("e26_commit_log", "SELECT user_id AS path, count(DISTINCT event_id) AS commit_count FROM events GROUP BY 1")
@@ -710,9 +703,13 @@ def p3_sql_classes(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sql_class(F.col("text"), F.col("lang") == "en").alias("class"))
 
 
-@query("p8_trace_events", "SELECT conv_id, list_count(list_distinct(list(role))) AS agents, count(*) AS events, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+@query("p8_trace_events", """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'static_analysis' WHEN 1 THEN 'given' ELSE 'pipeline_step' END AS analysis_method, 'src/m' || turn || '.py,lib/' || role || '.sql' AS files FROM conversations""")
 def p8_trace_events(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count_distinct("role").alias("agents"), F.count("*").alias("events"), F.max("turn").alias("last_turn"))
+    c, k = table(spark, d, "conversations"), F.col("turn") % 3
+    file, other = F.concat(F.lit("src/m"), F.col("turn"), F.lit(".py")), F.concat(F.lit("lib/"), F.col("role"), F.lit(".sql"))
+    evidence = F.to_json(F.struct(F.when(k == 1, "given").alias("analysis_method"), F.array(file, other, file).alias("at"), F.struct(file.alias("x")).alias("deep")))
+    events = c.select("conv_id", "turn", F.when(k == 0, "Surveyor").otherwise("someone").alias("agent"), evidence.alias("evidence"))
+    return artifacts.enriched_trace(events).select("conv_id", "turn", "analysis_method", F.array_join("source_files", ",").alias("files"))
 
 
 @query("p9_clean_labels", r"""SELECT item_id, CASE WHEN length(x) <= 180 AND x <> '' THEN x END AS label FROM (SELECT item_id, trim(regexp_replace(regexp_replace(text, '[`"'']', '', 'g'), '\s+', ' ', 'g')) AS x FROM benchmark)""")
@@ -727,7 +724,66 @@ def p1_clamped(spark, d):
 
 @query("p15_filtered_trace", "SELECT conv_id, turn FROM conversations WHERE role = 'assistant'")
 def p15_filtered_trace(spark, d):
-    return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn")
+    return R.trace_of(table(spark, d, "conversations").withColumnRenamed("role", "agent"), "assistant").select("conv_id", "turn")
+
+
+@query("p14_sessions_under_root", r"SELECT page_id, url = 'http:/' OR starts_with(url, 'https://m.') AS under FROM pages WHERE url IS NOT NULL")
+def p14_sessions_under_root(spark, d):
+    path = F.regexp_replace("url", r"^https://m\.", "https://m/")
+    return table(spark, d, "pages").where("url is not null").select("page_id", R.under(path, "https://m/").alias("under"))
+
+
+@query("p4_python_class", """SELECT event_id, CASE WHEN a AND c THEN 'python_sql_etl' WHEN b AND e THEN 'python_file_transform' WHEN b AND c THEN 'python_ingestion' WHEN a AND e THEN 'python_export' WHEN c THEN 'python_table_write'
+    WHEN e THEN 'python_file_write' WHEN a THEN 'python_sql_read' WHEN b THEN 'python_file_read' ELSE 'python_other' END AS class FROM (SELECT event_id, event_id % 2 = 0 AS a, event_id % 3 = 0 AS b, event_id % 5 = 0 AS c, event_id % 7 = 0 AS e FROM events)""")
+def p4_python_class(spark, d):
+    k = F.col("event_id")
+    return table(spark, d, "events").select("event_id", T.python_class(k % 2 == 0, k % 3 == 0, k % 5 == 0, k % 7 == 0).alias("class"))
+
+
+@query("p5_notebook_class", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'notebook_etl' WHEN 1 THEN 'notebook_export' WHEN 2 THEN 'notebook_ingestion' ELSE 'notebook_analysis' END AS class FROM events")
+def p5_notebook_class(spark, d):
+    k = F.col("event_id") % 4
+    return table(spark, d, "events").select("event_id", T.notebook_class(k.isin(0, 2), k.isin(0, 1)).alias("class"))
+
+
+@query("p7_deprecation", "SELECT p_partkey AS id, p_partkey % 6 IN (0, 2) AS deprecated FROM part")
+def p7_deprecation(spark, d):
+    k = F.col("p_partkey")
+    text = F.concat(F.when(k % 3 == 0, "# Deprecated\n").when(k % 3 == 2, "# Do not import\n").otherwise("# fine\n"), F.when(k % 2 == 0, "raise ImportError(1)").otherwise("pass"))
+    return table(spark, d, "part").select(k.alias("id"), T.is_deprecated(text).alias("deprecated"))
+
+
+@query("r4_weak_ingestion", "SELECT p_partkey AS id, NOT (p_partkey % 3 >= 2 AND p_partkey % 5 >= 2) AS weak FROM part")
+def r4_weak_ingestion(spark, d):
+    k = F.col("p_partkey")
+    some = lambda n, name: F.transform(F.filter(F.array(*map(F.lit, range(4))), lambda i: i < n), lambda i: F.concat(F.lit(name), i.cast("string")))
+    labels = F.concat(F.array(F.lit("tmp_x"), F.lit("job")), some(k % 3, "orders_raw"))
+    methods = F.concat(F.array(F.lit("python")), F.transform(some(k % 5, "m"), lambda _: F.lit("sql")))
+    return table(spark, d, "part").select(k.alias("id"), S.weak_ingestion(labels, methods).alias("weak"))
+
+
+@query("r9_velocity_source", "SELECT user_id AS path, count(DISTINCT event_id) AS commit_count FROM events GROUP BY 1 HAVING commit_count > 0")
+def r9_velocity_source(spark, d):
+    modules = commits(spark, d).union(spark.createDataFrame([(-1, 0, "")], "path long, commit_count long, last_commit string"))
+    return gitlog.velocity_rows(None, modules).select("path", "commit_count")
+
+
+@query("r11_strong_business", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_size > 20 AND (p_size > 30 OR p_partkey % 4 = 0) ELSE false END AS strong FROM part")
+def r11_strong_business(spark, d):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    module = F.struct((n > 20).cast("int").alias("complexity"), (n > 30).cast("double").alias("pagerank"), (k % 4 == 0).cast("int").alias("calls"))
+    dull = F.struct(F.lit(0).alias("complexity"), F.lit(0.0).alias("pagerank"), F.lit(0).alias("calls"))
+    return table(spark, d, "part").select(k.alias("id"), S.strong_business(F.when(k % 2 == 0, F.array(module, dull, dull)).otherwise(F.array(dull))).alias("strong"))
+
+
+@query("r19_repo_fit", """SELECT id, round(CASE WHEN p = 'sql_heavy' THEN CASE WHEN q <> 'q3_blast_radius' THEN 0.55 + 0.45 * sq ELSE 0.7 END
+    WHEN p = 'python_heavy' THEN CASE WHEN q = 'q1_primary_ingestion' AND b THEN 0.85 WHEN q = 'q1_primary_ingestion' THEN 0.55 + 0.35 * py WHEN q = 'q2_critical_outputs' AND a THEN 0.8 WHEN q = 'q2_critical_outputs' THEN 0.45 + 0.35 * py ELSE 0.55 + 0.35 * py END
+    ELSE 0.55 + 0.25 * greatest(sq, py) END, 6) AS factor FROM (SELECT *, ['sql_heavy', 'python_heavy', 'mixed'][1 + id % 3] AS p, (id % 4) / 4.0 AS sq, (4 - id % 4) / 4.0 AS py FROM """ + ANSWERS + ")")
+def r19_repo_fit(spark, d):
+    k = F.col("id")
+    kind = F.element_at(F.array(*map(F.lit, ("sql_heavy", "python_heavy", "mixed"))), (k % 3 + 1).cast("int"))
+    files = F.transform(F.array(*map(F.lit, range(4))), lambda i: F.when(i < k % 4, "a.SQL").otherwise("b.py"))
+    return answers(spark, d).select("id", F.round(S.repo_fit(F.col("q"), kind, files, F.col("b"), F.col("a"), F.lit(False)), 6).alias("factor"))
 
 
 @query("s3_language_routing", r"SELECT page_id, CASE regexp_extract(url, '[.]([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'sql' THEN 'sql' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'yml' THEN 'yaml' WHEN 'yaml' THEN 'yaml' WHEN 'ipynb' THEN 'notebook' ELSE 'unknown' END AS language FROM pages")
@@ -735,9 +791,9 @@ def s3_language_routing(spark, d):
     return table(spark, d, "pages").select("page_id", FS.language(F.col("url")).alias("language"))
 
 
-@query("s5_graph_round_trip", f"WITH {STAR} SELECT src, dst FROM star WHERE src LIKE 'region::%' OR dst LIKE 'supplier::%'")
+@query("s5_graph_round_trip", f"WITH {STAR} SELECT src, dst FROM star")
 def s5_graph_round_trip(spark, d):
-    e = star(spark, d).where("src LIKE 'region::%' OR dst LIKE 'supplier::%'").withColumns({"edge_type": F.lit("CONFIGURES"), "weight": F.lit(1.0)})
+    e = star(spark, d).withColumns({"edge_type": F.lit("CONFIGURES"), "weight": F.lit(1.0)})
     out = scratch(spark, "graph")
     graph_files.write_graph(star_nodes(e), e, out)
     return graph_files.read_graph(spark, out)[1].select("src", "dst")
@@ -757,25 +813,25 @@ def s13_repository_names(spark, d):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("d4_sections", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
-    h AS (SELECT *, count(*) FILTER (regexp_matches(line, '^[A-Z][a-z]* [a-z]')) OVER (PARTITION BY doc_id ORDER BY k) AS section FROM l) SELECT doc_id, section, count(*) AS lines FROM h WHERE section > 0 GROUP BY 1, 2""")
+@query("d4_sections", "SELECT p_partkey AS path, unnest(['Part ' || p_size, 'Names']) AS title, unnest(['It is a ' || p_name || '.', '- ' || p_brand]) AS body FROM part")
 def d4_sections(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    w = Window.partitionBy("doc_id").orderBy("k")
-    head = F.sum(F.rlike("line", F.lit("^[A-Z][a-z]* [a-z]")).cast("int")).over(w)
-    return rows.withColumn("section", head.cast("long")).where("section > 0").groupBy("doc_id", "section").agg(F.count("*").alias("lines"))
+    text = F.concat(F.lit("# Title\n\n## Part "), F.col("p_size"), F.lit("\n\nIt is a "), F.col("p_name"), F.lit(".\n\n## Empty\n\n##  Names \n- "), F.col("p_brand"), F.lit("\n\n"))
+    return artifacts.section_rows(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), text.alias("text"))).withColumn("path", F.col("path").cast("long"))
 
 
-@query("d5_parsed_props", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
-def d5_parsed_props(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+@query("d5_parsed_brief", """SELECT event_id AS path, 'q1_primary_ingestion' AS question_id, 'found ' || event_type AS answer, 'high' AS confidence_label, (event_id % 100) / 100.0::DOUBLE AS confidence_score,
+    '[{"line_range": [1, 2], "source_file": "' || event_type || '.sql"}]' AS evidence FROM events""")
+def d5_parsed_brief(spark, d):
+    k, kind = F.col("event_id"), F.col("event_type")
+    text = F.concat(
+        F.lit("# ONBOARDING BRIEF\n\n## Where does data come in?\n\nQuestion: q1_primary_ingestion\n\nfound "), kind, F.lit("\n\nConfidence: high ("), F.format_number((k % 100) / 100, 4),
+        F.lit(")\n\nReason: none\n\nFactors: a=0.50; b=0.25\n\nEvidence:\n- {\"line_range\": [1, 2], \"source_file\": \""), kind, F.lit('.sql"}\n'),
+    )
+    rows = artifacts.brief_rows(table(spark, d, "events").select(k.cast("string").alias("path"), text.alias("text")))
+    return rows.withColumn("path", F.col("path").cast("long"))
 
 
 @query("o2_changed_files", "SELECT coalesce(n.doc_id, o.doc_id) AS path, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0) n FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE text END AS text FROM documents WHERE doc_id % 3 <> 0) o ON n.doc_id = o.doc_id WHERE n.text IS DISTINCT FROM o.text")
@@ -785,10 +841,13 @@ def o2_changed_files(spark, d):
     return FS.changed(docs.where("path % 7 <> 0"), before)
 
 
-@query("o5_read_model", "SELECT n_name AS name, count(c_custkey) AS customers, round(coalesce(sum(c_acctbal), 0), 2) AS balance FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+@query("o5_read_model", f"""WITH {TRADE}, e AS (SELECT src AS id, 1 AS o, 0 AS i FROM heavy UNION ALL SELECT dst, 0, 1 FROM heavy), g AS (SELECT id, CAST(sum(i) AS BIGINT) AS i, CAST(sum(o) AS BIGINT) AS o FROM e GROUP BY id)
+    SELECT 'n' || n_nationkey AS path, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, round((coalesce(i, 0) + coalesce(o, 0)) / 24.0, 6) AS degree_centrality FROM nation LEFT JOIN g ON id = 'n' || n_nationkey""")
 def o5_read_model(spark, d):
-    n, c = table(spark, d, "nation"), table(spark, d, "customer")
-    return n.join(c, n["n_nationkey"] == c["c_nationkey"], "left").groupBy(F.col("n_name").alias("name")).agg(F.count("c_custkey").alias("customers"), F.round(F.coalesce(F.sum("c_acctbal"), F.lit(0.0)), 2).alias("balance"))
+    n = F.lit(0)
+    modules = nations(spark, d).select(F.col("id").alias("path"), F.lit("python").alias("language"), n.alias("complexity"), n.alias("rank"), n.alias("commit_count"), F.lit(False).alias("is_dead_code"))
+    found = R.module_graph({"modules": modules, "module_edges": heavy(spark, d).withColumn("edge_type", F.lit("IMPORTS"))})
+    return found.select("path", "in_degree", "out_degree", F.round("degree_centrality", 6).alias("degree_centrality"))
 
 
 # Extensions.
@@ -863,3 +922,6 @@ def ext_pricing_summary(spark, d):
     li = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(revenue, 2).alias("revenue"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.count("*").alias("n"))
+
+
+from . import code_queries  # noqa: E402, F401  registers queries over a generated source tree

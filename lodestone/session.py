@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +21,22 @@ def session(name: str = "lodestone", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=settings).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); one of our own if everything runs on this machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the folder that spark.checkpoint.dir names (one of our own where it is unset)."""
+    """A checkpoint of df in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

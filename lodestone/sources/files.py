@@ -79,6 +79,14 @@ def changed(files: DataFrame, before: DataFrame) -> DataFrame:
     return both.select("path", kind.alias("change")).where("change is not null")
 
 
+def either(*sets: DataFrame) -> DataFrame:
+    """The distinct paths of several sets of files."""
+    out = sets[0].select("path")
+    for x in sets[1:]:
+        out = out.union(x.select("path"))
+    return out.distinct()
+
+
 def module_path(dotted: Column) -> Column:
     return F.replace(dotted, F.lit("."), F.lit("/"))
 

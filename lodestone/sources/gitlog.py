@@ -45,6 +45,18 @@ def velocity(rows: DataFrame) -> DataFrame:
     return g.select("path", "commit_count", F.coalesce("by_time", "by_text").alias("last_commit"))
 
 
+def velocity_rows(snapshot: DataFrame | None, modules: DataFrame) -> DataFrame:
+    """(path, commit_count, last_commit) of what changed: the snapshot's rows if there is one, else the modules' own counts."""
+    rows = snapshot if snapshot is not None else modules
+    return rows.where("commit_count > 0").select("path", "commit_count", "last_commit")
+
+
+def with_velocity(modules: DataFrame, velocity: DataFrame) -> DataFrame:
+    """Modules with the commits of their path: none, and no last one, where the log has none."""
+    found = modules.join(velocity, "path", "left")
+    return found.withColumns({"commit_count": F.coalesce("commit_count", F.lit(0)), "last_commit": F.coalesce("last_commit", F.lit(""))})
+
+
 def ranked(counts: DataFrame, path: str = "path", count: str = "commit_count") -> DataFrame:
     """Adds velocity_rank (by falling count, then path) and is_core: the smallest head that has a fifth of the files and
     four fifths of the commits. No core if nothing was committed.

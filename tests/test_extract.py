@@ -103,7 +103,7 @@ def test_yaml_and_javascript(spark):
 def test_table_functions_and_import_targets(spark):
     files = sources(spark, **{"src/pkg/a__py": "from . import b\nfrom .b import f\nimport pkg.c.g\nimport os\n", "src/pkg/b__py": "def f(): pass\n", "src/pkg/c/__init____py": "", "bad__py": "def (:\n"})
     files = files.withColumn("path", __import__("pyspark").sql.functions.regexp_replace("path", r"c/\.init\.\.py", "c/__init__.py"))
-    m = python_code.modules(files)
+    m = python_code.modules(python_code.facts(files))
     assert {r.path: bool(r.issues) for r in m.collect()}["bad.py"]
     imports = m.selectExpr("path AS importer", "explode(imports) AS name")
     got = {(r.importer, r.name, r.target) for r in FS.import_targets(imports, files).collect()}

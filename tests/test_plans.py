@@ -160,7 +160,10 @@ def test_read_models_and_sessions(tables, tmp_path):
     assert R.hubs(tables).first().path == "helpers.py" and R.module_graph(tables).count() == 11
     by = {r.id: (r.upstream, r.downstream) for r in R.lineage_graph(tables).collect()}
     assert by["dataset::orders_raw"] == (0, 4) and by["dataset::mart.daily"][1] == 0
-    assert {r.domain: r.n for r in R.domains(tables).collect()}["sub"] == 3
+    named = {r.domain: r.n for r in R.domains(tables).collect()}
+    assert sum(named.values()) == 11 and 5 <= len(named) <= 8 and all(k.startswith("domain_") for k in named)
+    folders = {**tables, "modules": tables["modules"].drop("domain")}
+    assert {r.domain: r.n for r in R.domains(folders).collect()}["sub"] == 3
     assert [r.path for r in R.find_text(tables, "helpers").collect()] == ["helpers.py"] and R.find_text(tables, "").count() == 11
     assert {(r.direction, r.id) for r in R.node_details(tables, "helpers.py").collect()} >= {("upstream", "pipeline.py"), ("downstream", "helpers.py::clean")}
     assert R.drift_flags(tables).count() >= 1 and "public_functions" in R.semantic_index(tables).columns
@@ -184,3 +187,52 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert shown[0]["ok"] and {"dataset::orders_raw"} <= {r["node"] for r in shown[0]["result"]}
     assert cli.main(["query", out, "explain_module", "nope"]) == 2 and cli.main(["visualize", out]) == 0
     assert "<table>" in (tmp_path / "out/lineage.html").read_text() and (tmp_path / "out/CODEBASE.md").exists()
+
+
+def test_structured_lineage_and_drawn_graphs(tables):
+    n = nav(tables)
+    fed = n.what_feeds("mart.daily")
+    assert fed["target"] == "dataset::mart.daily" and fed["direct"].count() == 1 and fed["full"].count() > 1 and fed["evidence"]
+    assert n.what_depends_on("nothing_like_it") == {"target": "dataset::nothing_like_it", "direct": [], "full": [], "evidence": []}
+    report = n.impact_report("orders_raw")
+    assert report["impacted"] == 4 and "dataset::mart.daily" in report["sinks"] and n.impact_report("zzz")["impacted"] == 0
+    nodes, edges = artifacts.drawn(tables["modules"].select("id", F.lit("module").alias("node_type")), tables["module_edges"], modules_only=True)
+    assert nodes.count() == 11 and {r.edge_type for r in edges.collect()} == {"IMPORTS"}
+
+
+def test_first_day_signals(tables):
+    found = {a["question_id"]: a for a in artifacts.answers(tables)}
+    q1 = found["q1_primary_ingestion"]
+    assert any(e["analysis_method"] in ("sql", "python") for e in q1["evidence"])
+    assert all(0 <= v <= 1 for a in found.values() for v in a["confidence_factors"].values())
+
+
+def test_deep_nesting_and_failures_are_no_end_of_a_run(spark):
+    deep = "select * from " + "(select * from " * 3000 + "t" + ")" * 3000
+    files = spark.createDataFrame([("a.sql", "sql", "sql", deep), ("b.py", "py", "python", "x = " + "(" * 5000 + ")" * 5000), ("c.sql", "sql", "sql", "select * from u")], "path string, ext string, language string, text string")
+    facts = analyze.extract(files)
+    assert {(r.path, tuple(r.sources)) for r in facts.sql.collect()} == {("a.sql", ("t",)), ("c.sql", ("u",))}
+    assert {r.path for r in facts.issues.collect()} == {"b.py"}
+
+
+def test_issues_are_all_told(spark, tmp_path):
+    for k in range(130):
+        (tmp_path / f"m{k}.py").write_text("def (:")
+    assert analyze.analyze(spark, str(tmp_path))["issues"].count() == 130
+
+
+def test_components_by_colours_equal_mutual_reach(spark):
+    import random
+
+    r = random.Random(4)
+    pairs = {(r.randrange(60), r.randrange(60)) for _ in range(85)}
+    e = spark.createDataFrame([(f"{a:02d}", f"{b:02d}") for a, b in pairs], "src string, dst string")
+    n = e.selectExpr("explode(array(src, dst)) AS id").distinct()
+    a, b = (sorted(map(tuple, G.strong_components(n, e, few).collect())) for few in (1000, 0))
+    assert a == b and len(a) >= 1
+
+
+def test_numbered_discovery(spark):
+    e = spark.createDataFrame([("a", "c"), ("a", "b"), ("c", "d"), ("b", "z"), ("b", "e"), ("d", "y"), ("x", "a")], "src string, dst string")
+    got = {(r.start, r.node): r.position for r in G.numbered(G.reach(e, spark.createDataFrame([("a",), ("x",)], "start string"))).collect()}
+    assert got == {("a", k): i for i, k in enumerate("bcezdy", 1)} | {("x", k): i for i, k in enumerate("abcezdy", 1)}
