@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans import analyze, artifacts, readmodels
 from .plans.navigator import Answer, Navigator
 from .session import session
-from .sources import gitlog, graph_files
+from .sources import gitlog, graph_files, repositories
 
 TABLES = ("modules", "module_edges", "nodes", "edges")
 
@@ -73,7 +74,9 @@ def main(argv: list[str] | None = None) -> int:
         out = o.output or f"{o.path}/.lodestone"
         Path(out).mkdir(parents=True, exist_ok=True)
         status, log = gitlog.capture(o.path, o.days)
-        save(analyze.analyze(spark, o.path, log), out, status)
+        began = time.time()
+        save(analyze.analyze(spark, o.path, log, progress=lambda stage: print(stage, file=sys.stderr)), out, status)
+        Path(out, "state.json").write_text(json.dumps(repositories.state(o.path, began), indent=2))
         print(json.dumps({"output": out, "history": status}))
         return 0
     tables = load(spark, o.folder)

@@ -26,11 +26,12 @@ def tfidf(docs: DataFrame, grams: int = 2, features: int | None = 2048) -> tuple
     idf is ln((1 + n) / (1 + df)) + 1; ties among features go to the term that sorts first.
     """
     n = docs.count()
-    tf = docs.select("id", F.explode(terms(F.col("text"), grams)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    tf = cut(tf)  # read three times below
-    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    if features:
-        df = df.orderBy(F.desc("total"), "term").limit(features)
+    said = docs.select("id", F.explode(terms(F.col("text"), grams)).alias("term"))
+    if features:  # only these are counted by document
+        top = cut(said.groupBy("term").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "term").limit(features).select("term"))
+        said = said.join(F.broadcast(top), "term", "left_semi")
+    tf = cut(said.groupBy("id", "term").agg(F.count("*").alias("tf")))  # read three times below
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = cut(df.select("term", (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1).alias("idf")))
     raw = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

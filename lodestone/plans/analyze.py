@@ -6,6 +6,7 @@ incremental run extracts changed files only and resolves everything again, so it
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -165,11 +166,31 @@ def with_domains(modules: DataFrame, wanted: int = 5) -> DataFrame:
     return modules.join(named, "path", "left")
 
 
-def analyze(spark: SparkSession, root: str, log: str | None = None) -> dict[str, DataFrame]:
-    """Tables of a source tree: modules, module_edges, nodes, edges, and all errors of files that could not be read."""
-    files = cut(FS.scan(spark, root))
-    facts = extract(files)
-    commits = gitlog.commits(gitlog.lines(spark, log)) if log else None
-    modules, module_edges = module_graph(facts, commits)
-    nodes, edges = lineage_graph(facts)
-    return {"files": files, "modules": with_domains(cut(modules)), "module_edges": module_edges, "nodes": nodes, "edges": edges, "issues": facts.issues.orderBy("path", "issue")}
+def analyze(spark: SparkSession, root: str, log: str | None = None, progress: Callable[[str], None] | None = None) -> dict[str, DataFrame]:
+    """Tables of a source tree: modules, module_edges, nodes, edges, and all errors of files that could not be read.
+
+    progress is told each stage. What fails carries the name of its stage as a note.
+    """
+    stage = ""
+
+    def on(name: str) -> None:
+        nonlocal stage
+        stage = name
+        if progress:
+            progress(name)
+
+    try:
+        on("scan")
+        files = cut(FS.scan(spark, root))
+        on("extraction")
+        facts = extract(files)
+        on("module graph")
+        modules, edges = module_graph(facts, gitlog.commits(gitlog.lines(spark, log)) if log else None)
+        on("lineage graph")
+        nodes, lineage = lineage_graph(facts)
+        on("domains")
+        modules = with_domains(cut(modules))
+    except Exception as e:
+        e.add_note(f"in stage {stage}")
+        raise
+    return {"files": files, "modules": modules, "module_edges": edges, "nodes": nodes, "edges": lineage, "issues": facts.issues.orderBy("path", "issue")}

@@ -121,6 +121,16 @@ class Navigator:
         found = self.modules.select("path", tier.alias("t")).where("t is not null").orderBy("t", "path").limit(1).collect()
         return found[0]["path"] if found else None
 
+    def resolve_node(self, name: str) -> str | None:
+        """Exact id, then a dataset of that name, then an id without case, then one that ends in ::name; the smallest of several."""
+        found = G.resolve(self.nodes.where(F.col("id") == name), name, prefix="") or G.resolve(self.nodes.where("node_type = 'dataset'"), name)
+        if found is not None:
+            return found
+        low = F.lower("id")
+        tier = F.when(low == name.lower(), 0).when(F.endswith(low, F.lit("::" + name.lower())), 1)
+        rows = self.nodes.select("id", tier.alias("t")).where("t is not null").orderBy("t", "id").limit(1).collect()
+        return rows[0]["id"] if rows else None
+
     def find_implementation(self, concept: str) -> Answer:
         spark = self.modules.sparkSession
         docs = self.modules.select(F.col("path").alias("id"), search.module_text().alias("text"))
@@ -155,7 +165,7 @@ class Navigator:
 
     def impact_report(self, dataset: str) -> dict:
         """What lies downstream of a node: counts, datasets, sinks, files, and the configs and pipelines of these files."""
-        node = G.resolve(self.nodes, dataset)
+        node = self.resolve_node(dataset)
         if node is None:
             return {"target": dataset if "::" in dataset else f"dataset::{dataset}", "impacted": 0, "max_depth": 0, "datasets": 0, "transformations": 0, "sinks": [], "source_files": [], "related_pipelines": []}
         spark = self.nodes.sparkSession

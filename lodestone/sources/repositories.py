@@ -49,6 +49,11 @@ def metadata(repo: str | Path) -> dict[str, str]:
     return {"owner": owner, "repo_name": name, "branch": git(repo, "rev-parse", "--abbrev-ref", "HEAD") or "unknown", "url": url, "display_name": f"{owner}/{name}"}
 
 
+def state(repo: str | Path, at: float) -> dict:
+    """What a later run needs to know of this one: the commit, the time, and the repository."""
+    return {"head": git(repo, "rev-parse", "HEAD"), "analyzed_at_epoch": at, "repository": metadata(repo)}
+
+
 def mirror(source: str, workspace: str | Path, keep: str = ".lodestone") -> Path:
     """A copy of a local folder, or a shallow clone of a remote repository, in the workspace.
 

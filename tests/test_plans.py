@@ -186,6 +186,7 @@ def test_command_line(spark, tree, tmp_path, capsys):
     shown = json.loads(capsys.readouterr().out)
     assert shown[0]["ok"] and {"dataset::orders_raw"} <= {r["node"] for r in shown[0]["result"]}
     assert cli.main(["query", out, "explain_module", "nope"]) == 2 and cli.main(["visualize", out]) == 0
+    assert json.loads((tmp_path / "out/state.json").read_text())["repository"]["owner"]
     assert "<table>" in (tmp_path / "out/lineage.html").read_text() and (tmp_path / "out/CODEBASE.md").exists()
 
 
@@ -196,6 +197,8 @@ def test_structured_lineage_and_drawn_graphs(tables):
     assert n.what_depends_on("nothing_like_it") == {"target": "dataset::nothing_like_it", "direct": [], "full": [], "evidence": []}
     report = n.impact_report("orders_raw")
     assert report["impacted"] == 4 and "dataset::mart.daily" in report["sinks"] and n.impact_report("zzz")["impacted"] == 0
+    assert [n.resolve_node(x) for x in ("transform::pipeline.py", "MART.daily", "Extract", "nothing at all")] == ["transform::pipeline.py", "dataset::mart.daily", "pipeline::extract", None]
+    assert n.impact_report("extract")["impacted"] == 1
     nodes, edges = artifacts.drawn(tables["modules"].select("id", F.lit("module").alias("node_type")), tables["module_edges"], modules_only=True)
     assert nodes.count() == 11 and {r.edge_type for r in edges.collect()} == {"IMPORTS"}
 
