@@ -21,6 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 ARROW_ROWS = 1000
 #: Bytes of one Arrow batch, so that a run of very long texts is cut into more batches.
 ARROW_BYTES = 16 << 20
+#: Bits of a filter: so many for each hash, but between these bounds (16 MB at most).
+BITS_EACH, LEAST_BITS, FILTER_BITS = 256, 1 << 16, 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,7 +137,16 @@ def carried(df: DataFrame, names: list[str] | None) -> tuple[list[Column], pa.Sc
 
 
 def renamed(df: DataFrame, names: list[str] | None, **others: str) -> DataFrame:
-    return df.withColumnsRenamed(others | {f"c{k}": n for k, n in enumerate(names or [])})
+    """Gives carried columns their names back; one that has the name of a result column is called <name>_in."""
+    names = names or []
+    results = {others.get(c, c) for c in df.columns[: len(df.columns) - len(names)]}
+    back = {}
+    for k, n in enumerate(names):
+        while n in results:
+            n += "_in"
+        results.add(n)
+        back[f"c{k}"] = n
+    return df.withColumnsRenamed(others | back)
 
 
 def utf8(column: pa.Array) -> tuple[memoryview, list[int]]:
@@ -182,6 +193,37 @@ def grouped(batches: Iterable[pa.RecordBatch], key: int, least: int) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+class Filter:
+    """Bits of a set of hashes; lets every one of them through, and few others."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.last = bits, np.uint64(8 * len(bits) - 1)
+
+    def __call__(self, found: np.ndarray) -> np.ndarray:
+        def one(x):
+            return (self.bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1
+
+        ok = one(found & self.last).astype(bool)
+        ok[ok] = one((found[ok] >> np.uint64(32)) & self.last).astype(bool)
+        return ok
+
+
+def bit_filter(hashes: DataFrame) -> Filter:
+    """hashes(print) -> their filter. At most FILTER_BITS / 32768 rows of 4 KB come to the driver, whatever their number."""
+    n = hashes.count()
+    size = LEAST_BITS
+    while size < min(FILTER_BITS, BITS_EACH * n):
+        size *= 2
+    places = F.array(*[F.lit(size - 1).bitwiseAND(x) for x in (F.col("print"), F.shiftrightunsigned("print", 32))])
+    at = hashes.select(F.explode(places).alias("x")).select((F.col("x") + 1).alias("x"))
+    made = at.groupBy(F.bitmap_bucket_number("x").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in made.collect():
+        a = (r["n"] - 1) * 4096
+        bits[a : a + 4096] = np.frombuffer(r["bits"], np.uint8)[: len(bits) - a]
+    return Filter(bits)
+
+
 def pack_ints(a: np.ndarray) -> bytes:
     """A compressed array: byte planes apart, so that sorted or small numbers shrink."""
     import zstandard

@@ -4,8 +4,9 @@ The models are variable-order Markov chains over characters of host and path (on
 for those that rules block), smoothed by backing off with Witten-Bell weights: order 2 over order 1 over order 0
 over a uniform alphabet. Characters fall into 40 classes, so a model has at most 64,000 trigrams whatever the
 number of URLs: counting is one partially aggregated shuffle, and both models travel as one array in the plan. A
-URL's score is the mean of the log-likelihood differences of its characters. The threshold is calibrated on the
-rules' own URLs, from two histograms of a fixed number of bins.
+URL's score is the mean of the log-likelihood differences of its characters. One in HELD of the rules' own URLs (by a
+hash of the URL, so equal ones go together) is held out of the counts, and the threshold is calibrated on these, from
+two histograms of a fixed number of bins.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 #: Classes of characters: these, any other letter or sign (38), and the start of the text (39).
 ALPHABET, CLASSES = "abcdefghijklmnopqrstuvwxyz0./-_=?&%:~", 40
 OTHER, START = 38, 39
-BINS, SPREAD = 400, 4.0
+BINS, SPREAD, HELD = 400, 4.0, 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,14 +112,15 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """id, host, path, rule, verdict and score of each row.
 
     A null url, or one without ://, has an empty host and path, fits no rule, and scores 0. Without URLs that rules
-    allow (or block) that model is uniform; the threshold is then 0. Scores at the threshold or above are allowed.
-    Repeated rows each give a row; empty tables give none.
+    allow (or block) that model is uniform; without held ones of either kind the threshold is 0. Scores at the threshold
+    or above are allowed. Repeated rows, rows with a null id and urls of any length each give a row; empty tables give none.
     """
     spark = pages.sparkSession
     rows = picked(pages, id=id_col, url=url_col)
     rows = rows.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.withColumn("label", verdict_of(F.col("rule"), rules))
-    counted = rows.where("label is not null").select("label", F.explode(trigrams(F.col("host"), F.col("path"))).alias("trigram")).groupBy("label", "trigram").agg(F.count("*").alias("n"))
+    held = F.pmod(F.xxhash64("host", "path"), F.lit(HELD)) == 0
+    counted = rows.where(F.col("label").isNotNull() & ~held).select("label", F.explode(trigrams(F.col("host"), F.col("path"))).alias("trigram")).groupBy("label", "trigram").agg(F.count("*").alias("n"))
     counted = stage(spark, counted, "trigrams")  # 2 * CLASSES ** 3 rows at most
     both = _model(counted.where("label = 'allow'").drop("label"), "a").join(_model(counted.where("label = 'block'").drop("label"), "b"), "trigram")
     table = both.agg(F.array_sort(F.collect_list(F.struct("trigram", (F.col("a") - F.col("b")).alias("d")))).alias("x")).select(F.transform("x", lambda e: e["d"]).alias("ratio"))
@@ -127,6 +129,6 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.element_at(F.col("ratio"), (g + 1).cast("int")))
     score = F.coalesce(F.round(total / F.nullif(F.size(grams), F.lit(0)), 9), F.lit(0.0))
     scored = rows.withColumn("k", F.lit(0)).join(ratio, "k").select("id", "host", "path", "rule", "label", score.alias("score"))
-    least = _threshold(scored.where("label is not null"))
+    least = _threshold(scored.where(F.col("label").isNotNull() & held))
     other = F.when(F.col("score") >= least, "allow").otherwise("block")
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("label", other).alias("verdict"), "score")

@@ -4,7 +4,7 @@ Both sides keep, of each window of consecutive k-gram hashes, the least (ties: a
 K words and windows of SPAN - K + 1 of them, two texts that share SPAN words share a kept hash. Items of fewer words
 than SPAN are one window: their fingerprint is the hash of all their words.
 
-1. The benchmark's fingerprints are made and staged; a bit filter of at most FILTER_BITS bits is built of them.
+1. The benchmark's fingerprints are made and staged; a bit filter of a bounded size is built of them.
 2. One pass over the documents keeps each text's fingerprints that the filter lets through, with their places. Most
    texts have none, and go no further.
 3. The fingerprints left are joined with the benchmark's, which gives pairs of a text and an item.
@@ -25,12 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, carried, picked, renamed, small_batches, stage, utf8
+from .common import batch, bit_filter, carried, picked, renamed, small_batches, stage, utf8
 
 SPAN, K = 13, 7
-#: Bits of the filter: so many for each fingerprint, but between these bounds (16 MB at most).
-BITS_EACH, LEAST_BITS, FILTER_BITS = 256, 1 << 16, 1 << 27
-
 _rng = np.random.default_rng(20240229)
 _CODE = _rng.integers(0, 2**64, 256, np.uint64, endpoint=False)
 _STEP, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -129,37 +126,6 @@ def prints(w: Words, span: int, k: int, lengths: list[int]) -> tuple[np.ndarray,
     return np.concatenate(found), np.concatenate(places)
 
 
-class Filter:
-    """Bits of all fingerprints of the benchmark; lets every one of them through, and few others."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.last = bits, np.uint64(8 * len(bits) - 1)
-
-    def __call__(self, found: np.ndarray) -> np.ndarray:
-        def one(x):
-            return (self.bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1
-
-        ok = one(found & self.last).astype(bool)
-        ok[ok] = one((found[ok] >> np.uint64(32)) & self.last).astype(bool)
-        return ok
-
-
-def _filter_of(fingerprints: DataFrame) -> Filter:
-    """fingerprints(print) -> their filter. At most FILTER_BITS / 32768 rows of 4 KB come to the driver."""
-    n = fingerprints.count()
-    size = LEAST_BITS
-    while size < min(FILTER_BITS, BITS_EACH * n):
-        size *= 2
-    places = F.array(*[F.lit(size - 1).bitwiseAND(x) for x in (F.col("print"), F.shiftrightunsigned("print", 32))])
-    at = fingerprints.select(F.explode(places).alias("x")).select((F.col("x") + 1).alias("x"))
-    made = at.groupBy(F.bitmap_bucket_number("x").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    bits = np.zeros(size // 8, np.uint8)
-    for r in made.collect():
-        a = (r["n"] - 1) * 4096
-        bits[a : a + 4096] = np.frombuffer(r["bits"], np.uint8)[: len(bits) - a]
-    return Filter(bits)
-
-
 def _words(column: pa.Array) -> Words:
     data, at = utf8(column)
     return Words(np.frombuffer(data[at[0] : at[-1]], np.uint8), np.array(at, np.int64) - at[0])
@@ -291,7 +257,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = picked(benchmark, id=item_col, text=item_text_col).where("id is not null and length(text) > 0").select(F.col("id").cast("string").alias("item"), F.col("text").cast("string").alias("item_text")).distinct()
     known = stage(spark, items.mapInArrow(_item_batches(span, k), "item string, words int, print long").distinct(), "benchmark")
     lengths = [r["words"] for r in known.select("words").distinct().where("words > 0").orderBy("words").collect()]  # below span
-    passes = spark.sparkContext.broadcast(_filter_of(known.select("print").distinct()))
+    passes = spark.sparkContext.broadcast(bit_filter(known.select("print").distinct()))
     columns, others, kinds = carried(docs, carry)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), *columns)
     rows = stage(spark, rows.mapInArrow(_find_batches(passes, lengths, span, k, others), "key long, id long, n_words long, text string, prints array<long>, places array<long>" + kinds), "words")

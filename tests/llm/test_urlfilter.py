@@ -77,8 +77,10 @@ def test_scores_equal_plain_models(spark):
     df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     got = urlfilter.judge_urls(df).collect()
     texts = {"allow": [], "block": []}
+    held = {r.t for r in spark.createDataFrame([(r.host, r.path) for r in got], "host string, path string").selectExpr("concat(host, path) AS t", f"pmod(xxhash64(host, path), {urlfilter.HELD}) = 0 AS held").where("held").collect()}
+    assert held
     for r in got:
-        if r.rule:
+        if r.rule and r.host + r.path not in held:
             texts[r.verdict].append(r.host + r.path)
     score = plain_ratio(texts)
     for r in got:

@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from lodestone.llm import winnow
+from lodestone.llm import common, winnow
 
 
 def plain_words(text):
@@ -49,8 +49,8 @@ def cases(seed):
 
 @pytest.mark.parametrize("bits", [1 << 20, 1 << 9, 8])
 def test_counts_equal_a_search_of_every_window(spark, monkeypatch, bits):
-    monkeypatch.setattr(winnow, "LEAST_BITS", min(bits, winnow.LEAST_BITS))
-    monkeypatch.setattr(winnow, "FILTER_BITS", bits)
+    monkeypatch.setattr(common, "LEAST_BITS", min(bits, common.LEAST_BITS))
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
     docs, items = cases(bits)
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, items int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
