@@ -282,3 +282,20 @@ def n3_blast_radius(spark, d):
 def n4_explain_module(spark, d):
     modules, edges = analyze.module_graph(analyze.extract(tree(spark, d, "py")))
     return navigator.Navigator(modules, edges, None, None).explain_module("m7.py").rows.select("path", "loc", "complexity", bars("classes"))
+
+
+@query("n6_questions", f"""WITH {PARTS} SELECT k, 1 AS step, ['find_implementation', 'trace_lineage', 'trace_lineage', 'blast_radius'][1 + k4] AS tool,
+    [{said("part <s>")}, {said("raw.t_<s>")}, {said("mart.m_<k9>")}, {said("pkg/m<k>.py")}][1 + k4] AS arg, ['', 'upstream', 'downstream', ''][1 + k4] AS direction FROM p UNION ALL SELECT k, 2, 'explain_module', '', '' FROM p WHERE k4 = 2""")
+def n6_questions(spark, d):
+    p = table(spark, d, "part").select(*[F.expr(v).cast("long").alias(k) for k, v in _COLUMNS.items()])
+    asked = [code(t) for t in ("Find implementation of  part <s>?", "what feeds 'raw.t_<s>'?", "Trace downstream of mart.m_<k9> then explain it", "blast_radius pkg/m<k>.py")]
+    text = F.element_at(F.array(*asked), (F.col("k4") + 1).cast("int"))
+    rows = navigator.question_rows(p.select(F.col("k").cast("string").alias("path"), text.alias("text")))
+    return rows.select(F.col("path").cast("long").alias("k"), "step", "tool", "arg", "direction")
+
+
+@query("t10_semantic_pass", f"""WITH {PARTS} SELECT {said(PY_PATH)} AS path, 'This module primarily handles ' || CASE WHEN s = 7 THEN 'pipeline orchestration, ' ELSE '' END || '3 public entry points. It appears in the python layer and exposes key behaviors through code-defined interfaces. [Documentation Drift Suspected]' AS purpose, 'medium' AS severity FROM p""")
+def t10_semantic_pass(spark, d):
+    files = tree(spark, d, "py")
+    files = files.withColumn("text", F.replace("text", F.lit("import lib_7,"), F.lit("import airflow_7,")))
+    return analyze.semantics(analyze.extract(files).modules).select("path", "purpose", F.col("drift.severity").alias("severity"))

@@ -104,9 +104,18 @@ def module_graph(facts: Facts, commits: DataFrame | None = None) -> tuple[DataFr
     velocity = gitlog.ranked(gitlog.velocity(commits)) if commits is not None else m.sparkSession.createDataFrame([], "path string, commit_count long, last_commit string, velocity_rank long, is_core boolean")
     out = gitlog.with_velocity(out, velocity).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("imported_by", "calls")} | {"is_core": F.coalesce("is_core", F.lit(False))})
     dead = (F.size("public_functions") > 0) & (F.col("imported_by") == 0)
+    return semantics(out.withColumns({"is_dead_code": dead, "dead_symbols": F.when(dead, F.col("public_functions")).otherwise(F.array().cast("array<string>"))})), edges
+
+
+#: Fixed value: what a purpose says of a module whose docstring does not fit it.
+SUSPECTED = " [Documentation Drift Suspected]"
+
+
+def semantics(modules: DataFrame) -> DataFrame:
+    """Modules with `purpose`, and `drift` of their docstring from it; the purpose says where there is any."""
     purpose = T.purpose(F.concat_ws(" ", F.col("path"), F.col("doc"), F.array_join("imports", " ")), F.col("language"), F.size("public_functions"))
-    out = out.withColumns({"is_dead_code": dead, "dead_symbols": F.when(dead, F.col("public_functions")).otherwise(F.array().cast("array<string>")), "purpose": purpose})
-    return out.withColumn("drift", T.drift(F.col("doc"), F.col("purpose"))), edges
+    told = modules.withColumn("purpose", purpose).withColumn("drift", T.drift(F.col("doc"), F.col("purpose")))
+    return told.withColumn("purpose", F.when(F.col("drift.drift"), F.concat("purpose", F.lit(SUSPECTED))).otherwise(F.col("purpose")))
 
 
 def lineage_graph(facts: Facts) -> tuple[DataFrame, DataFrame]:

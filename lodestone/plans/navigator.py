@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import search
+from ..operators.tables import table_function
 
 TOOLS = ("find_implementation", "trace_lineage", "blast_radius", "explain_module")
 #: Openings of questions, each with its tool and direction; the longest that fits wins.
@@ -23,6 +24,14 @@ OPENINGS = {
 }
 
 
+def question_rows(files: DataFrame) -> DataFrame:
+    """(path, step, tool, arg, direction): the steps of each text, taken as a question."""
+    def one(text: str) -> list[dict]:
+        return [{"step": k, "tool": tool, "arg": arg, "direction": direction} for k, (tool, arg, direction) in enumerate(steps(text), 1)]
+
+    return table_function(files, one, "step int, tool string, arg string, direction string")
+
+
 def with_evidence(found: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """found(node, depth, parent) with file, lines, method and type: of the edge of discovery, else of the node, else none."""
     e = edges.select(F.col("src").alias("parent"), F.col("dst").alias("node"), "source_file", "line_range", "analysis_method", "transformation_type")
