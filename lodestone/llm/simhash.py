@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, grouped, hex64, picked, release, small_batches, stage, unstage, utf8, values
+from .common import batch, bit_filter, grouped, hex64, picked, release, small_batches, stage, unstage, utf8, values
 from .components import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -384,19 +384,37 @@ def exact_links(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_exact_batches, "u long, v long").distinct()
 
 
+def _sets(column: pa.Array, words: int) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    """Of each text the set of its shingles' hashes, big-endian and as numbers, and a key of that set."""
+    distinct = [np.unique(np.frombuffer(shingle_digests(t, words), ">u8")) for t in values(column)]
+    sets = [x.astype(np.uint64).tobytes() for x in distinct]
+    return [x.tobytes() for x in distinct], sets, np.array([xxhash.xxh64_intdigest(x, 7) for x in sets], np.uint64).view(np.int64)
+
+
 def _near_batches(words: int):
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("text_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("size", pa.int32()), ("shingles", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("text_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
         for b in batches:
-            digests = [shingle_digests(t, words) for t in values(b.column(1))]
-            distinct = [np.unique(np.frombuffer(d, ">u8")) for d in digests]
-            sets, digests = [x.astype(np.uint64).tobytes() for x in distinct], [x.tobytes() for x in distinct]
+            digests, _, texts = _sets(b.column(1), words)
             keys, sketch = sketches(digests)
-            texts = np.array([xxhash.xxh64_intdigest(x, 7) for x in sets], np.uint64).view(np.int64) if sets else np.empty(0, np.int64)
             offsets = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
             prints = fingerprints(digests).view(np.int64) if digests else []
-            yield batch(schema, b.column(0), prints, texts, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), [x.tobytes() for x in sketch], [len(x) for x in sets], sets)
+            yield batch(schema, b.column(0), prints, texts, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), [x.tobytes() for x in sketch])
+
+    return run
+
+
+def _set_batches(words: int, passes):
+    """Rows id, text, hash of the id -> rep, text_key, size and shingles of those that the filter lets through."""
+    schema = pa.schema([("rep", pa.int64()), ("text_key", pa.int64()), ("size", pa.int32()), ("shingles", pa.binary())])
+
+    def run(batches):
+        let = passes.value
+        for b in batches:
+            b = b.filter(pa.array(let(b.column(2).to_numpy().view(np.uint64))))
+            _, sets, texts = _sets(b.column(1), words)
+            yield batch(schema, b.column(0), texts, [len(x) for x in sets], sets)
 
     return run
 
@@ -409,20 +427,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    made = picked(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).where("id is not null")
-    made = stage(spark, made.mapInArrow(_near_batches(words), "id long, fp long, text_key long, keys array<long>, sketch binary, size int, shingles binary"), "sketches")
+    docs = picked(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).where("id is not null")
+    made = stage(spark, docs.mapInArrow(_near_batches(words), "id long, fp long, text_key long, keys array<long>, sketch binary"), "sketches")
     reps = stage(spark, made.groupBy("text_key").agg(F.min("id").alias("rep")), "distinct")
     first = made.withColumnRenamed("id", "rep")
-    full = first.join(reps, ["rep", "text_key"], "left_semi").select("rep", "text_key", "fp", "keys", "sketch").dropDuplicates(["rep", "text_key"])
+    full = first.join(reps, ["rep", "text_key"], "left_semi").dropDuplicates(["rep", "text_key"])
     loose = components(spark, forest_links(spark, full.select(F.explode("keys").alias("shard"), "fp", "rep", "sketch"), 64, sketched=True))
     loose = stage(spark, reps.join(loose, reps["rep"] == loose["id"]).select("rep", "text_key", F.col("component_id").alias("shard")), "loose")
     release(spark)
-    alike = first.select("rep", "text_key", "size", "shingles").join(loose.hint("merge"), ["rep", "text_key"])  # grows with the corpus: no broadcast
+    passes = spark.sparkContext.broadcast(bit_filter(loose.select(F.xxhash64("rep").alias("print"))))  # whole sets only of what is loosely linked
+    sets = docs.withColumn("print", F.xxhash64("id")).mapInArrow(_set_batches(words, passes), "rep long, text_key long, size int, shingles binary")
+    alike = sets.join(loose.hint("merge"), ["rep", "text_key"])  # grows with the corpus: no broadcast
     alike = stage(spark, alike.select("shard", F.col("text_key").alias("fp"), "rep", "size", "shingles").dropDuplicates(["rep", "fp"]), "alike")
-    rows = stage(spark, made.select("id", "text_key"), "keys")
-    unstage(spark, made)
     release(spark)
     joined = components(spark, exact_links(spark, alike))
     unstage(spark, alike, loose)
     found = reps.join(joined, reps["rep"] == F.col("id"), "left").select("text_key", F.coalesce("component_id", "rep").alias("component_id"))
-    return rows.join(found, "text_key").select(F.col("id").alias(id_col), "component_id")
+    return made.select("id", "text_key").join(found, "text_key").select(F.col("id").alias(id_col), "component_id")
