@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -169,3 +170,14 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(7, 7)]
     got = {r.id: r.component_id for r in components(spark, spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 1 for i in range(1, 60)}
+
+
+def test_fingerprints_decide_which_pairs_are_compared():
+    """Near fingerprints are enough, whatever the sketches lost; far ones need the sketches and are not lost either."""
+    one, other = np.full(simhash.BINS, 7, np.uint8).tobytes(), np.full(simhash.BINS, 9, np.uint8).tobytes()
+
+    def linked(fp, sketch):
+        rows = pa.record_batch([pa.array([1, 1], pa.int64()), pa.array([0, fp], pa.int64()), pa.array([10, 20], pa.int64()), pa.array([one, sketch], pa.binary())], ["cell", "fp", "rep", "sketch"])
+        return [r for b in simhash._forest_batches(64, True)(iter([rows])) for r in b.to_pylist()] != []
+
+    assert linked((1 << 20) - 1, other) and not linked((1 << 21) - 1, other) and linked((1 << 40) - 1, one)
