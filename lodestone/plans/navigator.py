@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import search
 from ..operators.tables import table_function
+from ..session import cut
 
 TOOLS = ("find_implementation", "trace_lineage", "blast_radius", "explain_module")
 #: Openings of questions, each with its tool and direction; the longest that fits wins.
@@ -154,7 +155,7 @@ class Navigator:
             return Answer(False, "trace_lineage", dataset, direction, error=f"No dataset like {dataset!r}.")
         edges = self.edges if direction == "downstream" else G.reverse(self.edges)
         found = G.reach(edges, self.nodes.sparkSession.createDataFrame([(node,)], "start string"))
-        rows = with_evidence(found, edges, self.nodes)
+        rows = cut(with_evidence(found, edges, self.nodes))  # read for the evidence, and by the caller
         return Answer(True, "trace_lineage", node, direction, rows=rows, evidence=evidence_list(rows))
 
     def what_feeds(self, dataset: str) -> dict:
