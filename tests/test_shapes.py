@@ -69,3 +69,17 @@ def test_texts_without_common_shapes_are_not_kept(monkeypatch):
     monkeypatch.setattr(shapes, "KEPT", 2)
     trees.of("y")
     assert len(trees.known) <= 8
+
+
+def test_bodies_of_a_shape_are_walked_once(monkeypatch):
+    walks = []
+
+    class Counted(python_code.Found):
+        def __init__(self, roots):
+            walks.append(1)
+            super().__init__(roots)
+
+    monkeypatch.setattr(python_code, "Found", Counted)
+    for k in range(20):
+        assert python_code.structure(f"@d{k}\ndef walked(a{k}):\n    b{k}(c{k})\n")["functions"][0]["calls"] == [f"b{k}"]
+    assert len(walks) <= 4
