@@ -179,10 +179,13 @@ class Navigator:
         if node is None:
             return {"target": dataset if "::" in dataset else f"dataset::{dataset}", "impacted": 0, "max_depth": 0, "datasets": 0, "transformations": 0, "sinks": [], "source_files": [], "related_pipelines": []}
         spark = self.nodes.sparkSession
-        row = G.impact(self.edges, self.nodes, spark.createDataFrame([(node,)], "start string")).first()
-        files = spark.createDataFrame([(f,) for f in row["source_files"]], "source_file string")
-        declared = self.edges.select(F.explode(F.array("src", "dst")).alias("id"), "source_file").distinct().join(self.nodes.select("id", "node_type"), "id")
-        related = [r["id"] for r in G.related_by_file(declared, files).orderBy("id").limit(50).collect()]
+        starts = spark.createDataFrame([(node,)], "start string")
+        found = cut(G.impacted(self.edges, self.nodes.select("id", "node_type", "source_file"), starts))  # read for the report, and for what its files declare
+        row = G.impact_of(found, starts).first()
+        files = found.where("source_file <> ''").select("source_file").distinct()
+        near = self.edges.join(G.sent(files, row["impacted"]), "source_file", "left_semi")
+        declared = near.select(F.explode(F.array("src", "dst")).alias("id"), "source_file").distinct().join(G.sent(self.nodes.select("id", "node_type")), "id")
+        related = [r["id"] for r in G.related_by_file(declared, G.sent(files, row["impacted"])).orderBy("id").limit(50).collect()]
         return {"target": node, "related_pipelines": related} | {k: row[k] for k in ("impacted", "max_depth", "datasets", "transformations", "sinks", "source_files")}
 
     def blast_radius(self, target: str, dependents: bool = False) -> Answer:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import graph as G
 from lodestone.operators import python_code
-from lodestone.plans import analyze
+from lodestone.plans import analyze, navigator
 from lodestone.sources import files as FS
 
 
@@ -68,3 +68,30 @@ def test_small_frontiers_go_to_the_edges(spark, monkeypatch, small):
     assert {(r.node, r.depth, r.parent) for r in G.reach(edges, starts).collect()} == {("b", 1, "a"), ("c", 1, "a")}
     plan = G._met(starts.withColumn("node", F.col("start")), 1, edges)._jdf.queryExecution().optimizedPlan().toString()
     assert ("broadcast" in plan) == (small > 0)
+
+
+def test_classes_of_files_need_no_join(spark):
+    py = 'a = pd.read_csv("x.csv")\nb = pd.read_sql("select * from t", con)\na.to_parquet("y.parquet")\n'
+    nb = '{"cells": [{"cell_type": "code", "source": ["read_csv\\n", "to_sql read_csv"]}]}'
+    made = [("a.py", "py", "python", py), ("b.py", "py", "python", 'pd.read_csv("x.csv")\n'), ("c.py", "py", "python", "f(1)\n"), ("n.ipynb", "ipynb", "notebook", nb), ("o.ipynb", "ipynb", "notebook", nb.replace("read_csv", "x"))]
+    files = spark.createDataFrame(made, "path string, ext string, language string, text string")
+    edges = analyze.lineage_edges(analyze.extract(files, *analyze.LINEAGE))
+    assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    found = [(r.source_file, r.edge_type, r.transformation_type) for r in edges.collect()]
+    want = [("a.py", "CONSUMES", "python_file_transform")] * 2 + [("a.py", "PRODUCES", "python_file_transform"), ("b.py", "CONSUMES", "python_file_read")]
+    assert sorted(found) == want + [("n.ipynb", "CONSUMES", "notebook_etl"), ("n.ipynb", "PRODUCES", "notebook_etl"), ("o.ipynb", "PRODUCES", "notebook_export")]
+
+
+@pytest.mark.parametrize("small", [0, G.SMALL])
+def test_guessed_sizes_send_no_graph_through_the_driver(spark, monkeypatch, small):
+    monkeypatch.setattr(G, "SMALL", small)
+    # a size is guessed of these, by what they are made of, and it is small
+    edges = spark.range(40).selectExpr("concat('dataset::', id) AS src", "concat('dataset::', id + 20) AS dst", "concat('f', id % 3, '.py') AS source_file")
+    steps = spark.range(3).selectExpr("concat('pipeline::', id) AS src", "concat('pipeline::', id + 10) AS dst", "concat('f', id, '.py') AS source_file")
+    edges = edges.union(steps)
+    nodes = edges.selectExpr("explode(array(src, dst)) AS id").distinct().selectExpr("id", "CASE WHEN id LIKE 'pipeline%' THEN 'pipeline' ELSE 'dataset' END AS node_type", "IF(id = 'dataset::40', 'f1.py', '') AS source_file", "CAST(NULL AS STRING) AS name", "0L AS seq")
+    found = G.impact(edges, nodes, spark.createDataFrame([("dataset::0",)], "start string"))
+    assert [(r.impacted, r.max_depth, r.sinks) for r in found.collect()] == [(2, 2, ["dataset::40"])]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    report = navigator.Navigator(None, None, nodes, edges).impact_report("0")
+    assert report == {"target": "dataset::0", "impacted": 2, "max_depth": 2, "datasets": 2, "transformations": 0, "sinks": ["dataset::40"], "source_files": ["f1.py"], "related_pipelines": ["pipeline::1", "pipeline::11"]}
